@@ -62,64 +62,87 @@ def _date(y: Column, m: Column, d: Column) -> Column:
     return F.concat_ws("-", y, F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")).try_cast("date")
 
 
-def with_utc(df: DataFrame, text: str, zone: str, name: str = "utc_ms") -> DataFrame:
-    """Add ``name``: UTC milliseconds of column ``text``, null if it doesn't denote exactly one instant.
-
-    Column ``zone`` (IANA) is used where the text writes no zone. Cases: null, blank,
-    placeholders, impossible dates, unknown written zones, days that show an unset clock and
-    day/month orders that allow two readings give null; a null ``zone`` leaves values without
-    a written zone null. Digits finer than a millisecond are cut off. All other columns are kept.
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body refers to it.
 
-    The steps are separate projections on purpose: each refers to the one before more than
-    once, which Catalyst then doesn't inline, so the expressions stay small.
+    Without it every reference would be a copy of the whole expression, also where Catalyst
+    pushes a filter down, and the expression would grow as a power of the steps.
     """
-    keep = df.columns
-    t = F.trim(F.regexp_replace(F.col(text), r"[\s\u00a0\u202f]+", " "))
-    out = df.withColumn("_t", t).withColumn("_f", F.split(_fields(F.col("_t")), r"\|", -1)).withColumn("_either", F.col("_t").rlike(EITHER_ORDER))
-    f = lambda i: F.get("_f", F.lit(i))
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _wall(fields: Column, either: Column) -> Column:
+    """Struct(wall in ms, written zone) of split fields; wall is null where a field is impossible."""
+    f = lambda i: F.get(fields, F.lit(i))
     hour, low = _int(f(3)), F.lower(f(8))
     hour = F.when(low.isin("pm", "오후", "am", "오전"), F.when((hour >= 1) & (hour <= 12), hour % 12 + F.when(low.isin("pm", "오후"), 12).otherwise(0))).otherwise(F.when(hour <= 23, hour))
     minute, second = F.when(_int(f(4)) <= 59, _int(f(4))), F.coalesce(_int(f(5)), F.lit(0))
     ms = F.coalesce(_int(F.substring(F.rpad(f(6), 3, "0"), 1, 3)), F.lit(0))
-    out = out.withColumns({
-        "_m": _month(f(1)),
-        "_day_ms": F.when(second <= 59, hour * 3_600_000 + minute * 60_000 + second * 1000 + ms).cast("long"),
-        "_z": F.upper(F.when(f(7) != "", f(7))),
-    })
-    out = out.withColumns({"_d1": _date(f(0), F.col("_m"), f(2)), "_d2": F.when(F.col("_either"), _date(f(0), _int(f(2)), F.col("_m")))})
-    d1, d2 = F.col("_d1"), F.col("_d2")
-    out = out.withColumn("_d", F.when(d2.isNull(), d1).when(d1.isNull() | (d1 == d2), d2))
-    # The written zone in minutes east of UTC.
-    named = F.try_element_at(F.create_map(*[F.lit(x) for kv in ZONES.items() for x in kv]), F.col("_z"))
-    out = out.withColumn("_n", F.regexp_replace("_z", "^(UTC|GMT)?[+-]|:", ""))
-    n = F.col("_n")
-    h = _int(F.when(F.length(n) <= 2, n).otherwise(F.left(n, F.length(n) - 2)))
-    m = F.when(F.length(n) <= 2, F.lit(0)).otherwise(_int(F.right(n, F.lit(2))))
-    sign = F.when(F.col("_z").contains("-"), -1).otherwise(1)
-    shift = F.when((h <= 14) & (m <= 59), sign * (h * 60 + m))
-    out = out.withColumns({
-        "_east": F.when(F.col("_z").rlike("[+-]"), shift).otherwise(named),
-        "_wall": F.when(~F.col("_d").cast("string").isin(UNSET_DAYS), F.unix_date("_d").cast("long") * 86_400_000 + F.col("_day_ms")),
-    })
-    # Offsets a day before and a day after are the only ones that a clock change nearby can offer;
-    # one counts if it leads back to the same clock time.
-    wall, tz = F.col("_wall"), F.col(zone)
+    in_day = F.when(second <= 59, hour * 3_600_000 + minute * 60_000 + second * 1000 + ms).cast("long")
+    dates = F.struct(_date(f(0), _month(f(1)), f(2)).alias("a"), F.when(either, _date(f(0), _int(f(2)), _month(f(1)))).alias("b"))
+    date = _let(dates, lambda d: F.when(d["b"].isNull(), d["a"]).when(d["a"].isNull() | (d["a"] == d["b"]), d["b"]))
+    wall = _let(date, lambda d: F.when(~d.cast("string").isin(UNSET_DAYS), F.unix_date(d).cast("long") * 86_400_000 + in_day))
+    return F.struct(wall.alias("wall"), F.upper(F.when(f(7) != "", f(7))).alias("zone"))
+
+
+def _east(zone: Column) -> Column:
+    """A written zone in minutes east of UTC, null if it isn't known."""
+    named = F.try_element_at(F.create_map(*[F.lit(x) for kv in ZONES.items() for x in kv]), zone)
+
+    def shift(n: Column) -> Column:
+        h = _int(F.when(F.length(n) <= 2, n).otherwise(F.left(n, F.length(n) - 2)))
+        m = F.when(F.length(n) <= 2, F.lit(0)).otherwise(_int(F.right(n, F.lit(2))))
+        return F.when((h <= 14) & (m <= 59), F.when(zone.contains("-"), -1).otherwise(1) * (h * 60 + m))
+
+    return F.when(zone.rlike("[+-]"), _let(F.regexp_replace(zone, "^(UTC|GMT)?[+-]|:", ""), shift)).otherwise(named)
+
+
+def _local(wall: Column, tz: Column) -> Column:
+    """UTC milliseconds of a clock time in a zone, null where it occurs twice or never.
+
+    The offsets a day before and a day after are the only ones that a clock change nearby can
+    offer; one counts if it leads back to the same clock time.
+    """
     there = lambda x: F.unix_millis(F.from_utc_timestamp(F.timestamp_millis(x), tz))
-    local = F.col("_z").isNull()
-    out = out.withColumn("_about", F.when(local, F.unix_millis(F.to_utc_timestamp(F.timestamp_millis(wall), tz))))
-    about = F.col("_about")
-    out = out.withColumns({"_u1": wall - (there(about - 86_400_000) - (about - 86_400_000)), "_u2": wall - (there(about + 86_400_000) - (about + 86_400_000))})
-    out = out.withColumns({"_u1": F.when(there(F.col("_u1")) == wall, F.col("_u1")), "_u2": F.when(there(F.col("_u2")) == wall, F.col("_u2"))})
-    u1, u2 = F.col("_u1"), F.col("_u2")
-    clock = F.when(~local, wall - F.col("_east").cast("long") * 60_000).when(u1.isNull() | (u1 == u2), u2).when(u2.isNull(), u1)
-    # A bare number: the only epoch and unit that put it in the allowed years.
-    low_ms, high_ms = NUMBER_RANGE_MS
-    number = F.when(F.col("_t").rlike(r"^\d{1,20}(\.\d{1,9})?$"), F.col("_t")).try_cast("decimal(29,9)")
-    out = out.withColumn("_since", F.transform(F.array(*(F.lit(x).cast("decimal(10,0)") for x in (1, 10**3, 10**6, 10**9))), lambda per: F.floor(number * 1000 / per).try_cast("long")))
-    tries = F.flatten(F.transform(F.array(*(F.lit(x * 1000).cast("long") for x in EPOCHS.values())), lambda back: F.transform("_since", lambda x: x - back)))
-    out = out.withColumn("_fits", F.array_distinct(F.filter(tries, lambda x: (x >= low_ms) & (x < high_ms))))
-    result = F.when(F.col("_f").isNotNull(), clock).when(F.size("_fits") == 1, F.get("_fits", F.lit(0)))
-    return out.select(*(c for c in keep if c != name), result.alias(name))
+    day = 86_400_000
+    about = F.unix_millis(F.to_utc_timestamp(F.timestamp_millis(wall), tz))
+    guess = _let(about, lambda x: F.struct((wall - (there(x - day) - (x - day))).alias("a"), (wall - (there(x + day) - (x + day))).alias("b")))
+    good = _let(guess, lambda g: F.struct(F.when(there(g["a"]) == wall, g["a"]).alias("a"), F.when(there(g["b"]) == wall, g["b"]).alias("b")))
+    return _let(good, lambda g: F.when(g["a"].isNull() | (g["a"] == g["b"]), g["b"]).when(g["b"].isNull(), g["a"]))
+
+
+def _number(t: Column) -> Column:
+    """UTC milliseconds of a bare number: by the only epoch and unit that put it in the allowed years, else null."""
+    low, high = NUMBER_RANGE_MS
+    number = F.when(t.rlike(r"^\d{1,20}(\.\d{1,9})?$"), t).try_cast("decimal(29,9)")
+    units = F.array(*(F.lit(x).cast("decimal(10,0)") for x in (1, 10**3, 10**6, 10**9)))
+    since = F.transform(units, lambda per: F.floor(number * 1000 / per).try_cast("long"))
+    backs = F.array(*(F.lit(x * 1000).cast("long") for x in EPOCHS.values()))
+    fits = F.filter(F.flatten(F.transform(backs, lambda back: F.transform(since, lambda x: x - back))), lambda x: (x >= low) & (x < high))
+    return _let(F.array_distinct(fits), lambda x: F.when(F.size(x) == 1, F.get(x, F.lit(0))))
+
+
+def utc_millis(text: Column, zone: Column) -> Column:
+    """UTC milliseconds of a written time, null if it doesn't denote exactly one instant.
+
+    Cases: null, blank, placeholders, impossible dates, unknown written zones, days that show
+    an unset clock and day/month orders that allow two readings give null. A null ``zone``
+    (IANA) leaves values without a written zone null. Digits finer than a millisecond are cut off.
+    """
+
+    def of(t: Column) -> Column:
+        clock = _let(
+            _let(F.split(_fields(t), r"\|", -1), lambda f: _wall(f, t.rlike(EITHER_ORDER))),
+            lambda w: F.when(w["zone"].isNull(), _local(w["wall"], zone)).otherwise(w["wall"] - _east(w["zone"]).cast("long") * 60_000),
+        )
+        return F.when(t.rlike(r"^[0-9.]+$") & ~t.rlike(r"^\d{14}$"), _number(t)).otherwise(clock)
+
+    return _let(F.trim(F.regexp_replace(text, r"[\s\u00a0\u202f]+", " ")), of)
+
+
+def with_utc(df: DataFrame, text: str, zone: str, name: str = "utc_ms") -> DataFrame:
+    """Add ``name``: UTC milliseconds of column ``text``, read in column ``zone`` where it writes none; other columns are kept."""
+    return df.withColumn(name, utc_millis(F.col(text), F.col(zone)))
 
 
 def asset_instants(assets: DataFrame, trip_config: DataFrame) -> DataFrame:
@@ -127,6 +150,6 @@ def asset_instants(assets: DataFrame, trip_config: DataFrame) -> DataFrame:
 
     ``trip_config`` has one small row per trip; Spark broadcasts it when its size allows.
     """
-    a = assets.select("asset_id", "trip_id", "creation_time").distinct()
+    a = assets.filter(F.col("asset_id").isNotNull()).select("asset_id", "trip_id", "creation_time").distinct()
     z = trip_config.select("trip_id", F.col("time_zone").alias("_zone")).dropDuplicates(["trip_id"])
     return with_utc(a.join(z, "trip_id", "left"), "creation_time", "_zone").select("asset_id", "utc_ms")
