@@ -7,10 +7,25 @@ from pyspark.sql import functions as F
 from ..plans.registry import Registry
 from .lookalike import canonical_text, look_alike_pairs
 from .nearest import nearest_within
+from .repeats import repeated_runs
 
 reg = Registry()
 
 
+def _runs(t):
+    return repeated_runs(t.stt_candidates, ["asset_id", "requested_locale"], "start", "end", "utterance_id", "text")
+
+
+@reg.add("p1_found")
+def p1_found(t):
+    return _runs(t).select("asset_id", F.col("first_id").alias("first_utterance_id"), F.col("last_id").alias("last_utterance_id"))
+
+
+@reg.add("p1_runs")
+def p1_runs(t):
+    return _runs(t)
+
+
 @reg.add("p4_found")
 def p4_found(t):
     return look_alike_pairs(t.assets, "asset_id", ["source_name", "source_path"])
