@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
+from .languages import mislabelled, train_on, with_segments
 from .lookalike import canonical_text, look_alike_pairs
 from .nearest import nearest_within
 from .repeats import repeated_runs
@@ -26,6 +27,31 @@ def p1_runs(t):
     return _runs(t)
 
 
+def _labelled(t):
+    """Texts with a label: transcript records and documents, whole-row copies once."""
+    said = t.stt_candidates.select(F.lit("stt_candidates").alias("source_table"), F.col("utterance_id").alias("record_key"), "asset_id", "text", F.col("selected_locale").alias("label"))
+    docs = t.documents.select(F.lit("documents").alias("source_table"), F.col("doc_id").cast("string").alias("record_key"), "asset_id", "text", F.col("lang").alias("label"))
+    return said.unionByName(docs)
+
+
+def _segments(t):
+    rows = _labelled(t)
+    return with_segments(rows, "text", train_on(rows, "record_key", "text", "label"))
+
+
+@reg.add("p2_found")
+def p2_found(t):
+    return mislabelled(_segments(t), "label").select("source_table", "record_key", "language").distinct()
+
+
+@reg.add("p2_segments")
+def p2_segments(t):
+    """Every stretch with its language, confidence and place, and whether the asset's trip expects that language."""
+    trips = t.assets.select("asset_id", "trip_id").dropDuplicates(["asset_id"]).join(t.trip_config.select("trip_id", "expected_languages"), "trip_id", "left")
+    rows = _segments(t).select("source_table", "record_key", "asset_id", F.explode("segments").alias("s")).distinct()
+    return rows.join(trips, "asset_id", "left").select("source_table", "record_key", F.col("s.language").alias("language"), F.col("s.confidence").alias("confidence"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.array_contains("expected_languages", F.col("s.language")).alias("expected"))
+
+
 @reg.add("p4_found")
 def p4_found(t):
     return look_alike_pairs(t.assets, "asset_id", ["source_name", "source_path"])

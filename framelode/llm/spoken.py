@@ -62,14 +62,11 @@ def same_words(a: Column, b: Column) -> Column:
     def slip(p: Column) -> Column:
         x, y = p["x"], p["y"]
         letters = r"^[\p{IsLatin}\p{IsGreek}\p{IsCyrillic}\p{M}]+$"
-        near = let(
-            F.struct(once(x).alias("x"), once(y).alias("y")),
-            lambda o: let(
-                F.levenshtein(o["x"], o["y"], 2),
-                lambda d: (d >= 0) & (F.least(F.length(o["x"]), F.length(o["y"])) >= 5) & ((d <= 1) | ((d <= 2) & (F.left(o["x"], F.lit(1)) == F.left(o["y"], F.lit(1))))),
-            ),
-        )
-        return (x == y) | (x.rlike(letters) & y.rlike(letters) & ((once(x) == once(y)) & (F.length(x) >= 5) | near))
+        long = F.least(F.length(x), F.length(y)) >= 5
+        two = F.left(x, F.lit(1)) == F.left(y, F.lit(1))
+        near = lambda d: (d >= 0) & ((d <= 1) | two)
+        close = let(F.levenshtein(x, y, 2), near) | let(F.levenshtein(once(x), once(y), 2), near)
+        return (x == y) | (x.rlike(letters) & y.rlike(letters) & long & close)
 
     pairs = F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
     return (a == b) | (F.array_join(a, "") == F.array_join(b, "")) | ((F.size(a) == F.size(b)) & F.forall(pairs, slip))
