@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import ftrl
-from .spoken import CLOCK, NOTE
+from .spoken import CLOCK, HESITATIONS, NOTE
 
 LANGUAGES = ["en", "ko", "ja", "de", "fr", "es", "pt"]
 # Ways of writing a language besides its two-letter code.
@@ -25,14 +25,16 @@ WRITTEN = {
 }
 # Labels that name no language.
 UNDETERMINED = ["", "und", "unknown", "undetermined", "mul", "mis", "zxx", "xx", "none", "null", "n/a", "na", "auto", "?", "-", "--"]
-#: Rows sampled per label for training, and clauses taken of one row. The sample never grows with the data.
-SAMPLE_PER_LABEL, CLAUSES_PER_ROW, CLAUSE_CHARS = 1500, 3, 400
+#: Rows sampled for training, clauses taken of one row and characters of one clause. The sample never grows with the data.
+#: It isn't stratified: among rows of a rare label the wrongly labelled ones of a common language would prevail.
+SAMPLE_ROWS, CLAUSES_PER_ROW, CLAUSE_CHARS = 12_000, 3, 400
 #: What makes a clause: words of an alphabet, words in Hangul with so many syllables, kana and ideographs.
 MIN_WORDS, MIN_HANGUL_WORDS, MIN_HANGUL, MIN_KANA = 4, 3, 7, 8
 
 _JUNK = re.compile(rf"{CLOCK}|{NOTE}|^[ \t]*[0-9]+[ \t]*$|[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}(?:[.,][0-9]{{3}})?(?: ?--> ?)?", re.M)
 _SENTENCE = re.compile(r"[^.!?。！？…\n]+")
 _UNIT = re.compile(r"([぀-ヿ㐀-鿿々〆ー]+)|([가-힣]+)|([^\W\d_]+(?:['’][^\W\d_]+)*)")
+_HESITATIONS = frozenset(HESITATIONS)
 SEGMENT = T.ArrayType(T.StructType([T.StructField("language", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
@@ -45,10 +47,13 @@ def label_code(label: Column) -> Column:
 
 
 def grams(unit: str) -> Iterator[str]:
-    """Character n-grams of a word with its edges: up to four letters, two for syllables and ideographs."""
+    """Character n-grams of a word with its edges: up to five letters; of syllables and ideographs up to two, and their script."""
     u = f"^{unit.lower()}$"
-    top = 2 if unit[0] > "　" else 4
-    for n in range(1, top + 1):
+    wide = unit[0] > "\u3000"
+    if wide:
+        for c in unit:
+            yield "#hangul" if "\uac00" <= c <= "\ud7a3" else "#kana" if c < "\u3400" else "#ideograph"
+    for n in range(1, 3 if wide else 6):
         for i in range(len(u) - n + 1):
             yield u[i : i + n]
 
@@ -66,6 +71,8 @@ def clauses(text: str) -> list[list[tuple[int, str, int, int]]]:
         by: tuple[list, list] = ([], [])
         for u in _UNIT.finditer(plain, m.start(), m.end()):
             k = u.lastindex - 1
+            if u.group(0).lower() in _HESITATIONS:
+                continue
             unit = (k, u.group(0), u.start(), u.end())
             if k < 2:
                 by[k].append(unit)
@@ -120,16 +127,17 @@ class Model:
         if clause[0][0] != 2 or n < 2 * MIN_WORDS:
             return whole
         lean = rows[:, :-1].argmax(axis=1)
-        if (lean != whole[0][0]).sum() < MIN_WORDS:
+        if (lean != whole[0][0]).sum() < MIN_WORDS - 1:
             return whole
         before = rows.cumsum(axis=0)[MIN_WORDS - 1 : n - MIN_WORDS]
         a, b = self.chances(before), self.chances(total - before)
         both = a.max(axis=1) * b.max(axis=1)
         both[a.argmax(axis=1) == b.argmax(axis=1)] = 0
         k = int(both.argmax())
-        if both[k] < SPLIT_CHANCE or both[k] <= p.max() ** 2 * SPLIT_GAIN:
-            return whole
         cut = k + MIN_WORDS
+        sides = (lean[:cut] == a[k].argmax()).sum() >= MIN_WORDS - 1 and (lean[cut:] == b[k].argmax()).sum() >= MIN_WORDS - 1
+        if both[k] < SPLIT_CHANCE or not sides:
+            return whole
         return [(int(a[k].argmax()), a[k], clause[0][2], clause[cut - 1][3]), (int(b[k].argmax()), b[k], clause[cut][2], clause[-1][3])]
 
     def segments(self, text: str | None) -> list[tuple[str, float, int, int]]:
@@ -155,8 +163,8 @@ class Model:
         return [(LANGUAGES[k], round(sum(n * c for n, c in cs) / sum(n for n, _ in cs), 4), s, e) for k, cs, s, e in out]
 
 
-#: TF-IDF rows sum up to this; a clause is cut in two if the product of both chances reaches the first and gains the second; below the last, the text's main language is kept.
-SCALE, SPLIT_CHANCE, SPLIT_GAIN, DOUBT = 20.0, 0.85, 1.0, 0.8
+#: TF-IDF rows sum up to the first; a clause is cut in two if the product of both chances reaches the second; below the last, the text's main language is kept.
+SCALE, SPLIT_CHANCE, DOUBT = 20.0, 0.85, 0.8
 
 
 def train(examples: list[tuple[list[str], str]], *, seed: int = 7) -> Model:
@@ -165,24 +173,32 @@ def train(examples: list[tuple[list[str], str]], *, seed: int = 7) -> Model:
     A first fit finds the examples whose own label it finds improbable; those are left out
     of the second. A tenth is held out for the temperature.
     """
-    counts = [Counter(g for w in words for g in grams(w)) for words, _ in examples]
-    spread = Counter(g for c in counts for g in c)
+    seen = Counter(w for words, _ in examples for w in set(words))
+    per_word = {w: Counter(grams(w)) for w in seen}
+    spread: Counter = Counter()
+    for words, _ in examples:
+        spread.update(set().union(*(per_word[w].keys() for w in words)))
     names = {g: i for i, g in enumerate(sorted(g for g, n in spread.items() if n >= 3))}
     total = max(1, len(examples))
     idf = {g: math.log((1 + total) / (1 + spread[g])) + 0.1 for g in names}
     rest = math.log(1 + total) + 0.1
+    parts = {}
+    for w, c in per_word.items():
+        inside = [(names[g], n * idf[g]) for g, n in c.items() if g in names]
+        parts[w] = (np.array([i for i, _ in inside], dtype=np.int64), np.array([v for _, v in inside]), sum(n * idf.get(g, rest) for g, n in c.items()))
     rows = []
-    for c in counts:
-        mass = sum(n * idf.get(g, rest) for g, n in c.items()) or 1.0
-        inside = [(names[g], SCALE * n * idf[g] / mass) for g, n in c.items() if g in names]
-        rows.append((np.array([len(names), *(i for i, _ in inside)], dtype=np.int64), np.array([1.0, *(v for _, v in inside)])))
+    for words, _ in examples:
+        mass = sum(parts[w][2] for w in words) or 1.0
+        at, where = np.unique(np.concatenate([parts[w][0] for w in words]), return_inverse=True)
+        value = np.bincount(where, weights=np.concatenate([parts[w][1] for w in words]), minlength=len(at))
+        rows.append((np.append(at, len(names)).astype(np.int32), np.append(SCALE * value / mass, 1.0).astype(np.float32)))
     y = np.array([LANGUAGES.index(k) for _, k in examples], dtype=np.int64)
     x = ftrl.Sparse(rows)
     held = np.arange(len(y)) % 10 == 9
     pick = lambda which: ftrl.Sparse([rows[i] for i in np.flatnonzero(which)])
     first = ftrl.fit(pick(~held), y[~held], len(names) + 1, len(LANGUAGES), epochs=2, seed=seed)
     own = ftrl.softmax(ftrl.scores(first, x))
-    good = (own[np.arange(len(y)), y] >= 0.2) | (own.max(axis=1) < 0.5)
+    good = (own.argmax(axis=1) == y) | (own[np.arange(len(y)), y] >= 0.3)
     w = ftrl.fit(pick(~held & good), y[~held & good], len(names) + 1, len(LANGUAGES), epochs=5, seed=seed)
     test = held & good
     heat = ftrl.temperature(ftrl.scores(w, pick(test)), y[test]) if test.sum() >= 20 else 1.0
@@ -199,21 +215,19 @@ def _sample_clauses(text: pd.Series) -> pd.Series:
     return text.map(some)
 
 
-def train_on(df: DataFrame, key: str, text: str, label: str, *, per_label: int = SAMPLE_PER_LABEL) -> Model:
+def train_on(df: DataFrame, key: str, text: str, label: str, *, sample: int = SAMPLE_ROWS) -> Model:
     """Fit the model on a bounded sample of labelled rows.
 
-    About ``per_label`` rows of each language are chosen by a hash of their key, with at most
-    ``CLAUSES_PER_ROW`` clauses each, so the sample has a fixed size however large the table.
+    About ``sample`` rows are chosen by a hash of their key, with at most ``CLAUSES_PER_ROW``
+    clauses each, so the sample has a fixed size however large the table. A table without
+    any label gives a model without knowledge.
     """
     rows = df.select(F.col(key).cast("string").alias("_key"), F.col(text).alias("_text"), label_code(F.col(label)).alias("_lang")).filter(F.col("_lang").isin(LANGUAGES))
-    sizes = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().collect()}
-    if not sizes:
-        return Model({}, {}, np.zeros(len(LANGUAGES)), 1.0, 1.0)
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_label / n)))])
+    size = rows.count()
     draw = (F.pmod(F.xxhash64("_key"), F.lit(1_000_003)) + 0.5) / 1_000_003
-    chosen = rows.filter(draw <= F.element_at(share, F.col("_lang"))).select("_key", "_lang", F.explode(_sample_clauses("_text")).alias("_words"))
-    got = sorted((r["_key"], r["_lang"], r["_words"]) for r in chosen.limit(2 * per_label * CLAUSES_PER_ROW * len(LANGUAGES)).collect())
-    return train([(words, k) for _, k, words in got])
+    chosen = rows.filter(draw <= min(1.0, sample / max(1, size))).select("_key", "_lang", F.explode(_sample_clauses("_text")).alias("_words"))
+    got = sorted((r["_key"], r["_lang"], r["_words"]) for r in chosen.limit(2 * sample * CLAUSES_PER_ROW).collect())
+    return train([(words, k) for _, k, words in got]) if got else Model({}, {}, np.zeros(len(LANGUAGES)), 1.0, 1.0)
 
 
 def with_segments(df: DataFrame, text: str, model: Model, name: str = "segments") -> DataFrame:
