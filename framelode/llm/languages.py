@@ -32,7 +32,7 @@ SAMPLE_ROWS, CLAUSES_PER_ROW, CLAUSE_CHARS = 12_000, 3, 400
 MIN_WORDS, MIN_HANGUL_WORDS, MIN_HANGUL, MIN_KANA = 4, 3, 7, 8
 
 _JUNK = re.compile(rf"{CLOCK}|{NOTE}|^[ \t]*[0-9]+[ \t]*$|[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}(?:[.,][0-9]{{3}})?(?: ?--> ?)?", re.M)
-_SENTENCE = re.compile(r"[^.!?。！？…\n]+")
+_SENTENCE = re.compile(r"[^.!?。！？\n]+")
 _UNIT = re.compile(r"([぀-ヿ㐀-鿿々〆ー]+)|([가-힣]+)|([^\W\d_]+(?:['’][^\W\d_]+)*)")
 _HESITATIONS = frozenset(HESITATIONS)
 SEGMENT = T.ArrayType(T.StructType([T.StructField("language", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -64,7 +64,7 @@ def clauses(text: str) -> list[list[tuple[int, str, int, int]]]:
     Sentences are cut where the script changes, but single foreign words, such as names,
     stay out of a clause. What is too short to be a clause (interjections, labels) is left out.
     """
-    plain = _JUNK.sub(lambda m: " " * len(m.group(0)), text)
+    plain = _JUNK.sub(lambda m: " " * len(m.group(0)), text).replace("...", "   ").replace("…", " ")
     found = []
     for m in _SENTENCE.finditer(plain):
         runs: list[list[tuple[int, str, int, int]]] = []
