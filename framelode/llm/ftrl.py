@@ -64,8 +64,8 @@ def fit(x: Sparse, y: np.ndarray, features: int, classes: int, *, epochs: int =
 
 
 def temperature(logits: np.ndarray, y: np.ndarray) -> float:
-    """The temperature under which held-out rows are most likely."""
-    grid = np.exp(np.linspace(np.log(0.05), np.log(20), 121))
+    """The temperature under which held-out rows are most likely; at least 0.3, as rows without any error would ask for none at all."""
+    grid = np.exp(np.linspace(np.log(0.3), np.log(20), 121))
     rows = np.arange(len(y))
     loss = [-np.log(np.maximum(softmax(logits / t)[rows, y], 1e-12)).mean() for t in grid]
     return float(grid[int(np.argmin(loss))])

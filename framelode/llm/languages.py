@@ -33,8 +33,11 @@ MIN_WORDS, MIN_HANGUL_WORDS, MIN_HANGUL, MIN_KANA = 4, 3, 7, 8
 
 _JUNK = re.compile(rf"{CLOCK}|{NOTE}|^[ \t]*[0-9]+[ \t]*$|[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}(?:[.,][0-9]{{3}})?(?: ?--> ?)?", re.M)
 _SENTENCE = re.compile(r"[^.!?。！？\n]+")
+_TRIGGER = re.compile(r"[\[(<*♪♫♬:]")
+_WIDE = re.compile(r"[\u1100-\u11ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7a3]")
+_ALPHABET = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _UNIT = re.compile(r"([぀-ヿ㐀-鿿々〆ー]+)|([가-힣]+)|([^\W\d_]+(?:['’][^\W\d_]+)*)")
-_HESITATIONS = frozenset(HESITATIONS)
+_HESITATIONS = frozenset(h for w in HESITATIONS for h in (w, w.capitalize(), w.upper()))
 SEGMENT = T.ArrayType(T.StructType([T.StructField("language", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
@@ -58,34 +61,51 @@ def grams(unit: str) -> Iterator[str]:
             yield u[i : i + n]
 
 
-def clauses(text: str) -> list[list[tuple[int, str, int, int]]]:
-    """Clauses of a text as lists of (script, word, start, end); script 0 ideographs and kana, 1 Hangul, 2 alphabets.
+def blanked(text: str) -> str:
+    """The text with clock marks, sound notes, subtitle numbers and dots of hesitation blanked out; offsets stay."""
+    plain = _JUNK.sub(lambda m: " " * len(m.group(0)), text) if _TRIGGER.search(text) else text
+    return plain.replace("...", "   ").replace("…", " ") if ".." in plain or "…" in plain else plain
+
+
+def clauses(text: str) -> list[tuple[list[str], int, int]]:
+    """Clauses of a text as (words, start, end).
 
     Sentences are cut where the script changes, but single foreign words, such as names,
-    stay out of a clause. What is too short to be a clause (interjections, labels) is left out.
+    stay out of a clause. What is too short to be a clause (interjections, labels) is left out,
+    and hesitations aren't counted.
     """
-    plain = _JUNK.sub(lambda m: " " * len(m.group(0)), text).replace("...", "   ").replace("…", " ")
-    found = []
+    plain = blanked(text)
+    found: list[tuple[list[str], int, int]] = []
     for m in _SENTENCE.finditer(plain):
-        runs: list[list[tuple[int, str, int, int]]] = []
-        by: tuple[list, list] = ([], [])
+        part = m.group(0)
+        if not _WIDE.search(part):
+            words = _ALPHABET.findall(part)
+            if len(words) >= MIN_WORDS:
+                if not _HESITATIONS.isdisjoint(words):
+                    words = [w for w in words if w not in _HESITATIONS]
+                    if len(words) < MIN_WORDS:
+                        continue
+                found.append((words, m.start() + len(part) - len(part.lstrip()), m.end() - len(part) + len(part.rstrip())))
+            continue
+        runs: list[list[tuple[str, int, int]]] = [[]]
+        by: tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]] = ([], [])
         for u in _UNIT.finditer(plain, m.start(), m.end()):
-            k = u.lastindex - 1
-            if u.group(0).lower() in _HESITATIONS:
+            w = u.group(0)
+            if w in _HESITATIONS:
                 continue
-            unit = (k, u.group(0), u.start(), u.end())
-            if k < 2:
-                by[k].append(unit)
-                runs.append([])
+            unit = (w, u.start(), u.end())
+            if u.lastindex == 3:
+                runs[-1].append(unit)
             else:
-                if not runs:
+                by[u.lastindex - 1].append(unit)
+                if runs[-1]:
                     runs.append([])
-                runs[-1].append(unit)
-        if sum(len(u[1]) for u in by[0]) >= MIN_KANA:
-            found.append(by[0])
-        if len(by[1]) >= MIN_HANGUL_WORDS and sum(len(u[1]) for u in by[1]) >= MIN_HANGUL:
-            found.append(by[1])
-        found += [r for r in runs if len(r) >= MIN_WORDS]
+        groups = [r for r in runs if len(r) >= MIN_WORDS]
+        if sum(len(u[0]) for u in by[0]) >= MIN_KANA:
+            groups.append(by[0])
+        if len(by[1]) >= MIN_HANGUL_WORDS and sum(len(u[0]) for u in by[1]) >= MIN_HANGUL:
+            groups.append(by[1])
+        found += [([u[0] for u in g], g[0][1], g[-1][2]) for g in groups]
     return found
 
 
@@ -94,73 +114,132 @@ class Model:
 
     def __init__(self, table: dict[str, np.ndarray], idf: dict[str, float], bias: np.ndarray, rest: float, heat: float):
         self.table, self.idf, self.bias, self.rest, self.heat = table, idf, bias, rest, heat
-        self.known: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.rows = np.zeros((1024, len(LANGUAGES) + 1))
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}}
-
-    def word(self, unit: str) -> np.ndarray:
-        """Summed weighted n-grams of a word per language, and, last, the sum of its TF-IDF."""
-        if (v := self.known.get(unit)) is None:
-            v = np.zeros(len(LANGUAGES) + 1)
-            for g in grams(unit):
-                f = self.idf.get(g, self.rest)
-                v[-1] += f
-                if (w := self.table.get(g)) is not None:
-                    v[:-1] += f * w
-            if len(self.known) > 200_000:
-                self.known.clear()
-            self.known[unit] = v
-        return v
+        return {k: v for k, v in self.__dict__.items() if k not in ("ids", "rows")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._forget()
+
+    def _add(self, unit: str) -> int:
+        """A new number for a word; its row holds the summed weighted n-grams per language and, last, the sum of its TF-IDF."""
+        k = len(self.ids)
+        if k == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        v = np.zeros(len(LANGUAGES) + 1)
+        for g in grams(unit):
+            f = self.idf.get(g, self.rest)
+            v[-1] += f
+            if (w := self.table.get(g)) is not None:
+                v[:-1] += f * w
+        self.rows[k] = v
+        self.ids[unit] = k
+        return k
+
+    def numbers(self, words: list[str]) -> list[int]:
+        try:
+            return [self.ids[w] for w in words]
+        except KeyError:
+            return [self.ids[w] if w in self.ids else self._add(w) for w in words]
 
     def chances(self, sums: np.ndarray) -> np.ndarray:
-        x = (SCALE * sums[..., :-1] / np.maximum(sums[..., -1:], 1e-9) + self.bias) / self.heat
-        return ftrl.softmax(np.atleast_2d(x))
-
-    def parts(self, clause: list) -> list[tuple[int, np.ndarray, int, int]]:
-        """(language, chances, start, end) of a clause; two if its words change language within."""
-        rows = np.array([self.word(u[1]) for u in clause])
-        total = rows.sum(axis=0)
-        p = self.chances(total)[0]
-        whole = [(int(p.argmax()), p, clause[0][2], clause[-1][3])]
-        n = len(clause)
-        if clause[0][0] != 2 or n < 2 * MIN_WORDS:
-            return whole
-        lean = rows[:, :-1].argmax(axis=1)
-        if (lean != whole[0][0]).sum() < MIN_WORDS - 1:
-            return whole
+        return ftrl.softmax((SCALE * sums[:, :-1] / np.maximum(sums[:, -1:], 1e-9) + self.bias) / self.heat)
+
+    def cut(self, rows: np.ndarray) -> tuple[int, np.ndarray, np.ndarray] | None:
+        """Where the words of a clause change language within, with the chances before and after; None if they don't."""
+        n = len(rows)
         before = rows.cumsum(axis=0)[MIN_WORDS - 1 : n - MIN_WORDS]
-        a, b = self.chances(before), self.chances(total - before)
+        a, b = self.chances(before), self.chances(rows.sum(axis=0) - before)
         both = a.max(axis=1) * b.max(axis=1)
         both[a.argmax(axis=1) == b.argmax(axis=1)] = 0
         k = int(both.argmax())
-        cut = k + MIN_WORDS
-        sides = (lean[:cut] == a[k].argmax()).sum() >= MIN_WORDS - 1 and (lean[cut:] == b[k].argmax()).sum() >= MIN_WORDS - 1
-        if both[k] < SPLIT_CHANCE or not sides:
-            return whole
-        return [(int(a[k].argmax()), a[k], clause[0][2], clause[cut - 1][3]), (int(b[k].argmax()), b[k], clause[cut][2], clause[-1][3])]
-
-    def segments(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """Stretches of one language in the order of the text; empty for null and for texts without a clause."""
-        if not text:
-            return []
-        found = [x for c in clauses(text) for x in self.parts(c)]
-        if not found:
-            return []
-        weight = np.zeros(len(LANGUAGES))
-        for k, p, s, e in found:
-            weight[k] += (e - s) * p[k]
-        main = int(weight.argmax())
-        out: list[list] = []
-        for k, p, s, e in sorted(found, key=lambda x: x[2]):
-            if k != main and p[k] < DOUBT and p[main] >= 0.05:
-                k = main
-            if out and out[-1][0] == k:
-                out[-1][1].append((e - s, p[k]))
-                out[-1][3] = max(out[-1][3], e)
-            else:
-                out.append([k, [(e - s, p[k])], s, e])
-        return [(LANGUAGES[k], round(sum(n * c for n, c in cs) / sum(n for n, _ in cs), 4), s, e) for k, cs, s, e in out]
+        at = k + MIN_WORDS
+        lean = rows[:, :-1].argmax(axis=1)
+        sides = (lean[:at] == a[k].argmax()).sum() >= MIN_WORDS - 1 and (lean[at:] == b[k].argmax()).sum() >= MIN_WORDS - 1
+        return (at, a[k], b[k]) if both[k] >= SPLIT_CHANCE and sides else None
+
+    def segments(self, texts: list[str | None]) -> list[list[tuple[str, float, int, int]]]:
+        """For each text its stretches of one language in order; none for null and for texts without a clause.
+
+        Words are scored by table look-up, clauses of all texts together in a few array steps.
+        """
+        if len(self.ids) > 300_000:
+            self._forget()
+        flat: list[int] = []
+        begins: list[int] = []
+        spans: list[tuple[int, int, int]] = []
+        wordy: list[list[str]] = []
+        for i, t in enumerate(texts):
+            if t:
+                for words, s, e in clauses(t):
+                    begins.append(len(flat))
+                    flat += self.numbers(words)
+                    spans.append((i, s, e))
+                    wordy.append(words)
+        out: list[list[tuple[str, float, int, int]]] = [[] for _ in texts]
+        if not spans:
+            return out
+        at = np.array(flat, dtype=np.int64)
+        first = np.array(begins, dtype=np.int64)
+        p = self.chances(np.add.reduceat(self.rows[at], first, axis=0))
+        top = p.argmax(axis=1)
+        sizes = np.diff(np.append(first, len(at)))
+        other = np.add.reduceat((self.rows[: len(self.ids), :-1].argmax(axis=1)[at] != np.repeat(top, sizes)).astype(np.int64), first)
+        doubtful = set(np.flatnonzero((sizes >= 2 * MIN_WORDS) & (other >= MIN_WORDS - 1)).tolist())
+        best = p[np.arange(len(top)), top].tolist()
+        main = 0
+        k, n = 0, len(spans)
+        tops = top.tolist()
+        while k < n:
+            i = spans[k][0]
+            found: list[tuple[int, float, int, int, np.ndarray]] = []
+            while k < n and spans[k][0] == i:
+                _, s, e = spans[k]
+                split = self.cut(self.rows[at[begins[k] : begins[k] + int(sizes[k])]]) if k in doubtful else None
+                if split:
+                    place, pa, pb = split
+                    middle = _word_place(texts[i], wordy[k], place, s, e)
+                    found.append((int(pa.argmax()), float(pa.max()), s, middle[0], pa))
+                    found.append((int(pb.argmax()), float(pb.max()), middle[1], e, pb))
+                else:
+                    found.append((tops[k], best[k], s, e, p[k]))
+                k += 1
+            weight = [0.0] * len(LANGUAGES)
+            for c, x, s, e, _ in found:
+                weight[c] += (e - s) * x
+            main = weight.index(max(weight))
+            merged: list[list] = []
+            found.sort(key=lambda x: x[2])
+            for c, x, s, e, px in found:
+                if c != main and x < DOUBT and px[main] >= 0.05:
+                    c, x = main, float(px[main])
+                if merged and merged[-1][0] == c:
+                    last = merged[-1]
+                    last[1] += (e - s) * x
+                    last[2] += e - s
+                    last[4] = max(last[4], e)
+                else:
+                    merged.append([c, (e - s) * x, e - s, s, e])
+            out[i] = [(LANGUAGES[c], round(mass / max(1, size), 4), s, e) for c, mass, size, s, e in merged]
+        return out
+
+
+def _word_place(text: str, words: list[str], at: int, start: int, end: int) -> tuple[int, int]:
+    """End of the word before place ``at`` of a clause and start of the word at it."""
+    pos = start
+    last = start
+    for i, w in enumerate(words[: at + 1]):
+        pos = text.find(w, pos, end)
+        if i == at:
+            return last, pos
+        pos = last = pos + len(w)
+    return last, last
 
 
 #: TF-IDF rows sum up to the first; a clause is cut in two if the product of both chances reaches the second; below the last, the text's main language is kept.
@@ -209,7 +288,7 @@ def train(examples: list[tuple[list[str], str]], *, seed: int = 7) -> Model:
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
 def _sample_clauses(text: pd.Series) -> pd.Series:
     def some(t: str | None) -> list[list[str]]:
-        found = [[u[1] for u in c] for c in clauses(t or "") if c[-1][3] - c[0][2] <= CLAUSE_CHARS]
+        found = [words for words, s, e in clauses(t or "") if e - s <= CLAUSE_CHARS]
         return found if len(found) <= CLAUSES_PER_ROW else [found[len(found) * i // CLAUSES_PER_ROW] for i in range(CLAUSES_PER_ROW)]
 
     return text.map(some)
@@ -240,9 +319,10 @@ def with_segments(df: DataFrame, text: str, model: Model, name: str = "segments"
 
     @F.pandas_udf(SEGMENT)
     def segments(texts: pd.Series) -> pd.Series:
-        return texts.map(sent.value.segments)
+        return pd.Series(sent.value.segments(texts.tolist()), dtype=object)
 
-    return df.withColumn(name, segments(F.col(text)))
+    # Declared nondeterministic so that Catalyst evaluates it once, not again in filters on its result.
+    return df.withColumn(name, segments.asNondeterministic()(F.col(text)))
 
 
 def mislabelled(df: DataFrame, label: str, segments: str = "segments") -> DataFrame:
