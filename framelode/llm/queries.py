@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
+from ..session import cut_lineage
 from .languages import mislabelled, train_on, with_segments
 from .lookalike import canonical_text, look_alike_pairs
+from .mixing import mixed
 from .nearest import nearest_within
+from .packing import fill_report, packed
+from .reading import fit_levels, word_counts
 from .repeats import repeated_runs
+from .tokens import with_tokens
 from .turns import clean_turns, roster_names, speaker_turns
 
 reg = Registry()
@@ -95,3 +100,67 @@ def p5_found(t):
     lines = t.ocr_lines.select(F.lit("ocr_lines").alias("source_table"), "asset_id", F.col("line_id").alias("record_id"), "timestamp")
     people = t.person_detections.select(F.lit("person_detections").alias("source_table"), "asset_id", F.col("detection_id").alias("record_id"), "timestamp")
     return nearest_within(lines.unionByName(people), t.vision_samples, ["asset_id"], "timestamp", ["source_table", "record_id"], "timestamp", "sample_id", 0.4)
+
+
+#: Rows of the tables of container kinds; more is refused, as the kinds become part of the plan.
+MAX_KINDS = 1000
+
+
+def _kinds(t):
+    rows = t.pack_limits.filter("container_kind IS NOT NULL AND capacity_tokens > 0").distinct().limit(MAX_KINDS + 1).collect()
+    if len(rows) > MAX_KINDS:
+        raise ValueError(f"at most {MAX_KINDS} kinds of containers")
+    return sorted((r["container_kind"], int(r["capacity_tokens"])) for r in rows)
+
+
+def _sized(t):
+    """Documents with their tokens; counted once, as every use would tokenise all texts again."""
+    return cut_lineage(with_tokens(t.documents.select("doc_id", "source", "text"), "text").drop("text"))
+
+
+@reg.add("p8_containers")
+def p8_containers(t):
+    return packed(_sized(t), "doc_id", "tokens", _kinds(t))
+
+
+@reg.add("p8_fill")
+def p8_fill(t):
+    kinds = _kinds(t)
+    return fill_report(packed(_sized(t), "doc_id", "tokens", kinds), kinds)
+
+
+@reg.add("p9_draws")
+def p9_draws(t):
+    return mixed(_sized(t), t.mix_targets, "doc_id", "source", "tokens")[0]
+
+
+@reg.add("p9_shares")
+def p9_shares(t):
+    return mixed(_sized(t), t.mix_targets, "doc_id", "source", "tokens")[1]
+
+
+#: The least level that counts as grade 12, which raters give as whole numbers.
+GRADE_12 = 11.5
+
+
+def _english(t):
+    """Documents wholly in English."""
+    docs = t.documents.select("doc_id", "text").distinct()
+    rows = _labelled(t)
+    spoken = with_segments(docs, "text", train_on(rows, "record_key", "text", "label"))
+    return spoken.filter((F.size("segments") > 0) & F.forall("segments", lambda s: s["language"] == "en")).select("doc_id", "text")
+
+
+@reg.add("p10_found")
+def p10_found(t):
+    docs = cut_lineage(_english(t))
+    levels = fit_levels(word_counts(docs, "doc_id", "text"), t.reading_labels, "doc_id", "grade").filter(F.col("level") >= GRADE_12).select(F.col("_d").alias("doc_id"))
+    long = docs.filter(F.size(F.regexp_extract_all("text", F.lit(r"[^\s\p{Z}]+"), F.lit(0))) >= 40).select("doc_id")
+    return long.join(levels, "doc_id", "left_semi")
+
+
+@reg.add("p10_levels")
+def p10_levels(t):
+    """Every document with its level; null where the text isn't wholly in English, as no grades tell the levels of other languages."""
+    levels = fit_levels(word_counts(_english(t), "doc_id", "text"), t.reading_labels, "doc_id", "grade").withColumnRenamed("_d", "doc_id")
+    return t.documents.select("doc_id").distinct().join(levels, "doc_id", "left").select("doc_id", "theta", "level")

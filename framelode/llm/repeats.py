@@ -32,9 +32,10 @@ def repeated_runs(df: DataFrame, keys: list[str], time: str, end: str, id_col: s
     rows = df.select(*(F.col(k).alias(a) for k, a in zip(keys, ks)), F.col(time).cast("double").alias("_s"), F.col(end).cast("double").alias("_e"), F.col(id_col).alias("_id"), F.col(text).alias("_text"))
     for c in [*ks, "_id", "_s"]:
         rows = rows.filter(F.col(c).isNotNull())
-    rows = rows.filter(~F.isnan("_s") & F.col("_text").rlike(r"[^\s\p{Z}\p{Cf}]")).distinct()
-    rows = rows.select(*ks, "_s", F.greatest("_s", F.nanvl("_e", "_s")).alias("_e"), "_id", words_said(F.col("_text")).alias("_w"))
-    rows = rows.withColumn("_b", F.floor(F.col("_s") / bucket).cast("long"))
+    rows = rows.filter(~F.isnan("_s") & F.col("_text").rlike(r"[^\s\p{Z}\p{Cf}]")).withColumn("_b", F.floor(F.col("_s") / bucket).cast("long"))
+    # One exchange serves the removal of copies and the look-back.
+    rows = rows.repartition(*ks, "_b").dropDuplicates()
+    rows = rows.select(*ks, "_b", "_s", F.greatest("_s", F.nanvl("_e", "_s")).alias("_e"), "_id", words_said(F.col("_text")).alias("_w"))
     rows = with_previous(rows, ks, "_b", ["_s", "_id"], ["_id", "_s", "_e", "_w"], "_p")
     links = rows.filter(F.col("_p").isNotNull() & same_words(F.col("_w"), F.col("_p._w"))).select(
         *ks, "_id", F.col("_p._id").alias("_to"), F.col("_p._s").alias("_s"), F.greatest("_e", "_p._e").alias("_e"), F.lit(1).cast("long").alias("_n"), F.lit(False).alias("_done")
