@@ -143,24 +143,21 @@ def p9_shares(t):
 GRADE_12 = 11.5
 
 
-def _english(t):
-    """Documents wholly in English."""
-    docs = t.documents.select("doc_id", "text").distinct()
-    rows = _labelled(t)
-    spoken = with_segments(docs, "text", train_on(rows, "record_key", "text", "label"))
-    return spoken.filter((F.size("segments") > 0) & F.forall("segments", lambda s: s["language"] == "en")).select("doc_id", "text")
+def _levels(t):
+    """Documents wholly in English with their number of pieces between blanks, theta and level."""
+    docs = t.documents.select("doc_id", "text", F.col("lang").alias("label"))
+    spoken = with_segments(docs, "text", train_on(docs, "doc_id", "text", "label"))
+    english = spoken.filter((F.size("segments") > 0) & F.forall("segments", lambda s: s["language"] == "en"))
+    pieces = english.select("doc_id", "text", F.size(F.regexp_extract_all("text", F.lit(r"[^\s\p{Z}]+"), F.lit(0))).alias("pieces"))
+    return fit_levels(word_counts(pieces, "doc_id", "text", "pieces"), t.reading_labels, "doc_id", "grade").withColumnRenamed("_d", "doc_id")
 
 
 @reg.add("p10_found")
 def p10_found(t):
-    docs = cut_lineage(_english(t))
-    levels = fit_levels(word_counts(docs, "doc_id", "text"), t.reading_labels, "doc_id", "grade").filter(F.col("level") >= GRADE_12).select(F.col("_d").alias("doc_id"))
-    long = docs.filter(F.size(F.regexp_extract_all("text", F.lit(r"[^\s\p{Z}]+"), F.lit(0))) >= 40).select("doc_id")
-    return long.join(levels, "doc_id", "left_semi")
+    return _levels(t).filter((F.col("pieces") >= 40) & (F.col("level") >= GRADE_12)).select("doc_id")
 
 
 @reg.add("p10_levels")
 def p10_levels(t):
     """Every document with its level; null where the text isn't wholly in English, as no grades tell the levels of other languages."""
-    levels = fit_levels(word_counts(_english(t), "doc_id", "text"), t.reading_labels, "doc_id", "grade").withColumnRenamed("_d", "doc_id")
-    return t.documents.select("doc_id").distinct().join(levels, "doc_id", "left").select("doc_id", "theta", "level")
+    return t.documents.select("doc_id").distinct().join(_levels(t).select("doc_id", "theta", "level"), "doc_id", "left")

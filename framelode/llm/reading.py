@@ -2,128 +2,203 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
-#: Latent levels are kept on a grid, which bounds what the driver gathers: one number per grid place.
+#: Latent levels lie on a grid, which bounds what the driver gathers: a few numbers per grid place.
 GRID = np.linspace(-4.0, 4.0, 81)
-ROUNDS, RIDGE, PSEUDO, MOVED = 5, 2.0, 0.5, 0.01
-WORD = r"[a-z]+(?:'[a-z]+)?"
+ROUNDS, RIDGE, PSEUDO, MOVED = 6, 2.0, 0.5, 0.02
+#: Up to so many words their parameters are sent to all workers; more are joined by shuffle.
+SENT_WORDS = 300_000
+_WORD = re.compile(r"[a-z]+(?:'[a-z]+)?")
 
 
-def word_counts(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """_d, _w, _n: how often each word occurs in each document. Whole texts; null and empty texts have no rows."""
-    words = df.select(F.col(id_col).alias("_d"), F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0))).alias("_w"))
-    return words.groupBy("_d", "_w").agg(F.count("*").alias("_n"))
+@F.pandas_udf(T.StructType([T.StructField("ws", T.ArrayType(T.StringType())), T.StructField("ns", T.ArrayType(T.IntegerType()))]))
+def _counted(texts: pd.Series) -> pd.DataFrame:
+    found = [Counter(_WORD.findall(t.lower())) if t else Counter() for t in texts]
+    return pd.DataFrame({"ws": [list(c.keys()) for c in found], "ns": [list(c.values()) for c in found]})
 
 
-def _place(theta) -> F.Column:
-    return F.greatest(F.lit(0), F.least(F.lit(len(GRID) - 1), F.round((theta - GRID[0]) / (GRID[1] - GRID[0])))).cast("int")
+def word_counts(df: DataFrame, id_col: str, text: str, *keep: str) -> DataFrame:
+    """_d, _ws, _ns, _size and the kept columns: the words of each document with their counts, one row per document.
+
+    Whole texts are counted; null and empty texts have no words. Rows of one id count once.
+    """
+    rows = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_d"), *keep, _counted(F.col(text)).alias("_x"))
+    rows = rows.select("_d", *keep, F.col("_x.ws").alias("_ws"), F.col("_x.ns").alias("_ns"))
+    return rows.withColumn("_size", F.aggregate("_ns", F.lit(0).cast("long"), lambda a, n: a + n)).dropDuplicates(["_d"])
+
+
+def _flat(pdf: pd.DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """All words of a batch, their counts and the rows they belong to."""
+    words = [w for ws in pdf["_ws"] for w in ws]
+    counts = np.concatenate([np.asarray(x, dtype=float) for x in pdf["_ns"]]) if words else np.zeros(0)
+    return words, counts, np.repeat(np.arange(len(pdf)), pdf["_ws"].map(len).to_numpy())
 
 
-def _word_step(rows: DataFrame, exposure: np.ndarray) -> DataFrame:
-    """_w, _a, _b: base rate and slope of each word from its count and level-weighted count.
+def _levels(size: np.ndarray, pull: np.ndarray, z: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """Place on the grid of the most likely level, with a standard normal prior."""
+    return (pull[:, None] * grid - size[:, None] * z - 0.5 * grid**2).argmax(1)
 
-    Newton steps on the Poisson likelihood; what every word shares, the running words written at
-    each level, enters through ``exposure``, one number per grid place.
+
+def _by_map(docs: DataFrame, table: dict[str, float] | None, z: np.ndarray | None, grid: np.ndarray) -> DataFrame:
+    """_w, _c, _ct, _k: summed counts per word and, with a null word, sizes (_c) and documents (_ct) per grid place _k.
+
+    One pass without any shuffle before the sums; ``table`` has the slopes of all words. Without
+    it, documents stand where their grade puts them and others are left out.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        slopes = sent.value
+        for pdf in parts:
+            if slopes is None:
+                pdf = pdf[pdf["_at"].notna()]
+            pdf = pdf[pdf["_size"] > 0].reset_index(drop=True)
+            if not len(pdf):
+                continue
+            words, n, row = _flat(pdf)
+            size = pdf["_size"].to_numpy(float)
+            if slopes is None:
+                k = np.abs(pdf["_at"].to_numpy(float)[:, None] - grid).argmin(1)
+            else:
+                k = _levels(size, np.bincount(row, weights=n * np.array([slopes.get(w, 0.0) for w in words]), minlength=len(pdf)), z, grid)
+            codes, names = pd.factorize(np.array(words, dtype=object))
+            yield pd.DataFrame({"_w": names, "_c": np.bincount(codes, weights=n), "_ct": np.bincount(codes, weights=n * grid[k][row]), "_k": -1})
+            places = np.unique(k)
+            yield pd.DataFrame({"_w": None, "_c": np.bincount(k, weights=size, minlength=len(grid))[places], "_ct": np.bincount(k, minlength=len(grid))[places].astype(float), "_k": places})
+
+    return docs.select("_ws", "_ns", "_size", "_at").mapInPandas(run, "_w string, _c double, _ct double, _k int").groupBy("_w", "_k").agg(F.sum("_c").alias("_c"), F.sum("_ct").alias("_ct"))
+
+
+def _by_join(docs: DataFrame, words: DataFrame, z: np.ndarray, grid: np.ndarray) -> DataFrame:
+    """The same sums where the words are too many to be sent: words and documents meet in a shuffle join."""
+    theta = _theta_by_join(docs, words, z, grid)
+    exploded = docs.join(theta, "_d").select("_k", F.explode(F.arrays_zip("_ws", "_ns")).alias("_x"))
+    at = F.element_at(F.array(*map(F.lit, grid.tolist())), F.col("_k") + 1)
+    per_word = exploded.groupBy(F.col("_x._ws").alias("_w")).agg(F.sum("_x._ns").cast("double").alias("_c"), F.sum(F.col("_x._ns") * at).alias("_ct")).withColumn("_k", F.lit(-1))
+    per_place = docs.join(theta, "_d").groupBy("_k").agg(F.sum("_size").cast("double").alias("_c"), F.count("*").cast("double").alias("_ct")).withColumn("_w", F.lit(None).cast("string"))
+    return per_word.select("_w", "_k", "_c", "_ct").unionByName(per_place.select("_w", "_k", "_c", "_ct"))
+
+
+def _theta_by_join(docs: DataFrame, words: DataFrame, z: np.ndarray, grid: np.ndarray) -> DataFrame:
+    flat = docs.select("_d", F.explode(F.arrays_zip("_ws", "_ns")).alias("_x")).select("_d", F.col("_x._ws").alias("_w"), F.col("_x._ns").alias("_n"))
+    pull = flat.join(words.select("_w", "_slope"), "_w").groupBy("_d").agg(F.sum(F.col("_n") * F.col("_slope")).alias("_pull"))
+
+    @F.pandas_udf("int")
+    def place(size: pd.Series, pull: pd.Series) -> pd.Series:
+        return pd.Series(_levels(size.to_numpy(float), pull.to_numpy(float), z, grid))
+
+    return docs.select("_d", "_size").join(pull, "_d", "left").select("_d", place("_size", F.coalesce("_pull", F.lit(0.0))).alias("_k"))
+
+
+def _fit_words(sums: DataFrame, exposure: np.ndarray, mean: float, spread: float, grid: np.ndarray) -> DataFrame:
+    """_w, _base, _slope by Newton steps on the Poisson likelihood of each word's counts.
+
+    What all words share, the running words written at each level, enters through ``exposure``.
     """
     share = exposure / exposure.sum()
-    mean = float((share * GRID).sum())
+    centre = float((share * grid).sum())
 
     def fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            c0 = pdf["_c"].to_numpy(float) + PSEUDO
-            c1 = pdf["_ct"].to_numpy(float) + PSEUDO * mean
+            c = pdf["_c"].to_numpy(float)
+            c0, c1 = c + PSEUDO, (pdf["_ct"].to_numpy(float) - mean * c) / spread + PSEUDO * centre
             a, b = np.log(c0 / exposure.sum()), np.zeros(len(pdf))
             for _ in range(8):
-                rate = np.exp(np.clip(a[:, None] + b[:, None] * GRID, -40, 5)) * exposure
-                s0, s1, s2 = rate.sum(1), (rate * GRID).sum(1), (rate * GRID**2).sum(1) + RIDGE
+                rate = np.exp(np.clip(a[:, None] + b[:, None] * grid, -40, 5)) * exposure
+                s0, s1, s2 = rate.sum(1), (rate * grid).sum(1), (rate * grid**2).sum(1) + RIDGE
                 g0, g1 = c0 - s0, c1 - s1 - RIDGE * b
                 det = np.maximum(s0 * s2 - s1**2, 1e-12)
                 a += np.clip((s2 * g0 - s1 * g1) / det, -1, 1)
                 b += np.clip((s0 * g1 - s1 * g0) / det, -1, 1)
-            yield pd.DataFrame({"_w": pdf["_w"], "_a": a, "_b": b})
+            yield pd.DataFrame({"_w": pdf["_w"], "_base": a, "_slope": b})
 
-    return rows.mapInPandas(fit, "_w string, _a double, _b double")
+    return sums.filter("_w IS NOT NULL").select("_w", "_c", "_ct").mapInPandas(fit, "_w string, _base double, _slope double")
 
 
-def _totals(words: DataFrame) -> np.ndarray:
-    """Summed rate of all words at each grid place; every partition sends one row of that many numbers."""
+def _totals(words: DataFrame, grid: np.ndarray) -> np.ndarray:
+    """Summed rate of all words at each grid place; every partition sends that many numbers."""
 
     def part(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(GRID))
+        total = np.zeros(len(grid))
         for pdf in parts:
-            total += np.exp(pdf["_a"].to_numpy()[:, None] + pdf["_b"].to_numpy()[:, None] * GRID).sum(0)
-        yield pd.DataFrame({"k": np.arange(len(GRID)), "z": total})
+            total += np.exp(pdf["_base"].to_numpy()[:, None] + pdf["_slope"].to_numpy()[:, None] * grid).sum(0)
+        yield pd.DataFrame({"k": np.arange(len(grid)), "z": total})
 
-    got = words.mapInPandas(part, "k int, z double").groupBy("k").agg(F.sum("z").alias("z")).collect()
-    out = np.zeros(len(GRID))
-    for r in got:
+    out = np.zeros(len(grid))
+    for r in words.mapInPandas(part, "k int, z double").groupBy("k").agg(F.sum("z").alias("z")).collect():
         out[r["k"]] = r["z"]
     return out
 
 
-def _best_level(z: np.ndarray):
-    """The most likely grid level of a document, given the summed rates ``z`` and a standard normal prior."""
-
-    @F.pandas_udf("double")
-    def best(size: pd.Series, pull: pd.Series) -> pd.Series:
-        like = pull.to_numpy()[:, None] * GRID - size.to_numpy()[:, None] * z - 0.5 * GRID**2
-        return pd.Series(GRID[like.argmax(1)])
-
-    return best
-
-
-def fit_levels(counts: DataFrame, grades: DataFrame, id_col: str, grade: str, *, rounds: int = ROUNDS) -> DataFrame:
-    """_d, theta, level: latent level of each document and the same on the scale of the grades.
+def fit_levels(counts: DataFrame, grades: DataFrame, id_col: str, grade: str, *, rounds: int = ROUNDS, sent_words: int = SENT_WORDS) -> DataFrame:
+    """_d, the kept columns, theta and level: latent level of each document, and the same on the scale of the grades.
 
-    A word's occurrences in a document are Poisson with rate ``words * exp(a + b * theta)``: the
+    A word's occurrences in a document are Poisson with rate ``words * exp(base + slope * theta)``: the
     Rasch model of counts, in which a document's level and a word's difficulty meet, with a
-    slope per word. Words are fitted given levels, levels given words, alternately; the first
-    word step uses graded documents alone, which anchors the direction. Each step is one
-    join and one aggregation; between rounds the levels are checkpointed. Grades of a document are
-    reduced to their median; the line from theta to grades is fitted three times, each time
-    without the grades that lie more than three off.
-
-    Cases: documents without words have no row; null grades are ignored; without any grade
-    theta is 0 and level null; words of a single document, ties and repeated words are fine.
+    slope per word. Words are fitted given levels and levels given words, alternately, until
+    levels move little; the first word step uses graded documents alone, which anchors the
+    direction. A round reads the documents once and shuffles one row per word and task. Grades of a
+    document are reduced to their median; the line from theta to grades is fitted three times,
+    each time without grades more than three off.
+
+    Cases: documents without words get theta 0 and no level; null grades are ignored; without two
+    different grades theta is 0 and level null; words of a single document and ties are fine.
     """
-    counts = cut_lineage(counts)
-    sizes = cut_lineage(counts.groupBy("_d").agg(F.sum("_n").alias("_size")))
     marks = grades.select(F.col(id_col).alias("_d"), F.col(grade).cast("double").alias("_g")).filter("_d IS NOT NULL AND _g IS NOT NULL").groupBy("_d").agg(F.percentile("_g", F.lit(0.5)).alias("_g"))
-    marks = cut_lineage(marks.join(sizes, "_d", "left_semi"))
-    about = marks.agg(F.count("*").alias("n"), F.avg("_g").alias("m"), F.stddev_pop("_g").alias("s")).first()
+    docs = cut_lineage(counts.join(marks, "_d", "left"))
+    keep = [c for c in counts.columns if c not in ("_d", "_ws", "_ns", "_size")]
+    about = docs.filter("_size > 0").agg(F.count("_g").alias("n"), F.avg("_g").alias("m"), F.stddev_pop("_g").alias("s")).first()
     if not about["n"] or not about["s"]:
-        return sizes.select("_d", F.lit(0.0).alias("theta"), F.lit(None).cast("double").alias("level"))
-    theta = sizes.join(marks, "_d").select("_d", "_size", ((F.col("_g") - about["m"]) / about["s"]).alias("theta"))
+        return docs.select("_d", *keep, F.lit(0.0).alias("theta"), F.lit(None).cast("double").alias("level"))
+    docs = docs.withColumn("_at", (F.col("_g") - about["m"]) / about["s"])
+    grid, mean, spread = GRID, 0.0, 1.0
+    words = table = z = None
     for _ in range(rounds):
-        exposure = np.zeros(len(GRID))
-        for r in theta.groupBy(_place(F.col("theta")).alias("k")).agg(F.sum("_size").alias("n")).collect():
-            exposure[r["k"]] = r["n"]
-        level = theta.select("_d", F.element_at(F.array(*map(F.lit, GRID.tolist())), _place(F.col("theta")) + 1).alias("_t"))
-        per_word = counts.join(level, "_d").groupBy("_w").agg(F.sum("_n").alias("_c"), F.sum(F.col("_n") * F.col("_t")).alias("_ct"))
-        words = cut_lineage(_word_step(per_word, exposure))
-        z = _totals(words)
-
-        # A word that the fitted documents don't hold tells nothing yet.
-        pull = counts.join(words.select("_w", "_b"), "_w").groupBy("_d").agg(F.sum(F.col("_n") * F.col("_b")).alias("_pull"))
-
-        best = _best_level(z)
-        new = sizes.join(pull, "_d", "left").select("_d", "_size", best("_size", F.coalesce("_pull", F.lit(0.0))).alias("theta"))
-        new = cut_lineage(new)
-        spread = new.agg(F.avg("theta").alias("m"), F.stddev_pop("theta").alias("s")).first()
-        new = new.withColumn("theta", (F.col("theta") - spread["m"]) / (spread["s"] or 1.0))
-        shift = new.join(theta.select("_d", F.col("theta").alias("_old")), "_d").agg(F.avg(F.abs(F.col("theta") - F.col("_old"))).alias("x")).first()["x"]
-        theta = new
-        if shift is not None and shift < MOVED:
+        if words is None or table is not None:
+            sums = cut_lineage(_by_map(docs, table, z, grid))
+        else:
+            sums = cut_lineage(_by_join(docs, words, z, grid))
+        size, number = np.zeros(len(grid)), np.zeros(len(grid))
+        for r in sums.filter("_w IS NULL").collect():
+            size[r["_k"]], number[r["_k"]] = r["_c"], r["_ct"]
+        before = (mean, spread)
+        mean = float((number * grid).sum() / number.sum())
+        spread = float(np.sqrt((number * (grid - mean) ** 2).sum() / number.sum())) or 1.0
+        scaled = (grid - mean) / spread
+        words = cut_lineage(_fit_words(sums, size, mean, spread, scaled))
+        z = _totals(words, GRID)
+        grid = GRID
+        table = None
+        if words.count() <= sent_words:
+            table = {r["_w"]: r["_slope"] for r in words.select("_w", "_slope").collect()}
+        if max(abs(mean - before[0]), abs(spread - before[1])) < MOVED and before != (0.0, 1.0):
             break
-    pairs = cut_lineage(theta.join(marks, "_d").select("theta", "_g"))
+    if table is not None:
+        sent = docs.sparkSession.sparkContext.broadcast(table)
+
+        @F.pandas_udf("double")
+        def place(size: pd.Series, ws: pd.Series, ns: pd.Series) -> pd.Series:
+            words_, n, row = _flat(pd.DataFrame({"_ws": ws, "_ns": ns}))
+            pull = np.bincount(row, weights=n * np.array([sent.value.get(w, 0.0) for w in words_]), minlength=len(size)) if words_ else np.zeros(len(size))
+            return pd.Series(GRID[_levels(size.to_numpy(float), pull, z, GRID)])
+
+        out = docs.withColumn("theta", F.when(F.col("_size") > 0, place("_size", "_ws", "_ns")).otherwise(0.0))
+    else:
+        at = F.element_at(F.array(*map(F.lit, GRID.tolist())), F.col("_k") + 1)
+        out = docs.join(_theta_by_join(docs, words, z, GRID).withColumn("theta", at), "_d", "left")
+    out = cut_lineage(out.select("_d", *keep, "_size", "_g", "theta"))
+    pairs = out.filter("_g IS NOT NULL AND _size > 0")
     slope, base, kept = 0.0, float(about["m"]), pairs
     for _ in range(3):
         r = kept.agg(F.regr_slope("_g", "theta").alias("s"), F.regr_intercept("_g", "theta").alias("i")).first()
@@ -131,4 +206,4 @@ def fit_levels(counts: DataFrame, grades: DataFrame, id_col: str, grade: str, *,
             break
         slope, base = r["s"], r["i"]
         kept = pairs.filter(F.abs(F.col("_g") - (base + slope * F.col("theta"))) <= 3)
-    return theta.select("_d", F.round("theta", 6).alias("theta"), F.round(base + slope * F.col("theta"), 4).alias("level"))
+    return out.select("_d", *keep, F.round("theta", 6).alias("theta"), F.when(F.col("_size") > 0, F.round(base + slope * F.col("theta"), 4)).alias("level"))
