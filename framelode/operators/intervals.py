@@ -88,7 +88,6 @@ def nearest(a: DataFrame, b: DataFrame, key: str, a_time: str, b_time: str, b_co
     Both sides go into one sequence per key; the last and the next row of ``b`` are looked up from
     there, so no pairs are formed. Ties on time in ``b`` go to the smallest ``b_cols``.
     """
-    u = F.struct(F.col(b_time).alias("t"), *b_cols)
     right = b.filter(F.col(b_time).isNotNull()).groupBy(key, F.col(b_time)).agg(F.min(F.struct(*b_cols)).alias("_m")).select(key, F.col(b_time).alias("_t"), F.struct(F.col(b_time).alias("t"), *(F.col(f"_m.{c}").alias(c) for c in b_cols)).alias("_hit"))
     left = a.filter(F.col(a_time).isNotNull()).select(key, F.col(a_time).alias("_t"), F.struct(*a.columns).alias("_row"))
     both = left.withColumn("_hit", F.lit(None).cast(right.schema["_hit"].dataType)).unionByName(right.withColumn("_row", F.lit(None).cast(left.schema["_row"].dataType)))
@@ -96,7 +95,6 @@ def nearest(a: DataFrame, b: DataFrame, key: str, a_time: str, b_time: str, b_co
     both = with_last_known(both, [key], "_b", ["_t", "_side"], "_hit", "_back")
     both = both.withColumns({"_nt": -F.col("_t"), "_nb": -F.col("_b")})
     both = with_last_known(both, [key], "_nb", ["_nt", "_side"], "_hit", "_ahead").filter("_side = 1")
-    del u
     db, da = F.col("_t") - F.col("_back.t"), F.col("_ahead.t") - F.col("_t")
     pick = F.when(F.col("_ahead").isNull() | (db <= da), F.col("_back")).otherwise(F.col("_ahead"))
     out = both.withColumn("_pick", F.when(F.col("_back").isNull(), F.col("_ahead")).otherwise(pick))
