@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sequence import with_last_known, with_previous
+from ..session import cut_lineage
+from .sequence import with_last_known, with_previous, with_running_max
 
 #: Weight of a kind of signal in ranking and fusion, and that of kinds not named. Fixed values.
 KIND_WEIGHTS = {
@@ -32,7 +33,8 @@ def with_island(df: DataFrame, keys: list[str], order: list[str], prev: list[str
 
     Needs the column ``_b`` of ``with_bucket``.
     """
-    rows = with_previous(df, keys, "_b", order, prev, "_prev")
+    # Each look-back refers to its input twice; without a cut here, chains of operators would double their plan at every step.
+    rows = with_previous(cut_lineage(df), keys, "_b", order, prev, "_prev")
     rows = rows.withColumn("_head", F.when(F.col("_prev").isNull() | F.coalesce(starts(F.col("_prev")), F.lit(False)), F.struct(*order)))
     return with_last_known(rows, keys, "_b", order, "_head", name).drop("_prev", "_head")
 
@@ -176,9 +178,7 @@ def accepted_speech(rows: DataFrame, key: str, order: str, start: str, end: str,
     that long after every earlier end cuts the fold.
     """
     base = with_bucket(rows, start)
-    base = base.withColumn("_end", F.coalesce(F.col(end), F.col(start)))
-    from .sequence import with_running_max
-
+    base = cut_lineage(base.withColumn("_end", F.coalesce(F.col(end), F.col(start))))
     base = with_running_max(base, [key], "_b", [start, order], "_end", "_reach")
     base = base.withColumn("_cut", F.when(F.col("_reach").isNull() | (F.col(start) - F.col("_reach") > pause), F.col(order)))
     base = with_last_known(base, [key], "_b", [start, order], "_cut", "_island")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import ordered as O
 from ..operators import signals as G
+from ..session import cut_lineage
 from .common import OCR, SCENES, SPEECH, VISION, ocr, rd, scenes, speech, vision
 from .joins import ACTIVITY, activity
 from .registry import Registry
@@ -141,7 +142,7 @@ def speech_events(t):
     """Starts and ends of speech, pauses, and segment ends that two locales agree on."""
     from .joins import j_consensus
 
-    a = activity(t)
+    a = cut_lineage(activity(t))
     name = F.round(F.col("s") * 1000).cast("long").cast("string")
     starts = a.filter("s > 0.001").select("asset_id", *G.event("speech_start", F.col("s"), F.lit(0.74), F.concat(F.lit("A"), name, F.lit("-START"))))
     ends = a.select("asset_id", *G.event("speech_end", F.col("e"), F.lit(0.74), F.concat(F.lit("A"), name, F.lit("-END"))))
@@ -187,7 +188,7 @@ _KEPT = f"(SELECT w.* FROM {_WEIGHTED} w JOIN {_nms_sql(_WEIGHTED, 'asset_id', 0
 
 def weighted_events(t):
     """Events that no event of greater weight lies near."""
-    e = all_events(t).withColumn("weighted", S.round_dec(F.col("confidence") * O.kind_weight("kind"), 6))
+    e = cut_lineage(all_events(t)).withColumn("weighted", S.round_dec(F.col("confidence") * O.kind_weight("kind"), 6))
     kept = O.suppress(e, ["asset_id"], "timestamp", "weighted", "source_id", 0.55)
     return e.join(kept.select("asset_id", "source_id"), ["asset_id", "source_id"], "left_semi")
 
