@@ -39,7 +39,7 @@ def scores(weights: np.ndarray, x: Sparse, batch: int = 4096) -> np.ndarray:
     return out
 
 
-def fit(x: Sparse, y: np.ndarray, features: int, classes: int, *, epochs: int = 4, batch: int = 128, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, seed: int = 7) -> np.ndarray:
+def fit(x: Sparse, y: np.ndarray, features: int, classes: int, *, epochs: int = 4, batch: int = 128, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.1, l2: float = 0.1, seed: int = 7) -> np.ndarray:
     """Weights (features x classes); most are exactly 0. Deterministic for given rows."""
     z, n = np.zeros((features, classes)), np.zeros((features, classes))
 

@@ -36,7 +36,7 @@ _SENTENCE = re.compile(r"[^.!?。！？\n]+")
 _TRIGGER = re.compile(r"[\[(<*♪♫♬:]")
 _WIDE = re.compile(r"[\u1100-\u11ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7a3]")
 _ALPHABET = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_UNIT = re.compile(r"([぀-ヿ㐀-鿿々〆ー]+)|([가-힣]+)|([^\W\d_]+(?:['’][^\W\d_]+)*)")
+_UNIT = re.compile(r"([぀-ヿ㐀-鿿々〆ー]+)|([가-힣]+)|([^\W\d_぀-ヿ㐀-鿿々〆가-힣]+(?:['’][^\W\d_぀-ヿ㐀-鿿々〆가-힣]+)*)")
 _HESITATIONS = frozenset(h for w in HESITATIONS for h in (w, w.capitalize(), w.upper()))
 SEGMENT = T.ArrayType(T.StructType([T.StructField("language", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
