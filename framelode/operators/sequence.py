@@ -58,3 +58,18 @@ def with_running_max(df: DataFrame, keys: list[str], bucket: str, order: list[st
     tops = df.groupBy(*per).agg(F.max(col).alias("_top"))
     carry = tops.select(*per, F.max("_top").over(_window(keys, [bucket]).rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
     return inner.join(carry, per, "left").withColumn(name, F.greatest(name, "_carry")).drop("_carry")
+
+
+def with_running_sum(df: DataFrame, keys: list[str], bucket: str, order: list[str], col: str, name: str) -> DataFrame:
+    """Add ``name``: the sum of ``col`` up to and with the row in the key's order."""
+    per = [*keys, bucket]
+    inner = df.withColumn(name, F.sum(col).over(_window(per, order).rowsBetween(Window.unboundedPreceding, 0)))
+    sums = df.groupBy(*per).agg(F.sum(col).alias("_sum"))
+    carry = sums.select(*per, F.sum("_sum").over(_window(keys, [bucket]).rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    zero = F.lit(0).cast(df.schema[col].dataType)
+    return inner.join(carry, per, "left").withColumn(name, F.col(name) + F.coalesce("_carry", zero)).drop("_carry")
+
+
+def with_row_number(df: DataFrame, keys: list[str], bucket: str, order: list[str], name: str) -> DataFrame:
+    """Add ``name``: the place of the row in the key's order, from 1."""
+    return with_running_sum(df.withColumn("_one", F.lit(1).cast("long")), keys, bucket, order, "_one", name).drop("_one")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import ordered as O
+from ..operators.sequence import with_row_number
 from ..session import cut_lineage
 from .common import PEOPLE, SCENES, SPANS, SPEECH, people, rd, scenes, spans, speech
 from .registry import Registry
@@ -131,7 +132,8 @@ def p_backoff(t):
 def p_flatten_windows(t):
     """Spans of all records in one numbered list per asset."""
     j = spans(t).join(speech(t).select("asset_id", "utterance_id", "s"), ["asset_id", "utterance_id"])
-    return j.select("utterance_id", F.col("span_index").cast("long").alias("span_index"), S.sequential_id("U", 4, F.row_number().over(Window.partitionBy("asset_id").orderBy("s", "utterance_id", "span_index"))).alias("number"))
+    j = with_row_number(O.with_bucket(j, "s"), ["asset_id"], "_b", ["s", "utterance_id", "span_index"], "k")
+    return j.select("utterance_id", F.col("span_index").cast("long").alias("span_index"), S.sequential_id("U", 4, "k").alias("number"))
 
 
 @reg.add("p_display_signals", """SELECT DISTINCT scene_id, list_filter([CASE WHEN dialogue_excerpt IS NOT NULL THEN 'dialogue' END, CASE WHEN notable_count > 0 THEN 'notable' END, CASE WHEN highlighted THEN 'highlight' END], lambda x: x IS NOT NULL) AS signals FROM scenes""")
@@ -343,8 +345,7 @@ def t_list_assets(t):
 @reg.add("t_pages", f"""SELECT scene_id, (k - 1) // 12 + 1 AS page, chr(CAST(65 + ((k - 1) % 12) // 3 AS INT)) || CAST((k - 1) % 3 + 1 AS VARCHAR) AS cell FROM (SELECT scene_id, row_number() OVER (PARTITION BY asset_id ORDER BY s, scene_id) AS k FROM {SCENES})""")
 def t_pages(t):
     """Pages of twelve with cells A1 to D3."""
-    k = F.row_number().over(Window.partitionBy("asset_id").orderBy("s", "scene_id")).cast("long") - 1
-    x = scenes(t).select("scene_id", k.alias("k"))
+    x = with_row_number(O.with_bucket(scenes(t), "s"), ["asset_id"], "_b", ["s", "scene_id"], "n").withColumn("k", F.col("n") - 1)
     return x.select("scene_id", (F.floor(F.col("k") / 12) + 1).cast("long").alias("page"), F.concat(F.char(65 + F.floor((F.col("k") % 12) / 3)), (F.col("k") % 3 + 1).cast("string")).alias("cell"))
 
 
@@ -374,8 +375,8 @@ def u_shard_merge(t):
     even = F.pmod(F.crc32(F.col("scene_id")), F.lit(2)) == 0
     both = x.filter(even).unionByName(x.filter(~even))
     n = both.groupBy("scene_id").agg(F.count("*").alias("n")).filter("n = 1")
-    k = F.row_number().over(Window.partitionBy("asset_id").orderBy("s", "scene_id")).cast("long")
-    return both.withColumn("place", k).join(n, "scene_id", "left_semi").select("scene_id", "place")
+    placed = with_row_number(O.with_bucket(both, "s"), ["asset_id"], "_b", ["s", "scene_id"], "place")
+    return placed.join(n, "scene_id", "left_semi").select("scene_id", "place")
 
 
 @reg.add("u_packet_slice", f"""SELECT asset_id, count(*) AS scenes, count(*) FILTER (WHERE highlighted) AS highlights FROM {SCENES} WHERE asset_id IN (SELECT asset_id FROM person_detections) GROUP BY 1""")

@@ -290,17 +290,23 @@ def w_context_expand(t):
 )
 def w_timeline_layout(t):
     """Places of clips on the output timeline, transitions overlapping."""
-    w = Window.partitionBy("asset_id").orderBy("s", "scene_id")
-    x = scenes(t).withColumns({"len": (F.col("e") - F.col("s")) / F.when(F.col("highlighted"), 0.5).otherwise(2.0), "tr": F.when((F.col("notable_count") > 1) & F.lead("scene_id").over(w).isNotNull(), 0.25).otherwise(0.0)})
-    own = F.col("len") - F.col("tr")
-    x = x.withColumn("out_start", F.sum(own).over(w.rowsBetween(Window.unboundedPreceding, 0)) - own)
+    from ..operators.sequence import with_next, with_running_sum
+
+    k, o = ["asset_id"], ["s", "scene_id"]
+    x = with_next(O.with_bucket(scenes(t), "s"), k, "_b", o, ["scene_id"], "n")
+    x = x.withColumns({"len": (F.col("e") - F.col("s")) / F.when(F.col("highlighted"), 0.5).otherwise(2.0), "tr": F.when((F.col("notable_count") > 1) & F.col("n").isNotNull(), 0.25).otherwise(0.0)})
+    x = with_running_sum(x.withColumn("own", F.col("len") - F.col("tr")), k, "_b", o, "own", "upto")
+    x = x.withColumn("out_start", F.col("upto") - F.col("own"))
     return x.select("scene_id", S.round_dec("out_start", 4).alias("out_start"), S.round_dec(F.col("out_start") + F.col("len"), 4).alias("out_end"))
 
 
 @reg.add("w_sequential_ids", f"""SELECT scene_id, 'RW' || lpad(CAST(row_number() OVER (PARTITION BY asset_id ORDER BY s, scene_id) AS VARCHAR), 4, '0') AS window_id FROM {SCENES}""")
 def w_sequential_ids(t):
     """Numbered ids in order of time within an asset."""
-    return scenes(t).select("scene_id", S.sequential_id("RW", 4, F.row_number().over(Window.partitionBy("asset_id").orderBy("s", "scene_id"))).alias("window_id"))
+    from ..operators.sequence import with_row_number
+
+    x = with_row_number(O.with_bucket(scenes(t), "s"), ["asset_id"], "_b", ["s", "scene_id"], "k")
+    return x.select("scene_id", S.sequential_id("RW", 4, "k").alias("window_id"))
 
 
 @reg.add("w_chronology", f"""WITH x AS (SELECT asset_id, scene_id, s, lag(e) OVER (PARTITION BY asset_id ORDER BY s, e, scene_id) AS pe FROM {SCENES}) SELECT asset_id, scene_id, 'overlaps_previous' AS problem FROM x WHERE s < pe - 0.001""")
