@@ -124,6 +124,14 @@ def hamming64(a, b) -> Column:
     return (bits(1) + bits(9)) / 64.0
 
 
+def average_hash(luma) -> Column:
+    """16 hex digits of the bits of 64 values at or above their mean (M5); null for another number of values."""
+    v = col(luma)
+    mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / 64
+    digit = lambda g: F.aggregate(F.slice(F.transform(v, lambda x: (x >= mean).cast("int")), g * 4 + 1, 4), F.lit(0), lambda a, b: a * 2 + b)
+    return F.when(F.size(v) == 64, F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda g: F.lower(F.hex(digit(g)))), ""))
+
+
 def frame_quality(brightness, contrast, sharpness) -> Column:
     """Quality of a frame from its statistics (M7)."""
     penalty = F.greatest(F.lit(0.0), 0.10 - col(brightness)) * 3 + F.greatest(F.lit(0.0), col(brightness) - 0.92) * 3

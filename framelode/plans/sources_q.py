@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..operators import catalog as Q
 from ..operators import edits as E
 from ..sources import readers as R
 from ..sources import sinks as K
@@ -121,8 +122,36 @@ def ext_nation_revenue(t):
 @reg.add("q_scene_evidence", f"""SELECT scene_id, count(utterance_id) AS records, coalesce(string_agg(utterance_id, ',' ORDER BY u.s, utterance_id), '') AS ids FROM {SCENES} c LEFT JOIN {SPEECH} u ON u.asset_id = c.asset_id AND u.s < c.e AND u.e > c.s WHERE highlighted GROUP BY 1""")
 def q_scene_evidence(t):
     """What a scene rests on (get_scene_evidence)."""
-    from ..operators.intervals import overlap_join
-
     c = scenes(t).filter("highlighted").select("asset_id", "scene_id", F.col("s").alias("cs"), F.col("e").alias("ce"))
-    p = overlap_join(speech(t), c, "asset_id", ("s", "e"), ("cs", "ce")).groupBy("scene_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s", "utterance_id"))), lambda x: x["utterance_id"]), ",").alias("i"))
-    return c.join(p, "scene_id", "left").select("scene_id", F.coalesce("n", F.lit(0)).alias("records"), F.coalesce("i", F.lit("")).alias("ids"))
+    return Q.scene_evidence(c, speech(t))
+
+
+@reg.add(
+    "q_search_highlights",
+    r"""WITH s AS (SELECT DISTINCT scene_id, asset_id, title, search_text, notable_count, confidence, list_distinct(list_filter(regexp_extract_all(lower(search_text), '([\p{L}\p{N}_]+)', 1), lambda w: length(w) > 1)) AS st FROM scenes WHERE highlighted),
+    x AS (SELECT *, len(list_intersect(st, ['다리', 'harbour', 'wall'])) AS o, contains(lower(search_text), 'harbour wall 다리') AS sub FROM s)
+    SELECT scene_id, asset_id, title, """
+    + rd("o * 2.0 + CASE WHEN sub THEN 2.5 ELSE 0.0 END + 0.8 + least(1.0, coalesce(notable_count, 0) * 0.4) + coalesce(confidence, 0.0) * 0.25", 6)
+    + """ AS score FROM x WHERE o > 0 OR sub ORDER BY score DESC, scene_id LIMIT 30""",
+)
+def q_search_highlights(t):
+    """Highlights that fit a query in two scripts (search_scenes)."""
+    return Q.search_scenes(t.scenes, "harbour wall 다리", highlight_only=True, limit=30)
+
+
+@reg.add("q_list_assets", """SELECT asset_id, source_name FROM (SELECT DISTINCT asset_id, source_name, creation_time FROM assets) WHERE length(creation_time) >= 10 AND starts_with(creation_time, '2025-0') ORDER BY creation_time, source_name, asset_id LIMIT 100""")
+def q_list_assets(t):
+    """Assets of the first months of a year (list_assets)."""
+    return Q.list_assets(t.assets, "2025-0").select("asset_id", "source_name")
+
+
+@reg.add(
+    "m_average_hash",
+    """WITH m AS (SELECT vec_id, embedding AS v, list_avg(list_transform(embedding, lambda x: CAST(round(x * 1000) AS BIGINT))) AS m FROM embeddings),
+    b AS (SELECT vec_id, list_transform(range(0, 16), lambda g: list_sum(list_transform(range(0, 4), lambda i: CASE WHEN CAST(round(v[g * 4 + i + 1] * 1000) AS BIGINT) >= m THEN CAST(pow(2, 3 - i) AS BIGINT) ELSE 0 END))) AS d FROM m)
+    SELECT vec_id, array_to_string(list_transform(d, lambda x: substr('0123456789abcdef', CAST(x AS INT) + 1, 1)), '') AS hash FROM b""",
+)
+def m_average_hash(t):
+    """Average hashes of 64 values, as of 8 x 8 luma (M5)."""
+    luma = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("long"))
+    return t.embeddings.select("vec_id", luma.alias("luma")).select("vec_id", S.average_hash("luma").alias("hash"))

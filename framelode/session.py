@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +39,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if now:
         return now
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="framelode-checkpoint-"))
+    if not named:
+        named = tempfile.mkdtemp(prefix="framelode-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 

@@ -188,3 +188,30 @@ def test_session_names_the_checkpoint_folder(spark):
 
     assert ensure_checkpoint_dir(spark)
     assert cut_lineage(spark.range(3)).count() == 3
+
+
+def test_search_and_lists_check_their_limits(spark, sf):
+    from framelode.operators import catalog as Q
+
+    scenes, assets = spark.read.parquet(f"{sf}/scenes.parquet"), spark.read.parquet(f"{sf}/assets.parquet")
+    with pytest.raises(ValueError):
+        Q.search_scenes(scenes, limit=31)
+    with pytest.raises(ValueError):
+        Q.list_assets(assets, limit=0)
+    first = Q.search_scenes(scenes, "bridge", limit=3).collect()
+    assert len(first) == 3 and first[0]["score"] >= first[-1]["score"]
+    one = first[0]["asset_id"]
+    assert {r["asset_id"] for r in Q.search_scenes(scenes, asset_ids=[one]).collect()} == {one}
+    assert Q.search_scenes(scenes, "no such words at all xyzzy").filter("score >= 2").count() == 0
+
+
+def test_running_sums_and_numbers_against_windows(spark):
+    from pyspark.sql import Window
+
+    from framelode.operators.sequence import with_row_number, with_running_sum
+
+    rnd = random.Random(7)
+    df = spark.createDataFrame([(rnd.choice("aab"), rnd.randrange(500), i, rnd.randrange(9)) for i in range(300)], "k string, t long, i long, v long").withColumn("_b", F.floor(F.col("t") / 40).cast("long"))
+    w = Window.partitionBy("k").orderBy("t", "i")
+    x = with_row_number(with_running_sum(df, ["k"], "_b", ["t", "i"], "v", "s"), ["k"], "_b", ["t", "i"], "n")
+    assert {(r["i"], r["s"], r["n"]) for r in x.collect()} == {tuple(r) for r in df.select("i", F.sum("v").over(w), F.row_number().over(w)).collect()}
