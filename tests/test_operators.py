@@ -202,7 +202,7 @@ def test_search_and_lists_check_their_limits(spark, sf):
     assert len(first) == 3 and first[0]["score"] >= first[-1]["score"]
     one = first[0]["asset_id"]
     assert {r["asset_id"] for r in Q.search_scenes(scenes, asset_ids=[one]).collect()} == {one}
-    assert Q.search_scenes(scenes, "no such words at all xyzzy").filter("score >= 2").count() == 0
+    assert Q.search_scenes(scenes, "xyzzy plugh").count() == 0
 
 
 def test_running_sums_and_numbers_against_windows(spark):
