@@ -76,9 +76,10 @@ def clauses(text: str) -> list[tuple[list[str], int, int]]:
     """
     plain = blanked(text)
     found: list[tuple[list[str], int, int]] = []
+    narrow = not _WIDE.search(plain)
     for m in _SENTENCE.finditer(plain):
         part = m.group(0)
-        if not _WIDE.search(part):
+        if narrow or not _WIDE.search(part):
             words = _ALPHABET.findall(part)
             if len(words) >= MIN_WORDS:
                 if not _HESITATIONS.isdisjoint(words):
@@ -190,7 +191,10 @@ class Model:
         p = self.chances(np.add.reduceat(self.rows[at], first, axis=0))
         top = p.argmax(axis=1)
         sizes = np.diff(np.append(first, len(at)))
-        other = np.add.reduceat((self.rows[: len(self.ids), :-1].argmax(axis=1)[at] != np.repeat(top, sizes)).astype(np.int64), first)
+        # Words that lean to another language than their clause; those without any weight lean nowhere.
+        known = self.rows[: len(self.ids), :-1]
+        lean = np.where(known.max(axis=1) > known.mean(axis=1), known.argmax(axis=1), -1)[at]
+        other = np.add.reduceat(((lean != np.repeat(top, sizes)) & (lean >= 0)).astype(np.int64), first)
         doubtful = set(np.flatnonzero((sizes >= 2 * MIN_WORDS) & (other >= MIN_WORDS - 1)).tolist())
         best = p[np.arange(len(top)), top].tolist()
         main = 0
