@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship_package
 from ..tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,7 +23,12 @@ class Registry:
         def wrap(fn: Callable[[Tables], DataFrame]):
             if name in self.queries:
                 raise ValueError(f"two queries are named {name}")
-            self.queries[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+
+            def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+                ship_package(spark)
+                return fn(Tables(spark, sf_dir))
+
+            self.queries[name] = run
             if sql:
                 self.sql[name] = sql
             return fn
