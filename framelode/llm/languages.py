@@ -197,7 +197,6 @@ class Model:
         other = np.add.reduceat(((lean != np.repeat(top, sizes)) & (lean >= 0)).astype(np.int64), first)
         doubtful = set(np.flatnonzero((sizes >= 2 * MIN_WORDS) & (other >= MIN_WORDS - 1)).tolist())
         best = p[np.arange(len(top)), top].tolist()
-        main = 0
         k, n = 0, len(spans)
         tops = top.tolist()
         while k < n:
@@ -214,15 +213,14 @@ class Model:
                 else:
                     found.append((tops[k], best[k], s, e, p[k]))
                 k += 1
-            weight = [0.0] * len(LANGUAGES)
-            for c, x, s, e, _ in found:
-                weight[c] += (e - s) * x
-            main = weight.index(max(weight))
+            sure = {c for c, x, _, _, _ in found if x >= DOUBT}
             merged: list[list] = []
             found.sort(key=lambda x: x[2])
             for c, x, s, e, px in found:
-                if c != main and x < DOUBT and px[main] >= 0.05:
-                    c, x = main, float(px[main])
+                if x < DOUBT and sure and c not in sure:
+                    other = max(sure, key=px.__getitem__)
+                    if px[other] >= 1 - DOUBT:
+                        c, x = other, float(px[other])
                 if merged and merged[-1][0] == c:
                     last = merged[-1]
                     last[1] += (e - s) * x
@@ -246,8 +244,8 @@ def _word_place(text: str, words: list[str], at: int, start: int, end: int) -> t
     return last, last
 
 
-#: TF-IDF rows sum up to the first; a clause is cut in two if the product of both chances reaches the second; below the last, the text's main language is kept.
-SCALE, SPLIT_CHANCE, DOUBT = 20.0, 0.85, 0.8
+#: TF-IDF rows sum up to the first; a clause is cut in two if the product of both chances reaches the second; below the last, the likeliest language that the text surely holds is taken if it has the rest of the chance.
+SCALE, SPLIT_CHANCE, DOUBT = 20.0, 0.85, 0.97
 
 
 def train(examples: list[tuple[list[str], str]], *, seed: int = 7) -> Model:
