@@ -172,26 +172,28 @@ def repaired_times(df: DataFrame, key: str, place: str, start: str, end: str, *,
     return out.select(*df.columns, F.round(fixed, 6).alias("fixed_start"), F.round(fixed + length, 6).alias("fixed_end"))
 
 
-def spoken_pieces(df: DataFrame, key: str, time: str, id_col: str, text: str, names: list[tuple[str, str]]) -> DataFrame:
-    """Pieces of records with words and their speaker: keys, time, id, place in the record, speaker, text, words.
+def spoken_pieces(df: DataFrame, key: str, time: str, id_col: str, text: str, names: list[tuple[str, str]], also: list[str] | None = None) -> DataFrame:
+    """Pieces of records with words and their speaker: keys, time, ``also``, id, place in the record, speaker, text, words.
 
-    A label holds until the next one, also beyond its record. Keys without any label, words
-    before the first label of a key, and pieces of nothing but hesitations and sound notes
-    are left out, as are rows with a null key, id or time. Whole-row copies count once.
+    Records follow each other by time, then by the columns ``also``, then by id. A label holds
+    until the next one, also beyond its record. Keys without any label, words before the first
+    label of a key, and pieces of nothing but hesitations and sound notes are left out, as are
+    rows with a null key, id or time. Whole-row copies count once.
     """
+    also = also or []
     roster = df.sparkSession.sparkContext.broadcast(Roster(names))
 
     @F.pandas_udf(PIECE)
     def parse(texts: pd.Series) -> pd.Series:
         return texts.map(roster.value.pieces)
 
-    rows = df.select(F.col(key).alias("_k"), F.col(time).cast("double").alias("_s"), F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    rows = df.select(F.col(key).alias("_k"), F.col(time).cast("double").alias("_s"), *also, F.col(id_col).alias("_id"), F.col(text).alias("_text"))
     rows = rows.filter(F.col("_k").isNotNull() & F.col("_id").isNotNull() & F.col("_s").isNotNull() & ~F.isnan("_s")).distinct()
-    pieces = rows.withColumn("_pieces", parse("_text")).select("_k", "_s", "_id", F.posexplode("_pieces").alias("_n", "_p"))
-    pieces = pieces.select("_k", "_s", "_id", "_n", F.col("_p.speaker").alias("_label"), F.col("_p.text").alias("_clean"), F.col("_p.words").alias("_words"), F.floor(F.col("_s") / BUCKET_S).cast("long").alias("_b"))
+    pieces = rows.withColumn("_pieces", parse("_text")).select("_k", "_s", *also, "_id", F.posexplode("_pieces").alias("_n", "_p"))
+    pieces = pieces.select("_k", "_s", *also, "_id", "_n", F.col("_p.speaker").alias("_label"), F.col("_p.text").alias("_clean"), F.col("_p.words").alias("_words"), F.floor(F.col("_s") / BUCKET_S).cast("long").alias("_b"))
     # Written once: the look-back reads it twice and would parse all texts again.
     pieces = cut_lineage(pieces)
-    held = with_last_known(pieces, ["_k"], "_b", ["_s", "_id", "_n"], "_label", "_speaker")
+    held = with_last_known(pieces, ["_k"], "_b", ["_s", *also, "_id", "_n"], "_label", "_speaker")
     return held.filter("_words > 0 AND _speaker IS NOT NULL")
 
 
@@ -208,27 +210,28 @@ def speaker_turns(df: DataFrame, key: str, time: str, id_col: str, text: str, na
 def clean_turns(df: DataFrame, spans: DataFrame, key: str, time: str, end: str, id_col: str, place: str, text: str, names: list[tuple[str, str]]) -> DataFrame:
     """Turns with clean text: key, turn (place of its first piece), part, speaker, start, end, confidence, text.
 
-    Times are repaired (see ``repaired_times``), confidence is the mean of the records' span
-    confidences weighted by words (null if no span has one). A turn's text is given in parts of
-    at most ten minutes, so that a speaker without end doesn't become one endless value.
+    Times are repaired first (see ``repaired_times``), so records, labels and turns follow the
+    file order ``place`` where a clock falls back; a record without a place is taken at its
+    stated time. Confidence is the mean of the records' span confidences weighted by words
+    (null if no span has one). A turn's text is given in parts of at most ten minutes, so that
+    a speaker without end doesn't become one endless value.
     """
-    order = ["_s", "_id", "_n"]
-    said = with_previous(spoken_pieces(df, key, time, id_col, text, names), ["_k"], "_b", order, ["_speaker"], "_before")
+    order = ["_s", "_place", "_until", "_id", "_n"]
+    stated = df.select(F.col(key).alias("_k"), F.col(id_col).alias("_id"), F.col(place).cast("long").alias("_place"), F.col(time).cast("double").alias("_start"), F.col(end).cast("double").alias("_end"), F.col(text).alias("_text")).filter("_k IS NOT NULL AND _id IS NOT NULL AND _start IS NOT NULL AND NOT isnan(_start)").distinct()
+    times = repaired_times(stated.drop("_text").dropDuplicates(["_k", "_id"]), "_k", "_place", "_start", "_end").select("_k", "_id", "fixed_start", "fixed_end")
+    rows = stated.join(times, ["_k", "_id"], "left").withColumns({"_at": F.coalesce("fixed_start", "_start"), "_until": F.coalesce("fixed_end", F.greatest("_start", F.coalesce(F.nanvl("_end", "_start"), "_start")))})
+    said = with_previous(spoken_pieces(rows, "_k", "_at", "_id", "_text", names, ["_place", "_until"]), ["_k"], "_b", order, ["_speaker"], "_before")
     said = said.withColumn("_head", F.when(F.col("_before").isNull() | (F.col("_before._speaker") != F.col("_speaker")), F.concat_ws("#", "_id", F.col("_n").cast("string"))))
     said = with_last_known(said, ["_k"], "_b", order, "_head", "_turn")
-    times = df.select(F.col(key).alias("_k"), F.col(id_col).alias("_id"), F.col(place).cast("long").alias("_place"), F.col(time).cast("double").alias("_start"), F.col(end).cast("double").alias("_end")).filter("_id IS NOT NULL").dropDuplicates(["_k", "_id"])
-    times = repaired_times(times, "_k", "_place", "_start", "_end").select("_k", "_id", "fixed_start", "fixed_end")
     sure = spans.select(F.col("utterance_id").alias("_id"), "span_index", "confidence").filter(F.col("confidence").isNotNull() & ~F.isnan("confidence")).distinct().groupBy("_id").agg(F.avg("confidence").alias("_c"))
-    rows = said.join(times, ["_k", "_id"], "left").join(sure, "_id", "left")
-    place_of = F.struct(*order)
+    rows = said.join(sure, "_id", "left")
     counted = F.when(F.col("_c").isNotNull(), F.col("_words"))
     parts = rows.groupBy("_k", "_turn", "_b").agg(
         F.first("_speaker").alias("speaker"),
-        F.min("fixed_start").alias("start"),
-        F.max("fixed_end").alias("end"),
+        F.min("_s").alias("start"),
+        F.max("_until").alias("end"),
         F.round(F.sum(F.col("_c") * counted) / F.sum(counted), 4).alias("confidence"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, "_clean"))), lambda x: x["_clean"]), " ").alias("text"),
-        F.min(place_of).alias("_at"),
     )
     part = F.row_number().over(Window.partitionBy("_k", "_turn").orderBy("_b"))
     return parts.select(F.col("_k").alias(key), F.col("_turn").alias("turn"), part.cast("long").alias("part"), "speaker", "start", "end", "confidence", "text")

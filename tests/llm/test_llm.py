@@ -240,6 +240,19 @@ def test_clean_turns(spark):
     assert got == [("Guide", "one two", 0.0, 2.0, 0.6), ("Host", "three", 4.0, 5.0, 0.9)]
 
 
+def test_clean_turns_across_a_clock_reset(spark):
+    rows = [
+        ("a", 10.0, 12.0, "1", 1, "Guide: one"), ("a", 20.0, 22.0, "2", 2, "two"), ("a", 19.5, 21.0, "3", 3, "Host: three"), ("a", 30.0, 32.0, "4", 4, "four"),
+        ("a", 1.0, 2.0, "5", 5, "five"), ("a", 15.0, 16.0, "6", 6, "Guide: six"), ("a", 25.0, 26.0, "7", 7, "seven"), ("a", 15.0, 16.0, "6", 6, "Guide: six"),
+    ]
+    df = spark.createDataFrame(rows, "k string, s double, e double, id string, n long, t string")
+    spans = spark.createDataFrame([], "utterance_id string, span_index int, confidence double")
+    got = [(r["speaker"], r["text"], r["start"], r["end"]) for r in clean_turns(df, spans, "k", "s", "e", "id", "n", "t", ROSTER).orderBy("start").collect()]
+    assert got == [("Guide", "one two", 10.0, 21.75), ("Host", "three four five", 19.75, 33.0), ("Guide", "six seven", 46.0, 57.0)]
+    unplaced = df.withColumn("n", F.lit(None).cast("long"))
+    assert {r["text"] for r in clean_turns(unplaced, spans, "k", "s", "e", "id", "n", "t", ROSTER).collect()} == {"one six", "three two seven four"}
+
+
 # 4 look-alikes
 
 
