@@ -42,3 +42,33 @@ def tiling(df: DataFrame, whole: DataFrame, asset: str, entity: str, start: str,
     last = df.groupBy(asset).agg(F.max(end).alias("_m")).join(whole.select(asset, duration), asset).withColumn("_id", F.lit("end"))
     short = violations(last, check, asset, "_id", F.abs(F.col("_m") - F.col(duration)) > tolerance, "doesn't reach the end")
     return all_of(first, holes, empty, short)
+
+
+def proposals(df: DataFrame, evidence: DataFrame, whole: DataFrame, asset: str, entity: str, number: str, cluster: str, duration: str, check: str, *, tolerance: float, eps: float = 0.001) -> DataFrame:
+    """Proposals (timestamp, confidence, primary_kind) against their evidence (V9).
+
+    Ids are unique, times lie in the media and increase with ``number``, confidences lie in 0
+    to 1; each proposal has evidence of the same ``cluster``, with other source ids, none of it
+    further than ``tolerance`` from its time or outside the media, and some of its primary kind.
+    """
+    late = lambda c: (F.col(c) < 0) | (F.col(c) > F.col(duration) + eps)
+    rows = df.join(whole.select(asset, duration).distinct(), asset, "left").withColumn("_b", F.floor(F.col(number) / 1000).cast("long"))
+    rows = with_previous(rows, [asset], "_b", [number, entity], ["timestamp"], "_p")
+    found = evidence.select(asset, cluster, F.col("timestamp").alias("_et"), F.col("kind").alias("_ek"), F.col("source_id").alias("_es"), F.col("confidence").alias("_ec"))
+    of = rows.select(asset, entity, cluster, "timestamp", "primary_kind", duration).join(found, [asset, cluster], "left").groupBy(asset, entity).agg(
+        F.count("_es").alias("_n"), F.countDistinct("_es").alias("_ids"), F.max(F.abs(F.col("_et") - F.col("timestamp"))).alias("_far"),
+        F.max(F.coalesce(F.col("_ek") == F.col("primary_kind"), F.lit(False))).alias("_has"), F.max(late("_et")).alias("_out"), F.min(F.col("_ec").between(0, 1)).alias("_sure"),
+    )
+    at = lambda d, broken, message: violations(d, check, asset, entity, broken, message)
+    return all_of(
+        duplicates(df, asset, entity, check),
+        at(rows, F.col("timestamp").isNull() | late("timestamp"), "outside the media"),
+        at(rows, F.col("timestamp") <= F.col("_p.timestamp") + eps, "time doesn't increase"),
+        at(rows, ~F.coalesce(F.col("confidence").between(0, 1), F.lit(False)), "confidence outside 0 to 1"),
+        at(of, F.col("_n") == 0, "no evidence"),
+        at(of, F.col("_ids") < F.col("_n"), "evidence named twice"),
+        at(of, F.col("_far") > tolerance + eps, "evidence beyond the tolerance"),
+        at(of, F.col("_out"), "evidence outside the media"),
+        at(of, ~F.col("_sure"), "confidence of evidence outside 0 to 1"),
+        at(of, (F.col("_n") > 0) & ~F.col("_has"), "primary kind absent from the evidence"),
+    )

@@ -111,12 +111,13 @@ def anchored_clusters(events: DataFrame, keys: list[str], time: str, id_col: str
     return events.join(flat.join(heads, [*keys, "_c"]).drop("_c"), [*keys, id_col])
 
 
-def fused_proposals(events: DataFrame, keys: list[str], tolerance: float, *, least: float = 0.60) -> DataFrame:
+def fused_proposals(events: DataFrame, keys: list[str], tolerance: float, *, least: float = 0.60, keep_cluster: bool = False) -> DataFrame:
     """Clusters of signal events as proposals.
 
     Events have timestamp, kind, confidence, source_id. Result: keys, proposal_id, timestamp,
     confidence, primary_kind, evidence (count). The best weighted event gives time and
     kind; equal times of proposals are moved apart by a millisecond; confidences fuse by noisy-or.
+    ``keep_cluster`` adds the cluster that a proposal is made of.
     """
     rows = anchored_clusters(events, keys, "timestamp", "source_id", tolerance, kind="kind")
     w = kind_weight("kind")
@@ -131,7 +132,7 @@ def fused_proposals(events: DataFrame, keys: list[str], tolerance: float, *, lea
     taken = F.row_number().over(Window.partitionBy(*keys, "timestamp").orderBy("cluster")) - 1
     out = out.withColumn("timestamp", F.round((F.col("timestamp") + taken * 0.001).cast("decimal(24,12)"), 6).cast("double")).filter(F.col("confidence") >= least)
     number = F.row_number().over(Window.partitionBy(*keys).orderBy("timestamp"))
-    return out.select(*keys, F.format_string("BP%04d", number).alias("proposal_id"), "timestamp", "confidence", "primary_kind", "evidence")
+    return out.select(*keys, F.format_string("BP%04d", number).alias("proposal_id"), "timestamp", "confidence", "primary_kind", "evidence", *(["cluster"] if keep_cluster else []))
 
 
 def adaptive_segments(samples: DataFrame, key: str, time: str, change: str, duration: str, *, shortest: float, longest: float, threshold: float) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import round_dec
 from .ordered import with_bucket
-from .sequence import with_last_known, with_next, with_previous
+from .sequence import with_last_known, with_next, with_previous, with_running_sum
 
 
 def quantiles(df: DataFrame, key: str, value: str, q: float, *, floor: float = 0.0, name: str = "threshold") -> DataFrame:
@@ -20,6 +20,14 @@ def quantiles(df: DataFrame, key: str, value: str, q: float, *, floor: float = 0
     return counted.groupBy(key).agg(F.greatest(F.lit(floor), F.coalesce(round_dec(F.percentile("_v", F.lit(q), F.col("_n")), 9), F.lit(0.0))).alias(name))
 
 
+def percentile_ranks(df: DataFrame, key: str, value: str, name: str, *, eps: float = 0.001) -> DataFrame:
+    """key, value, ``name``: the share of a key's values that aren't greater; a half where all are the same within ``eps``."""
+    n = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(key, value).agg(F.count("*").alias("_n")).withColumn("_b", F.floor(F.col(value) * 1000).cast("long"))
+    whole = n.groupBy(key).agg(F.sum("_n").alias("_all"), (F.max(value) - F.min(value)).alias("_width"))
+    n = with_running_sum(n, [key], "_b", [value], "_n", "_upto").join(whole, key)
+    return n.select(key, value, F.when(F.col("_width") <= eps, 0.5).otherwise(F.col("_upto") / F.col("_all")).alias(name))
+
+
 def deltas(df: DataFrame, key: str, time: str, id_col: str, value: str, *, skip_first: bool = True) -> DataFrame:
     """Add ``delta``, the absolute change of ``value`` since the sample before.
 

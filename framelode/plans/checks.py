@@ -38,7 +38,7 @@ def v_partition_cover(t):
 
 @reg.add("v_storyboard", f"""{_v("storyboard", "scene_id", "more than three notable moments")} FROM {SCENES} WHERE notable_count > 2 UNION ALL {_v("storyboard", "scene_id", "no tag")} FROM {SCENES} WHERE len(tags) = 0""")
 def v_storyboard(t):
-    """Limits of what a reviewed scene may hold."""
+    """At most three notable moments and at least one tag (parts of V3, V17)."""
     x = scenes(t)
     return C.all_of(C.violations(x, "storyboard", "asset_id", "scene_id", F.col("notable_count") > 2, "more than three notable moments"), C.violations(x, "storyboard", "asset_id", "scene_id", F.size("tags") == 0, "no tag"))
 
@@ -65,7 +65,7 @@ def v_packet_evidence(t):
 
 @reg.add("v_orphans", f"""{_v("orphans", "utterance_id", "span of an unknown record")} FROM {SPANS} p WHERE NOT EXISTS (SELECT 1 FROM {SPEECH} u WHERE u.utterance_id = p.utterance_id)""")
 def v_orphans(t):
-    """References must lead somewhere."""
+    """Spans must refer to a known record (the reference rule of V7, V12, V15)."""
     return C.missing(spans(t), speech(t), "utterance_id", "orphans", "asset_id", "span of an unknown record")
 
 
@@ -74,7 +74,7 @@ def v_orphans(t):
     """SELECT 'proposals' AS "check", CAST(user_id AS VARCHAR) AS asset_id, CAST(event_id AS VARCHAR) AS entity_id, 'time doesn''t increase' AS message FROM (SELECT *, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE epoch_us(ts) <= p""",
 )
 def v_proposals(t):
-    """Times must increase with the number (V9)."""
+    """Times of events must increase with their number (the order rule of V9, on a table that breaks it)."""
     from ..operators.sequence import with_previous
 
     x = t.events.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).withColumn("_b", F.floor(F.col("event_id") / 1000).cast("long"))
@@ -82,9 +82,22 @@ def v_proposals(t):
     return C.violations(x, "proposals", "user_id", "event_id", F.col("us") <= F.col("_p.us"), "time doesn't increase")
 
 
+@reg.add("v_fused_proposals")
+def v_fused_proposals(t):
+    """Fused boundary proposals against the events they are made of (V9)."""
+    from ..operators import ordered as O
+    from ..session import cut_lineage
+    from .windows import weighted_events
+
+    e = cut_lineage(weighted_events(t))
+    p = cut_lineage(O.fused_proposals(e, ["asset_id"], 2.0, keep_cluster=True)).withColumn("number", F.substring("proposal_id", 3, 18).cast("long"))
+    made_of = O.anchored_clusters(e, ["asset_id"], "timestamp", "source_id", 2.0, kind="kind")
+    return C.proposals(p, made_of, t.assets, "asset_id", "proposal_id", "number", "cluster", "duration", "fused_proposals", tolerance=2.0)
+
+
 @reg.add("v_moments", f"""{_v("moments", "sample_id", "negative count")} FROM {VISION} WHERE face_count < 0 OR person_count < 0 UNION ALL {_v("moments", "sample_id", "more faces than persons")} FROM {VISION} WHERE face_count > person_count AND person_count > 0""")
 def v_moments(t):
-    """Counts must make sense."""
+    """Counts must make sense (a part of V10)."""
     x = vision(t)
     return C.all_of(C.violations(x, "moments", "asset_id", "sample_id", (F.col("face_count") < 0) | (F.col("person_count") < 0), "negative count"), C.violations(x, "moments", "asset_id", "sample_id", (F.col("face_count") > F.col("person_count")) & (F.col("person_count") > 0), "more faces than persons"))
 
@@ -99,7 +112,7 @@ def v_unchanged(t):
 
 @reg.add("v_caption_timing", f"""WITH c AS (SELECT scene_id, asset_id, s, e FROM {SCENES}) {_v("caption_timing", "utterance_id", "in no scene")} FROM {SPEECH} u WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.asset_id = u.asset_id AND c.s - 0.001 <= u.s AND u.e <= c.e + 0.001)""")
 def v_caption_timing(t):
-    """Records that no scene contains wholly."""
+    """Records that no scene contains wholly."""
     from ..operators.intervals import spread
 
     u = spread(speech(t).withColumns({"us": F.col("s"), "ue": F.col("s")}), "us", "ue", "_bk")
@@ -168,7 +181,7 @@ def v_review_reasons(t):
 
 @reg.add("v_config_ranges", """SELECT 'config_ranges' AS "check", trip_id AS asset_id, trip_id AS entity_id, 'threshold outside 0 to 1' AS message FROM trip_config WHERE min_language_probability NOT BETWEEN 0 AND 1 OR min_language_margin NOT BETWEEN 0 AND 1 UNION ALL SELECT 'config_ranges', trip_id, trip_id, 'few expected languages' FROM trip_config WHERE len(expected_languages) < 3""")
 def v_config_ranges(t):
-    """Settings within their ranges."""
+    """Settings within their ranges."""
     c = t.trip_config
     return C.all_of(C.violations(c, "config_ranges", "trip_id", "trip_id", ~F.col("min_language_probability").between(0, 1) | ~F.col("min_language_margin").between(0, 1), "threshold outside 0 to 1"), C.violations(c, "config_ranges", "trip_id", "trip_id", F.size("expected_languages") < 3, "few expected languages"))
 

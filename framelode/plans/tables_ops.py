@@ -240,7 +240,7 @@ def a_day_rollup(t):
     SELECT count(*) AS assets, CAST(sum(scene_count) AS BIGINT) AS scenes, min(CASE WHEN day <> 'unknown' THEN day END) AS first_day, max(CASE WHEN day <> 'unknown' THEN day END) AS last_day, count(DISTINCT day) AS days, (SELECT top FROM k) AS top_tags FROM {_DAYS}""",
 )
 def a_project_summary(t):
-    """Totals of the whole library with its ten most frequent tags."""
+    """Totals of the whole library with its ten most frequent tags."""
     d = _days(t)
     top = d.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(10)
     top = top.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "tag"))), lambda x: x["tag"]), "|").alias("top_tags"))
@@ -284,10 +284,23 @@ def a_coverage_ratio(t):
 
 @reg.add("a_repetition_audit", """SELECT asset_id, summary, count(*) AS n FROM (SELECT DISTINCT asset_id, scene_id, summary FROM scenes WHERE trim(coalesce(summary, '')) <> '') GROUP BY ALL HAVING count(*) > 1""")
 def a_repetition_audit(t):
-    """Summaries that an asset's scenes share."""
+    """Summaries that an asset's scenes share (A21, first rule)."""
     return t.scenes.filter("trim(coalesce(summary, '')) <> ''").select("asset_id", "scene_id", "summary").distinct().groupBy("asset_id", "summary").agg(F.count("*").alias("n")).filter("n > 1")
 
 
+@reg.add(
+    "a_shared_claims",
+    """WITH x AS (SELECT DISTINCT asset_id, scene_id, tags FROM scenes), b AS (SELECT asset_id, count(DISTINCT scene_id) AS beats FROM x GROUP BY 1),
+    c AS (SELECT asset_id, claim, count(DISTINCT scene_id) AS n FROM (SELECT asset_id, scene_id, trim(unnest(tags)) AS claim FROM x) WHERE claim <> '' GROUP BY ALL) SELECT asset_id, claim, n, beats FROM c JOIN b USING (asset_id) WHERE n >= 3 AND n * 2 > beats""",
+)
+def a_shared_claims(t):
+    """Claims that at least three and more than half of an asset's scenes share (A21, second rule); a scene's claims are its tags, each counted once."""
+    x = t.scenes.select("asset_id", "scene_id", "tags").distinct()
+    beats = x.groupBy("asset_id").agg(F.countDistinct("scene_id").alias("beats"))
+    claims = x.select("asset_id", "scene_id", F.explode("tags").alias("claim")).select("asset_id", "scene_id", F.trim("claim").alias("claim")).filter("claim <> ''").distinct()
+    return claims.groupBy("asset_id", "claim").agg(F.count("*").alias("n")).join(beats, "asset_id").filter((F.col("n") >= 3) & (F.col("n") * 2 > F.col("beats"))).select("asset_id", "claim", "n", "beats")
+
+
 @reg.add("a_unassessed", """SELECT asset_id, count(*) FILTER (WHERE len(tags) = 0) AS no_tags, count(*) FILTER (WHERE dialogue_excerpt IS NULL) AS no_dialogue FROM (SELECT DISTINCT asset_id, scene_id, tags, dialogue_excerpt FROM scenes) GROUP BY 1""")
 def a_unassessed(t):
     """Per field, how many scenes leave it open."""
@@ -342,6 +355,25 @@ def t_list_assets(t):
     return _days(t).filter(F.col("day").startswith("2025-0")).orderBy(F.coalesce("creation_time", F.lit("9999")), "source_name", "asset_id").limit(100).select("asset_id", "source_name")
 
 
+#: Lengths of the limited lists of a project: days, index of assets, assets of a span of days, tags.
+LIST_LIMITS = {"day_rollups": 31, "asset_index": 100, "list_assets": 100, "top_tags": 10}
+
+
+@reg.add(
+    "t_truncated_lists",
+    f"""WITH n AS (SELECT 'day_rollups' AS list, count(DISTINCT day) AS total, {LIST_LIMITS["day_rollups"]} AS lim FROM {_DAYS} UNION ALL SELECT 'asset_index', count(*), {LIST_LIMITS["asset_index"]} FROM {_DAYS}
+    UNION ALL SELECT 'list_assets', count(*), {LIST_LIMITS["list_assets"]} FROM {_DAYS} WHERE starts_with(day, '2025-0') UNION ALL SELECT 'top_tags', count(DISTINCT tag), {LIST_LIMITS["top_tags"]} FROM (SELECT unnest(tags) AS tag FROM {_DAYS}))
+    SELECT list, total, least(total, lim) AS shown, total > lim AS truncated FROM n""",
+)
+def t_truncated_lists(t):
+    """For each limited list of a project its full length, the rows shown and whether it is cut (T4)."""
+    d = _days(t)
+    n = d.agg(F.countDistinct("day").alias("day_rollups"), F.count("*").alias("asset_index"), F.count_if(F.col("day").startswith("2025-0")).alias("list_assets"))
+    n = n.unpivot([], list(n.columns), "list", "total").unionByName(d.select(F.explode("tags").alias("tag")).agg(F.countDistinct("tag").alias("total")).select(F.lit("top_tags").alias("list"), "total"))
+    lim = F.element_at(F.create_map(*[F.lit(x) for kv in LIST_LIMITS.items() for x in kv]), F.col("list"))
+    return n.select("list", "total", F.least("total", lim.cast("long")).alias("shown"), (F.col("total") > lim).alias("truncated"))
+
+
 @reg.add("t_pages", f"""SELECT scene_id, (k - 1) // 12 + 1 AS page, chr(CAST(65 + ((k - 1) % 12) // 3 AS INT)) || CAST((k - 1) % 3 + 1 AS VARCHAR) AS cell FROM (SELECT scene_id, row_number() OVER (PARTITION BY asset_id ORDER BY s, scene_id) AS k FROM {SCENES})""")
 def t_pages(t):
     """Pages of twelve with cells A1 to D3."""

@@ -111,6 +111,35 @@ def visual_events(t):
     return v.select("asset_id", *G.event("visual_change", F.col("ts"), F.least(F.lit(0.96), 0.52 + 0.35 * F.col("fd") / F.greatest(F.col("threshold"), F.lit(0.01))), F.concat(F.lit("VISION-FEATURE-"), F.col("sample_id").cast("string"))))
 
 
+_AE_THR = f"(SELECT asset_id, greatest(0.12, coalesce({rd('quantile_cont(ae, 0.82)', 9)}, 0.0)) AS aet FROM {VISION} GROUP BY 1)"
+_RANKS = "(SELECT asset_id, sample_id, CASE WHEN max({c}) OVER (PARTITION BY asset_id) - min({c}) OVER (PARTITION BY asset_id) <= 0.001 THEN 0.5 ELSE cume_dist() OVER (PARTITION BY asset_id ORDER BY {c}) END AS {n} FROM {v} WHERE {c} IS NOT NULL)"
+
+
+@reg.add(
+    "m_role_scores",
+    f"""WITH x AS (SELECT v.*, coalesce(ar, 0.0) AS a, coalesce(fr, 0.0) AS f, coalesce(ae >= aet, FALSE) OR coalesce(fd >= threshold, FALSE) OR coalesce(is_utility, FALSE) AS visual,
+     coalesce(face_count > 0, FALSE) OR coalesce(person_count > 0, FALSE) AS people FROM {VISION} v JOIN (SELECT DISTINCT asset_id, duration FROM assets) d USING (asset_id) JOIN {_AE_THR} q USING (asset_id) JOIN {_THR} h USING (asset_id)
+     LEFT JOIN {_RANKS.format(c="ae", n="ar", v=VISION)} r USING (asset_id, sample_id) LEFT JOIN {_RANKS.format(c="fd", n="fr", v=VISION)} s USING (asset_id, sample_id) WHERE ts > 0.001 AND ts < duration - 0.001),
+    y AS (SELECT *, people AND a >= 0.62 AS candid, 0.58 * a + 0.27 * f + 0.15 AS vs, CASE WHEN people AND a >= 0.62 THEN 0.42 * a + 0.15 * f + 0.20 ELSE 0.0 END AS cs FROM x)
+    SELECT asset_id, sample_id, CASE WHEN visual AND candid THEN 'visual,candid' WHEN visual THEN 'visual' ELSE 'candid' END AS roles, CASE WHEN visual AND NOT (candid AND cs > vs) THEN 'visual' ELSE 'candid' END AS primary_role,
+    {rd("least(1.0, greatest(vs, cs, CASE WHEN is_utility THEN 0.72 ELSE 0.0 END))", 6)} AS score FROM y WHERE visual OR candid""",
+)
+def m_role_scores(t):
+    """Roles and seed score of the samples that stand out (M8). No table holds motion, so its rank is 0 and no sample has the role action."""
+    v = vision(t).join(t.assets.select("asset_id", "duration").distinct(), "asset_id")
+    v = v.join(G.quantiles(vision(t), "asset_id", "ae", 0.82, floor=0.12, name="at"), "asset_id").join(G.quantiles(vision(t), "asset_id", "fd", 0.88, floor=0.08), "asset_id")
+    v = v.join(G.percentile_ranks(vision(t), "asset_id", "ae", "ar"), ["asset_id", "ae"], "left").join(G.percentile_ranks(vision(t), "asset_id", "fd", "fr"), ["asset_id", "fd"], "left")
+    v = v.filter((F.col("ts") > 0.001) & (F.col("ts") < F.col("duration") - 0.001))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    v = v.withColumns({"a": F.coalesce("ar", F.lit(0.0)), "f": F.coalesce("fr", F.lit(0.0)), "utility": yes(F.col("is_utility"))})
+    v = v.withColumns({"visual": yes(F.col("ae") >= F.col("at")) | yes(F.col("fd") >= F.col("threshold")) | F.col("utility"), "candid": (yes(F.col("face_count") > 0) | yes(F.col("person_count") > 0)) & (F.col("a") >= 0.62)})
+    v = v.filter("visual OR candid").withColumns({"vs": 0.58 * F.col("a") + 0.27 * F.col("f") + 0.15, "cs": F.when(F.col("candid"), 0.42 * F.col("a") + 0.15 * F.col("f") + 0.20).otherwise(0.0)})
+    roles = F.array_join(F.array_compact(F.array(F.when(F.col("visual"), "visual"), F.when(F.col("candid"), "candid"))), ",")
+    first = F.when(F.col("visual") & ~(F.col("candid") & (F.col("cs") > F.col("vs"))), "visual").otherwise("candid")
+    score = F.least(F.lit(1.0), F.greatest("vs", "cs", F.when(F.col("utility"), 0.72).otherwise(0.0)))
+    return v.select("asset_id", "sample_id", roles.alias("roles"), first.alias("primary_role"), S.round_dec(score, 6).alias("score"))
+
+
 _EVENT_T = "STRUCT(_t DOUBLE, _s DOUBLE, _id VARCHAR)[]"
 
 

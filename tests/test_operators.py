@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framelode.functions import scalar as S
+from framelode.operators import constraints as C
 from framelode.operators import edits as E
 from framelode.operators import intervals as I
 from framelode.operators import ordered as O
@@ -215,3 +216,16 @@ def test_running_sums_and_numbers_against_windows(spark):
     w = Window.partitionBy("k").orderBy("t", "i")
     x = with_row_number(with_running_sum(df, ["k"], "_b", ["t", "i"], "v", "s"), ["k"], "_b", ["t", "i"], "n")
     assert {(r["i"], r["s"], r["n"]) for r in x.collect()} == {tuple(r) for r in df.select("i", F.sum("v").over(w), F.row_number().over(w)).collect()}
+
+
+def test_proposals_against_their_evidence(spark):
+    p = [(1, "P1", 1.0, 0.7, "cut", 1), (2, "P2", 5.0, 0.7, "cut", 2), (3, "P3", 4.0, 0.7, "sign", 3), (4, "P4", 20.0, 1.2, "cut", 4), (5, "P5", 21.0, 0.7, "cut", 5), (6, "P6", 22.0, 0.7, "cut", 6), (7, "P6", 23.0, 0.7, "cut", 7), (8, "P8", 31.0, 0.7, "cut", 8)]
+    e = [(1, 1.5, "cut", "a", 0.5), (2, 5.0, "cut", "b", 0.5), (2, 8.0, "sign", "c", 0.5), (3, 4.0, "cut", "d", 0.5), (4, 20.0, "cut", "f", 0.5), (6, 22.0, "cut", "g", 0.5), (6, 22.5, "cut", "g", 0.5), (7, 23.0, "cut", "h", 0.5), (8, 31.0, "cut", "i", 1.5)]
+    df = spark.createDataFrame([("a", *r) for r in p], "k string, n int, id string, timestamp double, confidence double, primary_kind string, cluster long")
+    ev = spark.createDataFrame([("a", *r) for r in e], "k string, cluster long, timestamp double, kind string, source_id string, confidence double")
+    whole = spark.createDataFrame([("a", 30.0)], "k string, d double")
+    got = {(r["entity_id"], r["message"]) for r in C.proposals(df, ev, whole, "k", "id", "n", "cluster", "d", "x", tolerance=2.0).collect()}
+    assert got == {
+        ("P2", "evidence beyond the tolerance"), ("P3", "time doesn't increase"), ("P3", "primary kind absent from the evidence"), ("P4", "confidence outside 0 to 1"), ("P5", "no evidence"), ("P6", "id isn't unique"), ("P6", "evidence named twice"),
+        ("P8", "outside the media"), ("P8", "evidence outside the media"), ("P8", "confidence of evidence outside 0 to 1"),
+    }
