@@ -30,6 +30,8 @@ UNDETERMINED = ["", "und", "unknown", "undetermined", "mul", "mis", "zxx", "xx",
 SAMPLE_ROWS, CLAUSES_PER_ROW, CLAUSE_CHARS = 12_000, 3, 400
 #: What makes a clause: words of an alphabet, words in Hangul with so many syllables, kana and ideographs.
 MIN_WORDS, MIN_HANGUL_WORDS, MIN_HANGUL, MIN_KANA = 4, 3, 7, 8
+#: Words that are searched at once for several changes of language; longer clauses are searched piece by piece.
+CUT_WORDS = 200
 
 _JUNK = re.compile(rf"{CLOCK}|{NOTE}|^[ \t]*[0-9]+[ \t]*$|[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}(?:[.,][0-9]{{3}})?(?: ?--> ?)?", re.M)
 _SENTENCE = re.compile(r"[^.!?。！？\n]+")
@@ -165,6 +167,61 @@ class Model:
         sides = (lean[:at] == a[k].argmax()).sum() >= MIN_WORDS - 1 and (lean[at:] == b[k].argmax()).sum() >= MIN_WORDS - 1
         return (at, a[k], b[k]) if both[k] >= SPLIT_CHANCE and sides else None
 
+    def stretches(self, rows: np.ndarray, whole: np.ndarray | None = None) -> list[tuple[int, int, np.ndarray]]:
+        """Stretches of one language of a clause's words as (from, to, chances), however often they change."""
+        n = len(rows)
+        ends = []
+        if n >= 2 * MIN_WORDS:
+            if split := self.cut(rows):
+                ends = [split[0], n]
+            elif n > CUT_WORDS * 3 // 2:
+                # What is the same language on both sides of a window's edge is merged later.
+                ends = [*range(CUT_WORDS, n - CUT_WORDS // 2, CUT_WORDS), n]
+            elif n >= 3 * MIN_WORDS and (found := self._several(rows)):
+                return found
+        if len(ends) < 2:
+            return [(0, n, self.chances(rows.sum(axis=0)[None])[0] if whole is None else whole)]
+        return [(s + at, e + at, p) for at, to in zip([0, *ends], ends) for s, e, p in self.stretches(rows[at:to])]
+
+    def _several(self, rows: np.ndarray) -> list[tuple[int, int, np.ndarray]] | None:
+        """The fewest stretches, three at least, whose chances' product is enough; None where there are none."""
+        n = len(rows)
+        lean = rows[:, :-1].argmax(axis=1)
+        all_votes = np.bincount(lean, minlength=rows.shape[1] - 1)
+        if (all_votes >= MIN_WORDS - 1).sum() < 2:
+            return None
+        total = np.vstack([np.zeros(rows.shape[1]), rows.cumsum(axis=0)])
+        votes = np.vstack([np.zeros(rows.shape[1] - 1, dtype=np.int64), (lean[:, None] == np.arange(rows.shape[1] - 1)).cumsum(axis=0)])
+        begin, stop = np.triu_indices(n + 1, MIN_WORDS)
+        lead = votes[stop] - votes[begin] >= MIN_WORDS - 1
+        # A stretch in another language than most words' must be among them; few pairs of places are looked at for it.
+        other = lead.copy()
+        other[:, all_votes.argmax()] = False
+        far = np.flatnonzero(other.any(axis=1))
+        if not ((self.chances(total[stop[far]] - total[begin[far]]) >= SPLIT_CHANCE) & other[far]).any():
+            return None
+        p = self.chances(total[stop] - total[begin])
+        ok = (p >= SPLIT_CHANCE) & lead
+        # At most one language of a stretch can have so much of the chance.
+        use = np.flatnonzero(ok.any(axis=1))
+        steps = [(int(stop[k]), int(begin[k]), int(p[k].argmax()), math.log(p[k].max()), p[k]) for k in use]
+        steps.sort(key=lambda x: x[:2])
+        # reached[(place, language)] = (log of the product, stretches)
+        reached: dict[tuple[int, int], tuple[float, list]] = {(0, -1): (0.0, [])}
+        for k in range(1, n // MIN_WORDS + 1):
+            nxt: dict[tuple[int, int], tuple[float, list]] = {}
+            for e, s, c, x, px in steps:
+                for d in range(-1, len(LANGUAGES)):
+                    if d != c and (was := reached.get((s, d))) and was[0] + x >= math.log(SPLIT_CHANCE) and ((e, c) not in nxt or was[0] + x > nxt[e, c][0]):
+                        nxt[e, c] = (was[0] + x, [*was[1], (s, e, px)])
+            reached = nxt
+            done = [v for (e, _), v in reached.items() if e == n]
+            if k >= 3 and done:
+                return max(done, key=lambda v: v[0])[1]
+            if not reached:
+                break
+        return None
+
     def segments(self, texts: list[str | None]) -> list[list[tuple[str, float, int, int]]]:
         """For each text its stretches of one language in order; none for null and for texts without a clause.
 
@@ -204,12 +261,11 @@ class Model:
             found: list[tuple[int, float, int, int, np.ndarray]] = []
             while k < n and spans[k][0] == i:
                 _, s, e = spans[k]
-                split = self.cut(self.rows[at[begins[k] : begins[k] + int(sizes[k])]]) if k in doubtful else None
-                if split:
-                    place, pa, pb = split
-                    middle = _word_place(texts[i], wordy[k], place, s, e)
-                    found.append((int(pa.argmax()), float(pa.max()), s, middle[0], pa))
-                    found.append((int(pb.argmax()), float(pb.max()), middle[1], e, pb))
+                parts = self.stretches(self.rows[at[begins[k] : begins[k] + int(sizes[k])]], p[k]) if k in doubtful else []
+                if len(parts) > 1:
+                    edges = [_word_place(texts[i], wordy[k], b, s, e) for b, _, _ in parts[1:]]
+                    for (_, _, px), lo, hi in zip(parts, [s, *(m[1] for m in edges)], [*(m[0] for m in edges), e]):
+                        found.append((int(px.argmax()), float(px.max()), lo, hi, px))
                 else:
                     found.append((tops[k], best[k], s, e, p[k]))
                 k += 1

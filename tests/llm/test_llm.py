@@ -145,6 +145,15 @@ def test_mixed_texts_and_what_gives_no_language(model):
     assert model.segments(none) == [[] for _ in none]
 
 
+@pytest.mark.parametrize("order", [["en", "de", "en"], ["es", "en", "es"], ["en", "es", "de"], ["de", "en", "de", "en"]])
+def test_a_clause_that_changes_language_several_times(model, order):
+    lines = [SENTENCES[k][i % 3].replace(",", "").format("Aldor") for i, k in enumerate(order)]
+    text = " ".join(lines)
+    got = model.segments([text])[0]
+    assert [x[0] for x in got] == order
+    assert all(s1 < e1 <= s2 < e2 for (_, _, s1, e1), (_, _, s2, e2) in zip(got, got[1:])) and got[0][2] == 0 and got[-1][3] == len(text)
+
+
 def test_offsets_point_into_the_text(model):
     text = "1\n00:00:00,000 --> 00:00:03,040\nthe driver said we would leave before Aldor.\n\n2\n00:00:03,040 --> 00:00:05,900\nderrière la gare il y a un petit pont."
     got = model.segments([text])[0]
