@@ -30,7 +30,7 @@ LOOK_ALIKES = {
 # Kinds of compatibility decomposition whose two sides print the same.
 SAME_LOOK = {"<wide>", "<narrow>", "<noBreak>", "<compat>"}
 #: Code points looked at when the unstable class is derived: all planes with letters, marks and tags.
-PLANES = [range(0x20000), range(0xE0000, 0xE1000)]
+PLANES = [range(0x20000), range(0x2F800, 0x2FA20), range(0xE0000, 0xE1000)]
 
 
 @lru_cache(maxsize=200_000)

@@ -277,6 +277,12 @@ def test_what_looks_alike(a, b, alike):
     assert (canonical(a) == canonical(b)) is alike
 
 
+def test_compatibility_ideographs_beyond_the_first_planes(spark):
+    df = spark.createDataFrame([("1", "\U0002f800x"), ("2", "\u4e3dx"), ("3", "\u4e3cx")], "id string, n string")
+    assert {tuple(r) for r in look_alike_pairs(df, "id", ["n"]).collect()} == {("1", "2")}
+    assert [r["c"] for r in canonical_text(df, "n", "c").orderBy("id").collect()] == ["\u4e3dx", "\u4e3dx", "\u4e3cx"]
+
+
 def test_segments_equal_whole_texts(spark):
     rnd = random.Random(9)
     pool = "abcZ 09-_.ＡＢ１é́̈оАﾎﾃﾄﾞ혼호​­Ⅱﬁ　 漢字ホ\n"
