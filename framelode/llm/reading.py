@@ -86,7 +86,7 @@ def _by_join(docs: DataFrame, words: DataFrame, z: np.ndarray, grid: np.ndarray)
     exploded = docs.join(theta, "_d").select("_k", F.explode(F.arrays_zip("_ws", "_ns")).alias("_x"))
     at = F.element_at(F.array(*map(F.lit, grid.tolist())), F.col("_k") + 1)
     per_word = exploded.groupBy(F.col("_x._ws").alias("_w")).agg(F.sum("_x._ns").cast("double").alias("_c"), F.sum(F.col("_x._ns") * at).alias("_ct")).withColumn("_k", F.lit(-1))
-    per_place = docs.join(theta, "_d").groupBy("_k").agg(F.sum("_size").cast("double").alias("_c"), F.count("*").cast("double").alias("_ct")).withColumn("_w", F.lit(None).cast("string"))
+    per_place = docs.filter("_size > 0").join(theta, "_d").groupBy("_k").agg(F.sum("_size").cast("double").alias("_c"), F.count("*").cast("double").alias("_ct")).withColumn("_w", F.lit(None).cast("string"))
     return per_word.select("_w", "_k", "_c", "_ct").unionByName(per_place.select("_w", "_k", "_c", "_ct"))
 
 

@@ -434,3 +434,10 @@ def test_no_grades(spark):
     assert levels(spark, [(1, "a b c")], [(1, None)]) == {1: (0.0, None)}
 
 
+def test_documents_without_words_move_no_levels(spark):
+    docs = [(i, " ".join(["easy"] * (9 - i) + ["hard"] * (i + 1) + ["the"] * 5)) for i in range(9)]
+    grades = [(i, 2 + i) for i in range(9)]
+    empty = [(100 + i, "") for i in range(40)]
+    want = levels(spark, docs, grades, rounds=2)
+    got = levels(spark, docs + empty, grades, rounds=2, sent_words=0)
+    assert all(got[i] == pytest.approx(want[i], abs=1e-3) for i in range(9)) and got[100][1] is None
