@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..plans.registry import Registry
 from ..session import cut_lineage
 from .languages import mislabelled, train_on, with_segments
-from .lookalike import canonical_text, look_alike_pairs
+from .lookalike import canonical_text, look_alike_classes, look_alike_pairs
 from .mixing import mixed
 from .nearest import nearest_within
 from .packing import fill_report, packed
@@ -77,6 +77,12 @@ def p4_found(t):
     return look_alike_pairs(t.assets, "asset_id", ["source_name", "source_path"])
 
 
+@reg.add("p4_classes")
+def p4_classes(t):
+    """Every spelling of a name or path that has several, with its assets and how many others each of them is linked to."""
+    return look_alike_classes(t.assets, "asset_id", ["source_name", "source_path"])
+
+
 @reg.add("p4_canonical_names")
 def p4_canonical_names(t):
     rows = t.assets.select("asset_id", "source_name", "source_path").distinct()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from framelode.llm import ftrl
 from framelode.llm.languages import LANGUAGES, Model, clauses, label_code, mislabelled, train, with_segments
-from framelode.llm.lookalike import canonical, canonical_text, look_alike_pairs
+from framelode.llm.lookalike import canonical, canonical_text, look_alike_classes, look_alike_pairs
 from framelode.llm.mixing import mixed, water_fill
 from framelode.llm.nearest import nearest_within
 from framelode.llm.packing import fill_report, pack, packed
@@ -294,6 +294,20 @@ def test_segments_equal_whole_texts(spark):
         assert canonical(got[t]) == got[t]
 
 
+def test_every_code_point(spark):
+    """Of all planes, between letters and after a letter that marks can join."""
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"x{chr(c)}e" for c in codes[i : i + 512]) for i in range(0, len(codes), 512)]
+    got = {r["t"]: r["c"] for r in canonical_text(spark.createDataFrame([(t,) for t in texts], "t string"), "t", "c").collect()}
+    assert not [i for i, t in enumerate(texts) if got[t] != canonical(t)]
+
+
+def test_classes_and_their_links(spark):
+    rows = [("1", "MVI 1"), ("2", "MVI 1"), ("3", "ＭVI 1"), ("4", "other"), (None, "ＭVI 1"), ("5", None), ("3", "ＭVI 1")]
+    got = {tuple(r) for r in look_alike_classes(spark.createDataFrame(rows, "id string, n string"), "id", ["n"]).collect()}
+    assert got == {("n", "MVI 1", "MVI 1", 2, 1), ("n", "MVI 1", "ＭVI 1", 1, 2)}
+
+
 def test_pairs_against_brute_force(spark):
     rows = [(f"{i:03d}", rnd_name) for i, rnd_name in enumerate(["MVI 1", "MVI 1", "ＭVI 1", "mvi 1", "MVI 1"] * 8 + [None, "x"])]
     df = spark.createDataFrame([(a, n, n) for a, n in rows] + [("000", "MVI 1", "MVI 1"), (None, "MVI 1", None)], "id string, n string, p string")
@@ -320,8 +334,8 @@ def test_nearest_against_brute_force(spark):
             want.add((i, near[0][2]))
     lf = spark.createDataFrame(left, "k string, t double, i long")
     rt = spark.createDataFrame(right, "k string, t double, j long")
-    for ticks in (1, 5):
-        assert {tuple(r) for r in nearest_within(lf, rt, ["k"], "t", ["i"], "t", "j", 0.4, ticks=ticks).collect()} == want
+    for cell in (1, 5):
+        assert {tuple(r) for r in nearest_within(lf, rt, ["k"], "t", ["i"], "t", "j", 0.4, cell=cell).collect()} == want
     assert nearest_within(lf, rt.limit(0), ["k"], "t", ["i"], "t", "j", 0.4).count() == 0
 
 
