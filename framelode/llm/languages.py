@@ -222,8 +222,8 @@ class Model:
                 break
         return None
 
-    def segments(self, texts: list[str | None]) -> list[list[tuple[str, float, int, int]]]:
-        """For each text its stretches of one language in order; none for null and for texts without a clause.
+    def _scored(self, texts: list[str | None]) -> tuple | None:
+        """Clauses of all texts with their words, chances and likeliest languages, and those that may be in several; None without any.
 
         Words are scored by table look-up, clauses of all texts together in a few array steps.
         """
@@ -240,9 +240,8 @@ class Model:
                     flat += self.numbers(words)
                     spans.append((i, s, e))
                     wordy.append(words)
-        out: list[list[tuple[str, float, int, int]]] = [[] for _ in texts]
         if not spans:
-            return out
+            return None
         at = np.array(flat, dtype=np.int64)
         first = np.array(begins, dtype=np.int64)
         p = self.chances(np.add.reduceat(self.rows[at], first, axis=0))
@@ -255,7 +254,32 @@ class Model:
         n = len(LANGUAGES) + 1
         votes = np.bincount(np.repeat(np.arange(len(top)), sizes) * n + lean + 1, minlength=len(top) * n).reshape(-1, n)[:, 1:]
         votes[np.arange(len(top)), top] = 0
-        doubtful = set(np.flatnonzero((sizes >= 2 * MIN_WORDS) & (votes.max(axis=1) >= MIN_WORDS - 1)).tolist())
+        doubtful = (sizes >= 2 * MIN_WORDS) & (votes.max(axis=1) >= MIN_WORDS - 1)
+        return spans, wordy, begins, sizes, at, p, top, doubtful
+
+    def wholly(self, texts: list[str | None], language: str) -> list[bool]:
+        """Whether ``segments`` finds stretches of ``language`` alone, at least one.
+
+        A clause that is surely in another language and in no more than one decides that of the whole text. Such
+        clauses are looked for at the beginning of texts first; the others are searched whole.
+        """
+        c = LANGUAGES.index(language)
+        heads = [_beginning(t) if t else None for t in texts]
+        gone: set[int] = set()
+        if got := self._scored(heads):
+            spans, _, _, _, _, p, top, doubtful = got
+            gone = {spans[k][0] for k in np.flatnonzero((top != c) & ~doubtful & (p.max(axis=1) >= DOUBT))}
+        found = self.segments([None if i in gone else t for i, t in enumerate(texts)])
+        return [bool(x) and all(y[0] == language for y in x) for x in found]
+
+    def segments(self, texts: list[str | None]) -> list[list[tuple[str, float, int, int]]]:
+        """For each text its stretches of one language in order; none for null and for texts without a clause."""
+        out: list[list[tuple[str, float, int, int]]] = [[] for _ in texts]
+        got = self._scored(texts)
+        if got is None:
+            return out
+        spans, wordy, begins, sizes, at, p, top, may = got
+        doubtful = set(np.flatnonzero(may).tolist())
         best = p[np.arange(len(top)), top].tolist()
         k, n = 0, len(spans)
         tops = top.tolist()
@@ -291,6 +315,17 @@ class Model:
         return out
 
 
+_BEGINNING = re.compile(r".*(?<!\.)[.!?。！？](?=\s)", re.S)
+
+
+def _beginning(text: str) -> str | None:
+    """Whole first sentences of a text, some hundred characters; None where marks might reach beyond them."""
+    head = text[:600]
+    if _TRIGGER.search(head) or not (m := _BEGINNING.match(head)):
+        return None
+    return m.group(0)
+
+
 def _word_place(text: str, words: list[str], at: int, start: int, end: int) -> tuple[int, int]:
     """End of the word before place ``at`` of a clause and start of the word at it."""
     pos = start
@@ -386,6 +421,17 @@ def with_segments(df: DataFrame, text: str, model: Model, name: str = "segments"
     return df.withColumn(name, segments.asNondeterministic()(F.col(text)))
 
 
+def wholly_in(df: DataFrame, text: str, model: Model, language: str) -> DataFrame:
+    """Rows whose text has stretches of ``language`` alone, by the same rules as ``with_segments``."""
+    sent = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def wholly(texts: pd.Series) -> pd.Series:
+        return pd.Series(sent.value.wholly(texts.tolist(), language), dtype=bool)
+
+    return df.filter(wholly(F.col(text)))
+
+
 def mislabelled(df: DataFrame, label: str, segments: str = "segments") -> DataFrame:
     """Rows whose label is missing or names no language of the text, and rows in several languages; one row for each language.
 

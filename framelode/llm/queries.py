@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from ..session import cut_lineage
-from .languages import mislabelled, train_on, with_segments
+from .languages import mislabelled, train_on, wholly_in, with_segments
 from .lookalike import canonical_text, look_alike_classes, look_alike_pairs
 from .mixing import mixed
 from .nearest import nearest_within
@@ -149,21 +149,26 @@ def p9_shares(t):
 GRADE_12 = 11.5
 
 
-def _levels(t):
+def _levels(english, grades):
     """Documents wholly in English with their number of pieces between blanks, theta and level."""
-    docs = t.documents.select("doc_id", "text", F.col("lang").alias("label"))
-    spoken = with_segments(docs, "text", train_on(docs, "doc_id", "text", "label"))
-    english = spoken.filter((F.size("segments") > 0) & F.forall("segments", lambda s: s["language"] == "en"))
     pieces = english.select("doc_id", "text", F.size(F.regexp_extract_all("text", F.lit(r"[^\s\p{Z}]+"), F.lit(0))).alias("pieces"))
-    return fit_levels(word_counts(pieces, "doc_id", "text", "pieces"), t.reading_labels, "doc_id", "grade").withColumnRenamed("_d", "doc_id")
+    return fit_levels(word_counts(pieces, "doc_id", "text", "pieces"), grades, "doc_id", "grade").withColumnRenamed("_d", "doc_id")
 
 
 @reg.add("p10_found")
 def p10_found(t):
-    return _levels(t).filter((F.col("pieces") >= 40) & (F.col("level") >= GRADE_12)).select("doc_id")
+    docs = t.documents.select("doc_id", "text", F.col("lang").alias("label"))
+    english = wholly_in(docs, "text", train_on(docs, "doc_id", "text", "label"), "en")
+    return _levels(english, t.reading_labels).filter((F.col("pieces") >= 40) & (F.col("level") >= GRADE_12)).select("doc_id")
 
 
 @reg.add("p10_levels")
 def p10_levels(t):
-    """Every document with its level; null where the text isn't wholly in English, as no grades tell the levels of other languages."""
-    return t.documents.select("doc_id").distinct().join(_levels(t).select("doc_id", "theta", "level"), "doc_id", "left")
+    """Every document with its level or, as grades tell the levels of English texts only, the reason why it has none."""
+    docs = t.documents.select("doc_id", "text", F.col("lang").alias("label"))
+    spoken = cut_lineage(with_segments(docs, "text", train_on(docs, "doc_id", "text", "label")))
+    said = F.array_distinct(F.transform("segments", lambda s: s["language"]))
+    english = spoken.filter((F.size("segments") > 0) & F.forall("segments", lambda s: s["language"] == "en"))
+    why = F.when(F.size(said) == 0, "no clause of any language").when(F.size(said) > 1, "several languages").when(F.get(said, F.lit(0)) != "en", "not in English")
+    levels = _levels(english, t.reading_labels).select("doc_id", "theta", "level")
+    return spoken.select("doc_id", why.alias("reason")).distinct().join(levels, "doc_id", "left").select("doc_id", "theta", "level", "reason")
