@@ -58,17 +58,23 @@ def p2_segments(t):
     return rows.join(trips, "asset_id", "left").select("source_table", "record_key", F.col("s.language").alias("language"), F.col("s.confidence").alias("confidence"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.array_contains("expected_languages", F.col("s.language")).alias("expected"))
 
 
+def _turn_args(t):
+    names = roster_names(t.speaker_roster, "speaker", ["label_ko"])
+    rows = t.stt_candidates.withColumn("place", F.regexp_extract("utterance_id", r"([0-9]{1,18})$", 1).try_cast("long"))
+    return rows, names
+
+
 @reg.add("p3_found")
 def p3_found(t):
-    names = roster_names(t.speaker_roster, "speaker", ["label_ko"])
-    turns = speaker_turns(t.stt_candidates, "asset_id", "start", "utterance_id", "text", names)
+    """Turns in the order of the stated start, equal ones by repaired time."""
+    rows, names = _turn_args(t)
+    turns = speaker_turns(rows, "asset_id", "start", "end", "utterance_id", "place", "text", names, stated=True)
     return turns.select("asset_id", "speaker", F.col("first_id").alias("first_utterance_id"), F.col("last_id").alias("last_utterance_id"))
 
 
 @reg.add("p3_turns")
 def p3_turns(t):
-    names = roster_names(t.speaker_roster, "speaker", ["label_ko"])
-    rows = t.stt_candidates.withColumn("place", F.regexp_extract("utterance_id", r"([0-9]{1,18})$", 1).try_cast("long"))
+    rows, names = _turn_args(t)
     return clean_turns(rows, t.stt_spans, "asset_id", "start", "end", "utterance_id", "place", "text", names)
 
 

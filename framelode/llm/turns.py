@@ -20,7 +20,7 @@ PIECE = T.ArrayType(T.StructType([T.StructField("speaker", T.StringType()), T.St
 
 _CLOCK, _NOTE = regex.compile(CLOCK), regex.compile(NOTE)
 _ANY, _SURE = regex.compile(ANY_HESITATION, regex.I), regex.compile(SURE_HESITATION, regex.I)
-_BRACKET = regex.compile(r"[\[(<]([^\[\](){}<>]{1,40})[\])>]\s?[:：]?")
+_BRACKET = regex.compile(r"[\[(<]([^\[\](){}<>]+)[\])>]\s?[:：]?")
 _DELIMITER = regex.compile(r"\s?[:：]|\s[–—]\s")
 _BEFORE = regex.compile(r"(?:(\S+)\s)?(\S+)$")
 _WORD = regex.compile(r"[\p{L}\p{N}]")
@@ -54,8 +54,12 @@ class Roster:
             if m := regex.fullmatch(r"(\p{L}{2,})[\s\-_]+(\p{L}|\p{N}+)", unicodedata.normalize("NFKC", other)):
                 self.parts.append((m[1].casefold(), m[2].casefold().lstrip("0"), speaker))
         self.known: dict[str, str | None] = {}
+        # A label isn't longer than the longest name with a slip and leading zeros.
+        self.longest = 2 * max((len(other) for other, _ in names), default=0) + 8
 
     def find(self, label: str) -> str | None:
+        if len(label) > 4 * self.longest:
+            return None
         key = _plain(label)
         if key not in self.known:
             if len(self.known) > 50_000:
@@ -64,7 +68,7 @@ class Roster:
         return self.known[key]
 
     def _find(self, key: str) -> str | None:
-        if not key or len(key) > 40:
+        if not key or len(key) > self.longest:
             return None
         if key in self.exact:
             return self.exact[key]
@@ -79,20 +83,17 @@ class Roster:
         rest = iter(word)
         return all(c in rest for c in head)
 
-    def pieces(self, text: str | None) -> list[tuple[str | None, str, int]]:
-        """(speaker or None where the last label still holds, clean text, words) in the order of the text."""
-        if not text:
-            return []
-        t = _CLOCK.sub(" ", text)
+    def _marks(self, t: str) -> list[tuple[int, int, str]]:
+        """Start, end and speaker of the labels of a text."""
         marks: list[tuple[int, int, str]] = []
         for m in _BRACKET.finditer(t):
             if who := self.find(m[1]):
                 marks.append((m.start(), m.end(), who))
         for m in _DELIMITER.finditer(t):
-            before = _BEFORE.search(t[max(0, m.start() - 60) : m.start()])
+            base = max(0, m.start() - 4 * self.longest)
+            before = _BEFORE.search(t[base : m.start()])
             if not before:
                 continue
-            base = max(0, m.start() - 60)
             tries = [(before.start(2), before[2])]
             if before[1]:
                 tries.insert(0, (before.start(1), f"{before[1]} {before[2]}"))
@@ -101,8 +102,18 @@ class Roster:
                 if who := self.find(bare):
                     marks.append((base + at, m.end(), who))
                     break
-        marks.sort()
-        cuts = [(0, 0, None), *marks]
+        return sorted(marks)
+
+    def marked(self, text: str | None) -> bool:
+        """Whether a text has a label."""
+        return bool(text and self._marks(_CLOCK.sub(" ", text)))
+
+    def pieces(self, text: str | None) -> list[tuple[str | None, str, int]]:
+        """(speaker or None where the last label still holds, clean text, words) in the order of the text."""
+        if not text:
+            return []
+        t = _CLOCK.sub(" ", text)
+        cuts = [(0, 0, None), *self._marks(t)]
         out = []
         for (_, end, who), (nxt, _, _) in zip(cuts, [*cuts[1:], (len(t), 0, None)]):
             body = t[end : max(end, nxt)]
@@ -172,36 +183,57 @@ def repaired_times(df: DataFrame, key: str, place: str, start: str, end: str, *,
     return out.select(*df.columns, F.round(fixed, 6).alias("fixed_start"), F.round(fixed + length, 6).alias("fixed_end"))
 
 
-def spoken_pieces(df: DataFrame, key: str, time: str, id_col: str, text: str, names: list[tuple[str, str]], also: list[str] | None = None) -> DataFrame:
-    """Pieces of records with words and their speaker: keys, time, ``also``, id, place in the record, speaker, text, words.
+#: What a label can't do without, besides clock marks that have it too.
+_MAY_LABEL = r"[:：\[(<]|\s[–—]\s"
+
+
+def labelled(df: DataFrame, key: str, text: str, names: list[tuple[str, str]]) -> DataFrame:
+    """The rows of the keys of which some text has a speaker label; only texts with a label's signs are read for it."""
+    roster = df.sparkSession.sparkContext.broadcast(Roster(names))
+
+    @F.pandas_udf("boolean")
+    def marked(texts: pd.Series) -> pd.Series:
+        return texts.map(roster.value.marked)
+
+    some = df.filter(F.regexp_replace(text, CLOCK, " ").rlike(_MAY_LABEL)).filter(marked(F.col(text)))
+    return df.join(some.select(key).distinct(), key, "left_semi")
+
+
+def spoken_pieces(df: DataFrame, key: str, time: str, end: str, id_col: str, place: str, text: str, names: list[tuple[str, str]], *, stated: bool = False) -> tuple[DataFrame, list[str]]:
+    """(pieces of records with words and their speaker, the columns of their order).
 
-    Records follow each other by time, then by the columns ``also``, then by id. A label holds
-    until the next one, also beyond its record. Keys without any label, words before the first
-    label of a key, and pieces of nothing but hesitations and sound notes are left out, as are
-    rows with a null key, id or time. Whole-row copies count once.
+    Pieces have _k, _b (bucket of the order), _id, _n (place in the record), _speaker, _clean,
+    _words, and the repaired _at and _until of their record (see ``repaired_times``). Records follow
+    each other by repaired time, so across clock resets in the file order ``place``, or, with
+    ``stated``, by the stated time and only for equal ones by the repaired; a record without a
+    place is taken at its stated time. A label holds until the next one, also beyond its record.
+    Keys without any label, words before the first label of a key, and pieces of nothing but
+    hesitations and sound notes are left out, as are rows with a null key, id or time. Whole-row
+    copies count once.
     """
-    also = also or []
     roster = df.sparkSession.sparkContext.broadcast(Roster(names))
 
     @F.pandas_udf(PIECE)
     def parse(texts: pd.Series) -> pd.Series:
         return texts.map(roster.value.pieces)
 
-    rows = df.select(F.col(key).alias("_k"), F.col(time).cast("double").alias("_s"), *also, F.col(id_col).alias("_id"), F.col(text).alias("_text"))
-    rows = rows.filter(F.col("_k").isNotNull() & F.col("_id").isNotNull() & F.col("_s").isNotNull() & ~F.isnan("_s")).distinct()
-    pieces = rows.withColumn("_pieces", parse("_text")).select("_k", "_s", *also, "_id", F.posexplode("_pieces").alias("_n", "_p"))
-    pieces = pieces.select("_k", "_s", *also, "_id", "_n", F.col("_p.speaker").alias("_label"), F.col("_p.text").alias("_clean"), F.col("_p.words").alias("_words"), F.floor(F.col("_s") / BUCKET_S).cast("long").alias("_b"))
-    # Written once: the look-back reads it twice and would parse all texts again.
-    pieces = cut_lineage(pieces)
-    held = with_last_known(pieces, ["_k"], "_b", ["_s", *also, "_id", "_n"], "_label", "_speaker")
-    return held.filter("_words > 0 AND _speaker IS NOT NULL")
-
-
-def speaker_turns(df: DataFrame, key: str, time: str, id_col: str, text: str, names: list[tuple[str, str]]) -> DataFrame:
-    """Longest turns of one speaker: key, speaker, first_id, last_id (records that hold words of the turn)."""
-    said = spoken_pieces(df, key, time, id_col, text, names)
-    order = ["_s", "_id", "_n"]
-    heads = with_previous(said, ["_k"], "_b", order, ["_speaker", "_id"], "_before").filter("_before IS NULL OR _before._speaker <> _speaker")
+    rows = df.select(F.col(key).alias("_k"), F.col(id_col).alias("_id"), F.col(place).cast("long").alias("_place"), F.col(time).cast("double").alias("_start"), F.col(end).cast("double").alias("_end"), F.col(text).alias("_text"))
+    rows = rows.filter("_k IS NOT NULL AND _id IS NOT NULL AND _start IS NOT NULL AND NOT isnan(_start)")
+    # Written once, parsed: what follows reads it several times.
+    rows = cut_lineage(labelled(rows, "_k", "_text", names).distinct().withColumn("_pieces", parse.asNondeterministic()("_text")).drop("_text"))
+    times = repaired_times(rows.drop("_pieces").dropDuplicates(["_k", "_id"]), "_k", "_place", "_start", "_end").select("_k", "_id", "fixed_start", "fixed_end")
+    rows = rows.join(times, ["_k", "_id"], "left").withColumns({"_at": F.coalesce("fixed_start", "_start"), "_until": F.coalesce("fixed_end", F.greatest("_start", F.coalesce(F.nanvl("_end", "_start"), "_start")))})
+    order = ["_start", "_at", "_id", "_n"] if stated else ["_at", "_place", "_until", "_id", "_n"]
+    pieces = rows.select("_k", "_start", "_at", "_until", "_place", "_id", F.posexplode("_pieces").alias("_n", "_p"), F.floor(F.col(order[0]) / BUCKET_S).cast("long").alias("_b"))
+    pieces = cut_lineage(pieces.select("_k", "_b", *dict.fromkeys([*order, "_at", "_until"]), F.col("_p.speaker").alias("_label"), F.col("_p.text").alias("_clean"), F.col("_p.words").alias("_words")))
+    held = with_last_known(pieces, ["_k"], "_b", order, "_label", "_speaker")
+    return held.filter("_words > 0 AND _speaker IS NOT NULL"), order
+
+
+def speaker_turns(df: DataFrame, key: str, time: str, end: str, id_col: str, place: str, text: str, names: list[tuple[str, str]], *, stated: bool = False) -> DataFrame:
+    """Longest turns of one speaker: key, speaker, first_id, last_id (records that hold words of the turn); order as in ``spoken_pieces``."""
+    said, order = spoken_pieces(df, key, time, end, id_col, place, text, names, stated=stated)
+    heads = with_previous(said.drop("_clean"), ["_k"], "_b", order, ["_speaker", "_id"], "_before").filter("_before IS NULL OR _before._speaker <> _speaker")
     heads = with_next(heads.select("_k", "_b", *order, "_speaker", F.col("_before._id").alias("_prev_id")), ["_k"], "_b", order, ["_prev_id"], "_after")
     ends = said.groupBy("_k").agg(F.max_by("_id", F.struct(*order)).alias("_final"))
     return heads.join(ends, "_k").select(F.col("_k").alias(key), F.col("_speaker").alias("speaker"), F.col("_id").alias("first_id"), F.coalesce("_after._prev_id", "_final").alias("last_id"))
@@ -210,17 +242,12 @@ def speaker_turns(df: DataFrame, key: str, time: str, id_col: str, text: str, na
 def clean_turns(df: DataFrame, spans: DataFrame, key: str, time: str, end: str, id_col: str, place: str, text: str, names: list[tuple[str, str]]) -> DataFrame:
     """Turns with clean text: key, turn (place of its first piece), part, speaker, start, end, confidence, text.
 
-    Times are repaired first (see ``repaired_times``), so records, labels and turns follow the
-    file order ``place`` where a clock falls back; a record without a place is taken at its
-    stated time. Confidence is the mean of the records' span confidences weighted by words
-    (null if no span has one). A turn's text is given in parts of at most ten minutes, so that
-    a speaker without end doesn't become one endless value.
+    Records, labels and turns follow the repaired times. Confidence is the mean of the records'
+    span confidences weighted by words (null if no span has one). A turn's text is given in
+    parts of at most ten minutes, so that a speaker without end doesn't become one endless value.
     """
-    order = ["_s", "_place", "_until", "_id", "_n"]
-    stated = df.select(F.col(key).alias("_k"), F.col(id_col).alias("_id"), F.col(place).cast("long").alias("_place"), F.col(time).cast("double").alias("_start"), F.col(end).cast("double").alias("_end"), F.col(text).alias("_text")).filter("_k IS NOT NULL AND _id IS NOT NULL AND _start IS NOT NULL AND NOT isnan(_start)").distinct()
-    times = repaired_times(stated.drop("_text").dropDuplicates(["_k", "_id"]), "_k", "_place", "_start", "_end").select("_k", "_id", "fixed_start", "fixed_end")
-    rows = stated.join(times, ["_k", "_id"], "left").withColumns({"_at": F.coalesce("fixed_start", "_start"), "_until": F.coalesce("fixed_end", F.greatest("_start", F.coalesce(F.nanvl("_end", "_start"), "_start")))})
-    said = with_previous(spoken_pieces(rows, "_k", "_at", "_id", "_text", names, ["_place", "_until"]), ["_k"], "_b", order, ["_speaker"], "_before")
+    said, order = spoken_pieces(df, key, time, end, id_col, place, text, names)
+    said = with_previous(said, ["_k"], "_b", order, ["_speaker"], "_before")
     said = said.withColumn("_head", F.when(F.col("_before").isNull() | (F.col("_before._speaker") != F.col("_speaker")), F.concat_ws("#", "_id", F.col("_n").cast("string"))))
     said = with_last_known(said, ["_k"], "_b", order, "_head", "_turn")
     sure = spans.select(F.col("utterance_id").alias("_id"), "span_index", "confidence").filter(F.col("confidence").isNotNull() & ~F.isnan("confidence")).distinct().groupBy("_id").agg(F.avg("confidence").alias("_c"))
@@ -228,7 +255,7 @@ def clean_turns(df: DataFrame, spans: DataFrame, key: str, time: str, end: str,
     counted = F.when(F.col("_c").isNotNull(), F.col("_words"))
     parts = rows.groupBy("_k", "_turn", "_b").agg(
         F.first("_speaker").alias("speaker"),
-        F.min("_s").alias("start"),
+        F.min("_at").alias("start"),
         F.max("_until").alias("end"),
         F.round(F.sum(F.col("_c") * counted) / F.sum(counted), 4).alias("confidence"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, "_clean"))), lambda x: x["_clean"]), " ").alias("text"),

@@ -214,12 +214,21 @@ def test_pieces(text, want):
 def test_turns(spark):
     rows = [
         ("a", 0.0, "1", "before any label"), ("a", 1.0, "2", "Guide: one"), ("a", 2.0, "3", "[music]"), ("a", 3.0, "4", "two"), ("a", 700.0, "5", "three Host: four"), ("a", 701.0, "6", "uh"), ("a", 702.0, "7", "Guide:"), ("a", 703.0, "8", "five"),
-        ("b", 0.0, "9", "no label here"), (None, 0.0, "0", "Guide: x"), ("a", 1.0, "2", "Guide: one"),
+        ("b", 0.0, "9", "no label here"), (None, 0.0, "0", "Guide: x"), ("a", 1.0, "2", "Guide: one"), ("c", 1.0, "1", None), ("c", None, "2", "Guide: x"),
     ]
-    df = spark.createDataFrame(rows, "k string, s double, id string, t string")
-    got = {tuple(r) for r in speaker_turns(df, "k", "s", "id", "t", ROSTER).collect()}
-    assert got == {("a", "Guide", "2", "5"), ("a", "Host", "5", "5"), ("a", "Guide", "8", "8")}
-    assert speaker_turns(df.limit(0), "k", "s", "id", "t", ROSTER).count() == 0
+    df = spark.createDataFrame(rows, "k string, s double, id string, t string").withColumns({"e": F.col("s"), "n": F.col("id").cast("long")})
+    args = ("k", "s", "e", "id", "n", "t", ROSTER)
+    for stated in (True, False):
+        assert {tuple(r) for r in speaker_turns(df, *args, stated=stated).collect()} == {("a", "Guide", "2", "5"), ("a", "Host", "5", "5"), ("a", "Guide", "8", "8")}
+    assert speaker_turns(df.limit(0), *args, stated=True).count() == 0
+
+
+def test_turns_across_a_clock_reset(spark):
+    rows = [("a", 100.0, "u0", 0, "Guide: one"), ("a", 110.0, "u1", 1, "two"), ("a", 5.0, "u2", 2, "three"), ("a", 15.0, "u3", 3, "Host: four")]
+    df = spark.createDataFrame(rows, "k string, s double, id string, n long, t string").withColumn("e", F.col("s"))
+    args = ("k", "s", "e", "id", "n", "t", ROSTER)
+    assert {tuple(r) for r in speaker_turns(df, *args).collect()} == {("a", "Guide", "u0", "u2"), ("a", "Host", "u3", "u3")}
+    assert {tuple(r) for r in speaker_turns(df, *args, stated=True).collect()} == {("a", "Host", "u3", "u3"), ("a", "Guide", "u0", "u1")}
 
 
 def test_isotonic_is_the_least_squares_projection():
