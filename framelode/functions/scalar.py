@@ -151,22 +151,8 @@ def rational(text) -> Column:
     return F.when(low != 0, top / low)
 
 
-def tempo_steps(speed: float) -> list[float]:
-    """Factors within [0.5, 2] whose product is ``speed``."""
-    if not speed > 0:
-        raise ValueError("a speed is above 0")
-    out: list[float] = []
-    while speed > 2:
-        out.append(2.0)
-        speed /= 2
-    while speed < 0.5:
-        out.append(0.5)
-        speed /= 0.5
-    return [*out, round(speed, 9)] if not out or abs(speed - 1) > 1e-9 else out
-
-
-def tempo_steps_of(speed) -> Column:
-    """The same as a column: equal factors of 2 or 0.5, then the rest if it isn't 1."""
+def tempo_steps(speed) -> Column:
+    """Factors within [0.5, 2] whose product is the speed (M12): powers of 2 or a half, then the rest. A speed not above 0 gives null."""
     s = col(speed)
     base = F.when(s > 2, F.lit(2.0)).when(s < 0.5, F.lit(0.5))
     n = F.when(s > 2, F.ceil(F.log2(s)) - 1).when(s < 0.5, F.ceil(-F.log2(s)) - 1).otherwise(0).cast("int")

@@ -1,19 +1,21 @@
-"""Ordered rules that carry state: islands, folds, suppression, clustering, segmentation.
+"""Ordered rules that carry state: suppression, clustering, segmentation, lines, accepted speech.
 
-A fold keeps a group of rows in one array. Groups are first cut into islands at places
-where the rule provably forgets its state (a gap beyond its tolerance), so that an array
-holds one island, not a key.
+Most are chains of segment starts or suppression (``chains``). The one fold left keeps a group
+of rows in one array; groups are first cut into islands at places where the rule provably forgets
+its state (a pause), so that an array holds one island, not a key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .sequence import with_last_known, with_previous, with_running_max
+from .chains import chained, first_beyond, first_from, suppressed
+from .sequence import with_last_known, with_next, with_previous, with_row_number, with_running_max, with_running_sum
 
 #: Weight of a kind of signal in ranking and fusion, and that of kinds not named. Fixed values.
 KIND_WEIGHTS = {
@@ -28,17 +30,6 @@ def with_bucket(df: DataFrame, time: str, width: float = 600.0) -> DataFrame:
     return df.filter(F.col(time).isNotNull() & ~F.isnan(F.col(time).cast("double"))).withColumn("_b", F.floor(F.col(time) / width).cast("long"))
 
 
-def with_island(df: DataFrame, keys: list[str], order: list[str], prev: list[str], starts: Callable[[Column], Column], name: str = "_island") -> DataFrame:
-    """Add ``name``: the first order struct of the island; ``starts(previous row)`` says where one begins.
-
-    Needs the column ``_b`` of ``with_bucket``.
-    """
-    # Each look-back refers to its input twice; without a cut here, chains of operators would double their plan at every step.
-    rows = with_previous(cut_lineage(df), keys, "_b", order, prev, "_prev")
-    rows = rows.withColumn("_head", F.when(F.col("_prev").isNull() | F.coalesce(starts(F.col("_prev")), F.lit(False)), F.struct(*order)))
-    return with_last_known(rows, keys, "_b", order, "_head", name).drop("_prev", "_head")
-
-
 def ordered_fold(df: DataFrame, keys: list[str], order: list[Column], fields: list[str], init: Column, step: Callable[[Column, Column], Column], name: str) -> DataFrame:
     """keys and ``name``: the state after all rows of each group in order; the fold runs in the JVM."""
     packed = F.sort_array(F.collect_list(F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), F.struct(*fields).alias("row"))))
@@ -55,20 +46,12 @@ def suppress(events: DataFrame, keys: list[str], time: str, score: str, id_col:
 
     Events are taken by falling score, then time, then id; one is kept if no kept one lies
     within ``tolerance`` (or, not ``inclusive``, nearer). Add the kind to ``keys`` to suppress within
-    kinds. Events farther apart than the tolerance never meet, which cuts keys into islands.
-    Null times are left out, null scores come last; ties go by time and id; repeated rows count once.
+    kinds. Null times are left out, null scores come last; ties go by time and id; repeated rows
+    count once.
     """
-    rows = with_bucket(events.select(*keys, F.col(time).alias("_t"), F.col(score).alias("_s"), F.col(id_col).alias("_id")).distinct(), "_t")
-    far = (lambda p: F.col("_t") - p["_t"] > tolerance) if inclusive else (lambda p: F.col("_t") - p["_t"] >= tolerance)
-    rows = with_island(rows, keys, ["_t", "_id"], ["_t"], far)
-    empty = F.array().cast(f"array<struct<_t:double,_s:double,_id:{events.schema[id_col].dataType.simpleString()}>>")
-    near = (lambda k, x: F.abs(k["_t"] - x["_t"]) <= tolerance) if inclusive else (lambda k, x: F.abs(k["_t"] - x["_t"]) < tolerance)
-    kept = ordered_fold(
-        rows.withColumns({"_t": F.col("_t").cast("double"), "_s": F.col("_s").cast("double")}),
-        [*keys, "_island"], [-F.coalesce(F.col("_s"), F.lit(float("-inf"))), F.col("_t"), F.col("_id")], ["_t", "_s", "_id"], empty,
-        lambda acc, x: F.when(F.exists(acc, lambda k: near(k, x)), acc).otherwise(F.array_append(acc, x)), "_kept",
-    )
-    return kept.select(*keys, F.explode("_kept").alias("_x")).select(*keys, F.col("_x._t").alias(time), F.col("_x._s").alias(score), F.col("_x._id").alias(id_col))
+    rows = with_bucket(events.select(*keys, F.col(time).cast("double").alias("_t"), F.col(score).cast("double").alias("_s"), F.col(id_col).alias("_id")).distinct(), "_t").drop("_b")
+    kept = suppressed(rows, keys, tolerance, inclusive=inclusive)
+    return kept.select(*keys, F.col("_t").alias(time), F.col("_s").alias(score), F.col("_id").alias(id_col))
 
 
 def best_spaced(events: DataFrame, keys: list[str], time: str, score: str, id_col: str, spacing: float, limit: str) -> DataFrame:
@@ -79,8 +62,10 @@ def best_spaced(events: DataFrame, keys: list[str], time: str, score: str, id_co
     """
     kept = suppress(events, keys, time, score, id_col, spacing, inclusive=False)
     limits = events.groupBy(*keys).agg(F.max(limit).alias("_limit"))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last(score), time, id_col))
-    return kept.withColumn("rank", rank.cast("long")).join(limits, keys).filter(F.col("rank") <= F.col("_limit")).drop("_limit")
+    # Buckets of falling scores, those without a score last.
+    kept = kept.withColumns({"_fall": -F.coalesce(score, F.lit(float("-inf"))), "_b": F.coalesce(F.floor(F.col(score) * -64).cast("long"), F.lit(1 << 62))})
+    kept = with_row_number(kept, keys, "_b", ["_fall", time, id_col], "rank").drop("_b", "_fall")
+    return kept.join(limits, keys).filter(F.col("rank") <= F.col("_limit")).drop("_limit")
 
 
 def anchored_clusters(events: DataFrame, keys: list[str], time: str, id_col: str, tolerance: float, *, kind: str | None = None) -> DataFrame:
@@ -88,27 +73,32 @@ def anchored_clusters(events: DataFrame, keys: list[str], time: str, id_col: str
 
     A cluster is anchored at its first event: the next one begins with the first event more than
     ``tolerance`` after the anchor or, with ``kind``, where the end of speech meets its start in one
-    cluster. A gap beyond the tolerance always begins a cluster, which cuts keys into islands.
+    cluster. Events without a time are left out.
     """
-    k = F.col(kind) if kind else F.lit("")
-    rows = with_bucket(events.select(*keys, F.col(time).cast("double").alias("_t"), F.col(id_col).alias("_id"), k.alias("_kind")).distinct(), "_t")
-    rows = with_island(rows, keys, ["_t", "_id"], ["_t"], lambda p: F.col("_t") - p["_t"] > tolerance)
-    idt = events.schema[id_col].dataType.simpleString()
-    init = F.struct(F.lit(None).cast("double").alias("a"), F.lit(0).alias("n"), F.lit(False).alias("s"), F.lit(False).alias("e"), F.array().cast(f"array<struct<id:{idt},a:double,n:int>>").alias("out"))
+    k = F.coalesce(F.when(F.col(kind) == "speech_start", 1).when(F.col(kind) == "speech_end", 2), F.lit(0)) if kind else F.lit(0)
 
-    def step(acc: Column, x: Column) -> Column:
-        opposed = ((x["_kind"] == "speech_start") & acc["e"]) | ((x["_kind"] == "speech_end") & acc["s"])
-        new = acc["a"].isNull() | (x["_t"] - acc["a"] > tolerance) | opposed
-        a = F.when(new, x["_t"]).otherwise(acc["a"])
-        n = acc["n"] + new.cast("int")
-        s = (x["_kind"] == "speech_start") | (~new & acc["s"])
-        e = (x["_kind"] == "speech_end") | (~new & acc["e"])
-        return F.struct(a.alias("a"), n.alias("n"), s.alias("s"), e.alias("e"), F.array_append(acc["out"], F.struct(x["_id"].alias("id"), a.alias("a"), n.alias("n"))).alias("out"))
+    def following(t: np.ndarray, side: np.ndarray) -> np.ndarray:
+        opposed = np.maximum(first_from(side == 1), first_from(side == 2))
+        return np.minimum(first_beyond(t, tolerance), opposed)
+
+    rows = chained(events.withColumn("_side", k), keys, time, id_col, ["_side"], tolerance, following).drop("_side", "segment")
+    rows = with_bucket(rows.withColumn("_one", F.col("starts").cast("long")), time)
+    return with_running_sum(rows, keys, "_b", [time, id_col], "_one", "cluster").drop("_one", "_b", "starts")
 
-    done = ordered_fold(rows, [*keys, "_island"], [F.col("_t"), F.col("_id")], ["_t", "_id", "_kind"], init, step, "_acc")
-    flat = done.select(*keys, "_island", F.explode("_acc.out").alias("_x")).select(*keys, F.col("_x.id").alias(id_col), F.struct("_island", F.col("_x.n").alias("n")).alias("_c"))
-    heads = flat.select(*keys, "_c").distinct().withColumn("cluster", F.row_number().over(Window.partitionBy(*keys).orderBy("_c")).cast("long"))
-    return events.join(flat.join(heads, [*keys, "_c"]).drop("_c"), [*keys, id_col])
+
+def moved_apart(rows: DataFrame, keys: list[str], time: str, number: str) -> DataFrame:
+    """Times rounded to microseconds and, where taken, moved on by milliseconds to the next free one, in the order of ``number``.
+
+    Times must not fall as ``number`` grows. Only times of the same microsecond within their
+    millisecond can meet; of these the j-th ends at the greatest of the (time - j) so far, plus j.
+    """
+    us = F.round(F.col(time).cast("decimal(24,12)") * 1_000_000).cast("long")
+    x = rows.withColumn("_us", us).withColumns({"_res": F.pmod("_us", F.lit(1000)), "_ms": F.floor(F.col("_us") / 1000).cast("long"), "_nb": F.floor(F.col(number) / 1000).cast("long")})
+    per = [*keys, "_res"]
+    x = with_row_number(x, per, "_nb", [number], "_j").withColumn("_lead", F.col("_ms") - F.col("_j"))
+    x = with_running_max(x, per, "_nb", [number], "_lead", "_most")
+    moved = (F.greatest("_lead", "_most") + F.col("_j")) * 1000 + F.col("_res")
+    return x.withColumn(time, F.round((moved / 1_000_000).cast("decimal(24,12)"), 6).cast("double")).drop("_us", "_res", "_ms", "_nb", "_j", "_lead", "_most")
 
 
 def fused_proposals(events: DataFrame, keys: list[str], tolerance: float, *, least: float = 0.60, keep_cluster: bool = False) -> DataFrame:
@@ -116,8 +106,9 @@ def fused_proposals(events: DataFrame, keys: list[str], tolerance: float, *, lea
 
     Events have timestamp, kind, confidence, source_id. Result: keys, proposal_id, timestamp,
     confidence, primary_kind, evidence (count). The best weighted event gives time and
-    kind; equal times of proposals are moved apart by a millisecond; confidences fuse by noisy-or.
-    ``keep_cluster`` adds the cluster that a proposal is made of.
+    kind; equal times of proposals are moved apart by a millisecond, also by those that are
+    dropped later; confidences fuse by noisy-or. ``keep_cluster`` adds the cluster that a
+    proposal is made of.
     """
     rows = anchored_clusters(events, keys, "timestamp", "source_id", tolerance, kind="kind")
     w = kind_weight("kind")
@@ -129,10 +120,9 @@ def fused_proposals(events: DataFrame, keys: list[str], tolerance: float, *, lea
         F.count("*").alias("evidence"),
     )
     out = out.select(*keys, "cluster", F.col("_best.timestamp").alias("timestamp"), F.col("_best.kind").alias("primary_kind"), F.round(F.col("_c").cast("decimal(24,12)"), 4).cast("double").alias("confidence"), "evidence")
-    taken = F.row_number().over(Window.partitionBy(*keys, "timestamp").orderBy("cluster")) - 1
-    out = out.withColumn("timestamp", F.round((F.col("timestamp") + taken * 0.001).cast("decimal(24,12)"), 6).cast("double")).filter(F.col("confidence") >= least)
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy("timestamp"))
-    return out.select(*keys, F.format_string("BP%04d", number).alias("proposal_id"), "timestamp", "confidence", "primary_kind", "evidence", *(["cluster"] if keep_cluster else []))
+    out = cut_lineage(moved_apart(out, keys, "timestamp", "cluster").filter(F.col("confidence") >= least))
+    out = with_row_number(with_bucket(out, "timestamp"), keys, "_b", ["timestamp"], "_number")
+    return out.select(*keys, F.format_string("BP%04d", "_number").alias("proposal_id"), "timestamp", "confidence", "primary_kind", "evidence", *(["cluster"] if keep_cluster else []))
 
 
 def adaptive_segments(samples: DataFrame, key: str, time: str, change: str, duration: str, *, shortest: float, longest: float, threshold: float) -> DataFrame:
@@ -140,35 +130,27 @@ def adaptive_segments(samples: DataFrame, key: str, time: str, change: str, dura
 
     A cut falls on a sample with ``change >= threshold`` at least ``shortest`` after the last cut, or
     on the first at least ``longest`` after it; the first sample never cuts; a cut that leaves less than
-    ``shortest`` until the end is dropped. Samples more than ``longest`` apart always cut, which
-    splits the fold; a recording's samples between such gaps are folded together.
+    ``shortest`` until the end is dropped. Null changes count as 0; rows with a null key, time or
+    duration are left out; of samples of one time the greatest change counts.
     """
-    rows = samples.select(F.col(key).alias("_k"), F.col(time).cast("double").alias("_t"), F.coalesce(F.col(change).cast("double"), F.lit(0.0)).alias("_c"), F.col(duration).cast("double").alias("_d")).filter("_k IS NOT NULL AND _d IS NOT NULL").groupBy("_k", "_t").agg(F.max("_c").alias("_c"), F.max("_d").alias("_d"))
-    rows = with_bucket(rows, "_t")
-    rows = with_previous(rows, ["_k"], "_b", ["_t"], ["_t"], "_before")
-    first = F.col("_before").isNull()
-    rows = with_island(rows, ["_k"], ["_t"], ["_t"], lambda p: F.col("_t") - p["_t"] >= longest).withColumn("_first", first)
-    # Before its first sample an island's state is the cut at that sample, or the start of the asset for the first island.
-    init = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<struct<t:double,r:string>>").alias("cuts"))
-
-    def step(acc: Column, x: Column) -> Column:
-        gone = x["_t"] - acc["last"]
-        reason = F.when((gone >= shortest) & (x["_c"] >= threshold), "visual_change").when(gone >= longest, "max_duration")
-        reason = F.when(acc["last"].isNull() & ~x["_first"], F.when(x["_c"] >= threshold, "visual_change").otherwise("max_duration")).when(acc["last"].isNull(), F.lit(None)).otherwise(reason)
-        cut = reason.isNotNull() & (x["_t"] < x["_d"])
-        base = F.when(acc["last"].isNull(), F.when(x["_first"], F.lit(0.0)).otherwise(x["_t"])).otherwise(acc["last"])
-        return F.struct(F.when(cut, x["_t"]).otherwise(base).alias("last"), F.when(cut, F.array_append(acc["cuts"], F.struct(x["_t"].alias("t"), reason.alias("r")))).otherwise(acc["cuts"]).alias("cuts"))
-
-    folded = ordered_fold(rows, ["_k", "_island"], [F.col("_t")], ["_t", "_c", "_d", "_first"], init, step, "_acc")
-    cuts = folded.select("_k", F.explode("_acc.cuts").alias("_x")).select("_k", F.col("_x.t").alias("t"), F.col("_x.r").alias("r"))
-    ends = rows.groupBy("_k").agg(F.max("_d").alias("_d"))
-    marks = ends.select("_k", F.lit(0.0).alias("t"), F.lit("asset_start").alias("r")).unionByName(cuts)
-    w = Window.partitionBy("_k").orderBy("t")
-    marks = marks.join(ends, "_k").withColumn("_last", F.lead("t").over(w).isNull())
-    marks = marks.filter(~(F.col("_last") & (F.col("t") > 0) & (F.col("_d") - F.col("t") < shortest)))
-    end = F.coalesce(F.lead("t").over(w), F.col("_d"))
+    rows = samples.select(F.col(key).alias("_k"), F.col(time).cast("double").alias("_t"), F.coalesce(F.col(change).cast("double"), F.lit(0.0)).alias("_c"), F.col(duration).cast("double").alias("_d")).filter("_k IS NOT NULL AND _d IS NOT NULL AND _t IS NOT NULL AND NOT isnan(_t)")
+    rows = rows.groupBy("_k", "_t").agg(F.max("_c").alias("_c"), F.max("_d").alias("_d"))
+    whole = cut_lineage(rows.groupBy("_k").agg(F.min("_t").alias("_first"), F.max("_d").alias("_d")))
+    # Neither the first sample nor one at or before 0 or after the end can cut; the chain begins at 0.
+    able = rows.drop("_d").join(whole, "_k").filter("_t > _first AND _t > 0 AND _t < _d").select("_k", "_t", "_c", "_d")
+    rows = able.unionByName(whole.select("_k", F.lit(0.0).alias("_t"), F.lit(0.0).alias("_c"), "_d")).withColumn("_id", F.lit(0))
+
+    def following(t: np.ndarray, c: np.ndarray) -> np.ndarray:
+        soon, late = first_beyond(t, shortest, inclusive=True), first_beyond(t, longest, inclusive=True)
+        strong = np.append(first_from(c >= threshold), len(t))
+        return np.minimum(strong[np.minimum(soon, len(t))], late)
+
+    cuts = chained(rows, ["_k"], "_t", "_id", ["_c"], longest, following).filter("starts")
+    cuts = cut_lineage(with_bucket(cuts.select("_k", "_t", "_c", "_d"), "_t").filter(~((F.col("_t") > 0) & (F.col("_d") - F.col("_t") < shortest))))
+    cuts = with_row_number(with_next(cuts, ["_k"], "_b", ["_t"], ["_t"], "_n"), ["_k"], "_b", ["_t"], "_number")
+    reason = F.when(F.col("_t") <= 0, "asset_start").when(F.col("_c") >= threshold, "visual_change").otherwise("max_duration")
     dec = lambda c: F.round(c.cast("decimal(24,12)"), 3).cast("double")
-    return marks.select(F.col("_k").alias(key), F.format_string("S%03d", F.row_number().over(w)).alias("segment_id"), dec(F.col("t")).alias("start"), dec(end).alias("end"), F.col("r").alias("boundary_reason"))
+    return cuts.select(F.col("_k").alias(key), F.format_string("S%03d", "_number").alias("segment_id"), dec(F.col("_t")).alias("start"), dec(F.coalesce("_n._t", "_d")).alias("end"), reason.alias("boundary_reason"))
 
 
 def accepted_speech(rows: DataFrame, key: str, order: str, start: str, end: str, norm: str, reasons: str, *, pause: float = 2.0) -> DataFrame:
@@ -201,8 +183,7 @@ def merged_lines(rows: DataFrame, key: str, order: str, *, max_gap: float = 2.2,
 
     Neighbours join one line if they share a language other than uncertain or mixed, the gap is in
     [-0.05, max_gap], the line stays within ``max_duration`` from its first start and ``max_chars``,
-    and no finished sentence is followed by a gap over 0.55. What a neighbour alone forbids cuts the
-    fold: other language, gap, or finished sentence.
+    and no finished sentence is followed by a gap over 0.55. Rows without a start are left out.
     """
     base = with_bucket(rows, "start").withColumns({"_text": F.trim(F.regexp_replace("text", r"\s+", " ")), "_lang": F.lower(F.coalesce("language", F.lit("")))})
     base = base.withColumn("_done", F.col("_text").rlike(r"[.?!。？！]$"))
@@ -211,15 +192,19 @@ def merged_lines(rows: DataFrame, key: str, order: str, *, max_gap: float = 2.2,
         gap = F.col("start") - p["end"]
         return (p["_lang"] != F.col("_lang")) | p["_lang"].isin("uncertain", "mixed", "") | (gap < -0.05) | (gap > max_gap) | (p["_done"] & (gap > 0.55))
 
-    base = with_island(base, [key], ["start", order], ["end", "_lang", "_done"], apart)
-    ot = rows.schema[order].dataType.simpleString()
-    init = F.struct(F.lit(None).cast("double").alias("from"), F.lit(0).alias("chars"), F.lit(0).alias("n"), F.lit(None).cast(ot).alias("line"), F.array().cast(f"array<struct<id:{ot},line:{ot}>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        new = acc["from"].isNull() | (x["end"] - acc["from"] > max_duration) | (acc["chars"] + F.length(x["_text"]) + acc["n"] > max_chars)
-        line = F.when(new, x[order]).otherwise(acc["line"])
-        return F.struct(F.when(new, x["start"]).otherwise(acc["from"]).alias("from"), (F.when(new, 0).otherwise(acc["chars"]) + F.length(x["_text"])).alias("chars"), (F.when(new, 0).otherwise(acc["n"]) + 1).alias("n"), line.alias("line"), F.array_append(acc["out"], F.struct(x[order].alias("id"), line.alias("line"))).alias("out"))
-
-    lines = ordered_fold(base, [key, "_island"], [F.col("start"), F.col(order)], ["start", "end", "_text", order], init, step, "_acc")
-    lines = lines.select(key, F.explode("_acc.out").alias("_x")).select(key, F.col("_x.id").alias(order), F.col("_x.line").alias("line"))
-    return rows.join(lines, [key, order])
+    base = with_previous(base, [key], "_b", ["start", order], ["end", "_lang", "_done"], "_prev")
+    base = base.select(key, order, "start", "end", F.length("_text").alias("_len"), (F.col("_prev").isNull() | F.coalesce(apart(F.col("_prev")), F.lit(False))).cast("int").alias("_apart"))
+
+    def following(t: np.ndarray, end: np.ndarray, size: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        out = np.empty(len(t), dtype=np.int64)
+        for i in range(len(t)):
+            j, chars = i + 1, size[i]
+            while j < len(t) and not cut[j] and not end[j] - t[i] > max_duration and not chars + size[j] + (j - i) > max_chars:
+                chars += size[j]
+                j += 1
+            out[i] = j
+        return out
+
+    lines = cut_lineage(chained(base, [key], "start", order, ["end", "_len", "_apart"], max(max_duration, max_gap), following).select(key, order, "segment", "starts"))
+    first = lines.filter("starts").select(key, "segment", F.col(order).alias("line"))
+    return rows.join(lines.select(key, order, "segment").join(first, [key, "segment"]).drop("segment"), [key, order])

@@ -95,18 +95,29 @@ def persistent_words(df: DataFrame, key: str, time: str, words: str, *, below: f
 
 
 def percentile_rank(df: DataFrame, key: str, value: str, name: str = "rank") -> DataFrame:
-    """Add ``name``: the share of a key's values at most this one; 0.5 if they are all the same, null for null.
+    """Add ``name``: the share of a key's values at most this one; 0.5 if they are all the same, null for null."""
+    return df.join(percentile_ranks(df, key, value, name), [key, value], "left")
 
-    Counted on distinct values per key, so that a hot key's rows never meet in one window.
+
+def representatives(spans: DataFrame, samples: DataFrame, key: str, span_id: str, span: tuple[str, str], time: str, id_col: str, quality: str) -> DataFrame:
+    """key, span id, time, id, ``inside``: the sample that shows each span best.
+
+    Of the samples from its start up to before its end the one of greatest quality (null is 0) less 0.12 times its distance
+    from the middle in span lengths; where there is none, the nearest to the middle. Ties go to the earlier
+    sample, then the smaller id. Keys without samples have none.
     """
-    v = F.when(~F.isnan(F.col(value).cast("double")), F.col(value))
-    counts = df.withColumn("_v", v).filter("_v IS NOT NULL").groupBy(key, "_v").agg(F.count("*").alias("_n"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(key)
-    upto = F.sum("_n").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("_n").over(w)
-    ranks = counts.select(key, F.col("_v").alias(value), F.when(F.max("_v").over(w) - F.min("_v").over(w) <= 0.001, 0.5).otherwise(upto).alias(name))
-    return df.join(ranks, [key, value], "left")
+    from .intervals import nearest, points_in
+
+    a, b = map(F.col, span)
+    some = spans.select(key, span_id, *span)
+    points = samples.select(key, F.col(time).alias("_pt"), F.col(id_col).alias("_pi"), F.col(quality).alias("_pq"))
+    p = points_in(points, some, key, "_pt", span).filter(F.col("_pt") < b)
+    score = round_dec(F.coalesce("_pq", F.lit(0.0)) - 0.12 * F.abs(F.col("_pt") - (a + b) / 2) / F.greatest(F.lit(1.0), b - a), 9)
+    best = p.groupBy(key, span_id).agg(F.min_by(F.struct("_pt", "_pi"), F.struct((-score).alias("n"), "_pt", "_pi")).alias("_x"))
+    inside = best.select(key, span_id, F.col("_x._pt").alias(time), F.col("_x._pi").alias(id_col), F.lit(True).alias("inside"))
+    rest = some.join(best, [key, span_id], "left_anti").withColumn("_mid", (a + b) / 2)
+    out = nearest(rest, points, key, "_mid", "_pt", ["_pi"]).filter("_pt IS NOT NULL")
+    return inside.unionByName(out.select(key, span_id, F.col("_pt").alias(time), F.col("_pi").alias(id_col), F.lit(False).alias("inside")))
 
 
 def event(kind: str, time: Column, confidence: Column, source: Column) -> list[Column]:

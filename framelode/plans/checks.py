@@ -9,8 +9,10 @@ from ..functions import scalar as S
 from ..operators import constraints as C
 from ..operators import selection as L
 from .common import OCR, PEOPLE, SCENES, SPANS, SPEECH, VISION, ocr, people, rd, scenes, spans, speech, vision
-from .joins import _evidence, activity
+from ..session import cut_lineage
+from .joins import _EV, ACTIVITY, _evidence, activity
 from .registry import Registry
+from .windows import ADAPTIVE, w_adaptive_segments
 
 reg = Registry()
 
@@ -36,11 +38,11 @@ def v_partition_cover(t):
     return C.tiling(x, t.assets.select("asset_id", "duration").distinct(), "asset_id", "scene_id", "s", "e", "duration", "partition_cover")
 
 
-@reg.add("v_storyboard", f"""{_v("storyboard", "scene_id", "more than three notable moments")} FROM {SCENES} WHERE notable_count > 2 UNION ALL {_v("storyboard", "scene_id", "no tag")} FROM {SCENES} WHERE len(tags) = 0""")
+@reg.add("v_storyboard", f"""{_v("storyboard", "scene_id", "more than three notable moments")} FROM {SCENES} WHERE notable_count > 3 UNION ALL {_v("storyboard", "scene_id", "no tag")} FROM {SCENES} WHERE len(tags) = 0""")
 def v_storyboard(t):
     """At most three notable moments and at least one tag (parts of V3, V17)."""
     x = scenes(t)
-    return C.all_of(C.violations(x, "storyboard", "asset_id", "scene_id", F.col("notable_count") > 2, "more than three notable moments"), C.violations(x, "storyboard", "asset_id", "scene_id", F.size("tags") == 0, "no tag"))
+    return C.all_of(C.violations(x, "storyboard", "asset_id", "scene_id", F.col("notable_count") > 3, "more than three notable moments"), C.violations(x, "storyboard", "asset_id", "scene_id", F.size("tags") == 0, "no tag"))
 
 
 @reg.add("v_source_identity", f"""{_v("source_identity", "proxy_path", "one proxy of several fingerprints", "proxy_path")} FROM (SELECT proxy_path FROM assets WHERE proxy_path IS NOT NULL GROUP BY 1 HAVING count(DISTINCT quick_fingerprint) > 1)""")
@@ -207,20 +209,27 @@ def w_language_route(t):
     return x.select("asset_id", F.col("lang").alias("selected_language"), S.round_dec("p", 6).alias("top_probability"), "margin", (F.size("why") > 0).alias("uncertain"), F.array_join("why", ",").alias("reasons"), F.array_join(tries, ",").alias("candidates"))
 
 
+_BITS = "(bit_count(xor(CAST('0x' || substr({a}, 1, 8) AS BIGINT), CAST('0x' || substr({b}, 1, 8) AS BIGINT))) + bit_count(xor(CAST('0x' || substr({a}, 9, 8) AS BIGINT), CAST('0x' || substr({b}, 9, 8) AS BIGINT)))) / 64.0"
+
+
 @reg.add(
     "w_hash_groups",
-    f"""WITH RECURSIVE x AS MATERIALIZED (SELECT asset_id, scene_id, s, e, coalesce(lag(label) OVER (PARTITION BY asset_id ORDER BY s, scene_id) <> label AND confidence > 0.7, FALSE) AS hard, row_number() OVER (PARTITION BY asset_id ORDER BY s, scene_id) AS rn FROM {SCENES}),
-    r AS (SELECT asset_id, rn, scene_id, scene_id AS grp, s AS first FROM x WHERE rn = 1 UNION ALL SELECT x.asset_id, x.rn, x.scene_id, CASE WHEN x.hard OR x.e - r.first > 20 THEN x.scene_id ELSE r.grp END, CASE WHEN x.hard OR x.e - r.first > 20 THEN x.s ELSE r.first END FROM r JOIN x ON x.asset_id = r.asset_id AND x.rn = r.rn + 1)
-    SELECT scene_id, grp AS "group" FROM r""",
+    f"""WITH RECURSIVE g AS (SELECT asset_id, segment_id, "start" AS s, "end" AS e, boundary_reason AS why FROM {ADAPTIVE}),
+    h AS (SELECT asset_id, segment_id, substr(md5(CAST(CAST(floor(arg_min(ts, (-{rd("coalesce(ae, 0.0) - 0.12 * abs(ts - (s + e) / 2) / greatest(1.0, e - s)", 9)}, ts, sample_id)) / 60) AS BIGINT) AS VARCHAR)), 1, 16) AS h FROM g JOIN {VISION} USING (asset_id) WHERE ts >= s AND ts < e GROUP BY ALL),
+    n AS (SELECT g.*, h, row_number() OVER w AS rn, lag(h) OVER w AS ph FROM g LEFT JOIN h USING (asset_id, segment_id) WINDOW w AS (PARTITION BY asset_id ORDER BY s, segment_id)),
+    x AS MATERIALIZED (SELECT *, coalesce(why = 'visual_change' AND {_BITS.format(a="h", b="ph")} > 0.24, FALSE) AS hard FROM n),
+    r AS (SELECT asset_id, rn, segment_id, segment_id AS grp, s AS first FROM x WHERE rn = 1 UNION ALL SELECT x.asset_id, x.rn, x.segment_id, CASE WHEN x.hard OR x.e - r.first > 90 THEN x.segment_id ELSE r.grp END, CASE WHEN x.hard OR x.e - r.first > 90 THEN x.s ELSE r.first END FROM r JOIN x ON x.asset_id = r.asset_id AND x.rn = r.rn + 1)
+    SELECT asset_id, segment_id, grp AS "group" FROM r""",
 )
 def w_hash_groups(t):
-    """Neighbouring scenes grouped until a hard change or 20 seconds."""
-    from ..operators.ordered import with_bucket
-    from ..operators.sequence import with_previous
+    """Neighbouring segments grouped by the hashes of their representatives, at most 90 seconds (W16, W17, W18). As no table has frames, the minute of a sample stands for its picture."""
+    from ..operators.signals import representatives
 
-    x = with_previous(with_bucket(scenes(t), "s"), ["asset_id"], "_b", ["s", "scene_id"], ["label"], "p")
-    x = x.select("asset_id", "scene_id", "s", "e", F.coalesce((F.col("p.label") != F.col("label")) & (F.col("confidence") > 0.7), F.lit(False)).alias("hard"))
-    return L.adjacent_groups(x, "asset_id", "scene_id", "s", "e", "hard", longest=20.0).select("scene_id", "group")
+    g = cut_lineage(w_adaptive_segments(t))
+    rep = representatives(g, vision(t).select("asset_id", "ts", "sample_id", "ae"), "asset_id", "segment_id", ("start", "end"), "ts", "sample_id", "ae").select("asset_id", "segment_id", "ts")
+    h = F.substring(F.md5(F.floor(F.col("ts") / 60).cast("long").cast("string")), 1, 16)
+    x = g.join(rep, ["asset_id", "segment_id"], "left").select("asset_id", "segment_id", "start", "end", h.alias("h"), (F.col("boundary_reason") == "visual_change").alias("hard"))
+    return L.adjacent_groups(x, "asset_id", "segment_id", "start", "end", "h", "hard")
 
 
 @reg.add("w_caption_split")
@@ -230,7 +239,23 @@ def w_caption_split(t):
     return x.select("utterance_id", "piece", S.srt_time("piece_start").alias("starts"), S.srt_time("piece_end").alias("ends"), "text")
 
 
-@reg.add("w_speech_windows")
+_BEST_CUT = """coalesce(list_sort(list_transform(list_filter(free, lambda m: m >= cur + 4 AND m <= cur + 12 AND e - m >= 1), lambda m: {'d': abs(m - (cur + 8)), 'm': m}))[1].m,
+  list_max(list_transform(list_filter(solid, lambda p: p.a < cur + 8 AND cur + 8 < p.b), lambda p: p.b)), cur + 8.0)"""
+
+
+@reg.add(
+    "w_speech_windows",
+    f"""WITH RECURSIVE p AS MATERIALIZED (SELECT DISTINCT asset_id, s, e, xs, xe FROM {ACTIVITY} st JOIN {_EV} USING (asset_id) WHERE s < xe AND e > xs),
+    q AS (SELECT *, max(xe) OVER (PARTITION BY asset_id, s ORDER BY xs, xe ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM p WHERE xe > xs),
+    i AS (SELECT *, sum(CASE WHEN m IS NULL OR xs >= m - 0.001 THEN 1 ELSE 0 END) OVER (PARTITION BY asset_id, s ORDER BY xs, xe ROWS UNBOUNDED PRECEDING) AS n FROM q),
+    so AS MATERIALIZED (SELECT asset_id, s, min(xs) AS a, max(xe) AS b FROM i GROUP BY asset_id, s, n),
+    fr AS (SELECT DISTINCT asset_id, s, xe AS m FROM p WHERE NOT EXISTS (SELECT 1 FROM so WHERE so.asset_id = p.asset_id AND so.s = p.s AND so.a + 0.001 < p.xe AND p.xe < so.b - 0.001)),
+    l AS MATERIALIZED (SELECT asset_id, s, max(e) AS e, any_value(coalesce(free, [])) AS free, any_value(solid) AS solid FROM p LEFT JOIN (SELECT asset_id, s, list(m) AS free FROM fr GROUP BY ALL) USING (asset_id, s)
+     LEFT JOIN (SELECT asset_id, s, list({{'a': a, 'b': b}}) AS solid FROM so GROUP BY ALL) USING (asset_id, s) GROUP BY asset_id, s),
+    r AS (SELECT asset_id, s, e, free, solid, s AS cur, 1 AS k FROM l UNION ALL SELECT asset_id, s, e, free, solid, cut, k + 1 FROM (SELECT *, {_BEST_CUT} AS cut FROM r) WHERE e - cur > 8 AND cut < e AND e - cut >= 1),
+    w AS (SELECT asset_id, s, k, e, cur, lead(cur) OVER (PARTITION BY asset_id, s ORDER BY k) AS nxt FROM r)
+    SELECT asset_id, s, k AS "window", round(cur, 3) AS "start", round(coalesce(nxt, e), 3) AS "end" FROM w WHERE nxt IS NOT NULL OR e - cur >= 0.05""",
+)
 def w_speech_windows(t):
     """Windows of speech that cut no span."""
     return L.speech_windows(activity(t), _evidence(t).select("asset_id", "xs", "xe"), "asset_id")

@@ -150,7 +150,7 @@ def m_rationals(t):
     SELECT p_partkey, list_concat(list_transform(generate_series(1, k), lambda i: CAST(b AS DOUBLE)), [CAST(v / pow(b, k) AS DOUBLE)]) AS steps FROM n""",
 )
 def m_tempo_steps(t):
-    return t.part.select("p_partkey", S.tempo_steps_of(F.col("p_size") / 4.0).alias("steps"))
+    return t.part.select("p_partkey", S.tempo_steps(F.col("p_size") / 4.0).alias("steps"))
 
 
 @reg.add(

@@ -255,7 +255,8 @@ def w_anchored_clusters(t):
     "flagship_boundary_fusion",
     f"""WITH c AS (SELECT *, {_weights()} AS w FROM {_CLUSTERS}),
     f AS (SELECT asset_id, cluster, arg_max("timestamp", (confidence * w, -"timestamp")) AS "timestamp", arg_max(kind, (confidence * w, -"timestamp")) AS primary_kind, {rd("least(0.99, 1 - exp(sum(ln(1 - least(0.95, confidence * least(1.0, w))))))", 4)} AS confidence, count(*) AS evidence FROM c GROUP BY asset_id, cluster),
-    d AS (SELECT *, row_number() OVER (PARTITION BY asset_id, "timestamp" ORDER BY cluster) - 1 AS taken FROM f), g AS (SELECT asset_id, {rd('"timestamp" + taken * 0.001', 6)} AS "timestamp", confidence, primary_kind, evidence FROM d WHERE confidence >= 0.60)
+    d AS (SELECT *, CAST(round(CAST("timestamp" AS DECIMAL(24,12)) * 1000000) AS BIGINT) AS us FROM f), j AS (SELECT *, us % 1000 AS res, us // 1000 - row_number() OVER (PARTITION BY asset_id, us % 1000 ORDER BY cluster) AS lead, row_number() OVER (PARTITION BY asset_id, us % 1000 ORDER BY cluster) AS j FROM d),
+    g AS (SELECT asset_id, {rd("((max(lead) OVER (PARTITION BY asset_id, res ORDER BY cluster ROWS UNBOUNDED PRECEDING) + j) * 1000 + res) / 1000000.0", 6)} AS "timestamp", confidence, primary_kind, evidence FROM j QUALIFY confidence >= 0.60)
     SELECT asset_id, 'BP' || lpad(CAST(row_number() OVER (PARTITION BY asset_id ORDER BY "timestamp") AS VARCHAR), 4, '0') AS proposal_id, "timestamp", confidence, primary_kind, evidence FROM g""",
 )
 def flagship_boundary_fusion(t):
@@ -266,16 +267,16 @@ def flagship_boundary_fusion(t):
 _CUT = f"(SELECT asset_id, ts AS t, max(coalesce(fd, 0.0)) AS c, max(d) AS d FROM {VISION} JOIN (SELECT DISTINCT asset_id, duration AS d FROM assets WHERE duration IS NOT NULL) USING (asset_id) GROUP BY ALL)"
 
 
-@reg.add(
-    "w_adaptive_segments",
-    f"""WITH RECURSIVE s AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY t) AS rn FROM {_CUT}),
+ADAPTIVE = f"""(WITH RECURSIVE s AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY t) AS rn FROM {_CUT}),
     r AS (SELECT asset_id, rn, t, d, CAST(0.0 AS DOUBLE) AS last, CAST(NULL AS VARCHAR) AS reason FROM s WHERE rn = 1
      UNION ALL SELECT n.asset_id, n.rn, n.t, n.d, CASE WHEN n.t < n.d AND ((n.t - r.last >= 5 AND n.c >= 0.6) OR n.t - r.last >= 15) THEN n.t ELSE r.last END,
       CASE WHEN n.t < n.d THEN CASE WHEN n.t - r.last >= 5 AND n.c >= 0.6 THEN 'visual_change' WHEN n.t - r.last >= 15 THEN 'max_duration' END END FROM r JOIN s n ON n.asset_id = r.asset_id AND n.rn = r.rn + 1),
     b AS (SELECT DISTINCT asset_id, CAST(0.0 AS DOUBLE) AS t, 'asset_start' AS reason, d FROM s UNION ALL SELECT asset_id, t, reason, d FROM r WHERE reason IS NOT NULL),
     k AS (SELECT *, lead(t) OVER (PARTITION BY asset_id ORDER BY t) IS NULL AS final FROM b), f AS (SELECT * FROM k WHERE NOT (final AND t > 0 AND d - t < 5))
-    SELECT asset_id, 'S' || lpad(CAST(row_number() OVER (PARTITION BY asset_id ORDER BY t) AS VARCHAR), 3, '0') AS segment_id, {rd("t", 3)} AS "start", {rd("coalesce(lead(t) OVER (PARTITION BY asset_id ORDER BY t), d)", 3)} AS "end", reason AS boundary_reason FROM f""",
-)
+    SELECT asset_id, 'S' || lpad(CAST(row_number() OVER (PARTITION BY asset_id ORDER BY t) AS VARCHAR), 3, '0') AS segment_id, {rd("t", 3)} AS "start", {rd("coalesce(lead(t) OVER (PARTITION BY asset_id ORDER BY t), d)", 3)} AS "end", reason AS boundary_reason FROM f)"""
+
+
+@reg.add("w_adaptive_segments", f"SELECT * FROM {ADAPTIVE}")
 def w_adaptive_segments(t):
     """Segments cut at strong changes, at least 5 and at most about 15 seconds long."""
     d = t.assets.select("asset_id", "duration").filter("duration IS NOT NULL").distinct()
@@ -284,17 +285,14 @@ def w_adaptive_segments(t):
 
 @reg.add(
     "w_representatives",
-    f"""WITH p AS (SELECT scene_id, sample_id, ts, {rd("coalesce(ae, 0.0) - 0.12 * abs(ts - (s + e) / 2) / greatest(1.0, e - s)", 9)} AS score FROM {VISION} JOIN {SCENES} USING (asset_id) WHERE ts >= s AND ts < e)
-    SELECT scene_id, arg_min(sample_id, (-score, ts, sample_id)) AS sample_id FROM p GROUP BY scene_id""",
+    f"""WITH c AS (SELECT scene_id, asset_id, s, e FROM {SCENES}), p AS (SELECT scene_id, sample_id, ts, {rd("coalesce(ae, 0.0) - 0.12 * abs(ts - (s + e) / 2) / greatest(1.0, e - s)", 9)} AS score FROM {VISION} JOIN c USING (asset_id) WHERE ts >= s AND ts < e),
+    i AS (SELECT scene_id, arg_min(sample_id, (-score, ts, sample_id)) AS sample_id FROM p GROUP BY 1), o AS (SELECT scene_id, arg_min(sample_id, (abs(ts - (s + e) / 2), ts, sample_id)) AS sample_id FROM c JOIN {VISION} USING (asset_id) WHERE scene_id NOT IN (SELECT scene_id FROM i) GROUP BY 1)
+    SELECT scene_id, sample_id, TRUE AS inside FROM i UNION ALL SELECT scene_id, sample_id, FALSE FROM o""",
 )
 def w_representatives(t):
-    """The sample that shows a scene best: score less its distance from the middle."""
-    from ..operators.intervals import points_in
-
+    """The sample that shows a scene best: score less its distance from the middle, or the nearest to the middle where none is inside."""
     sc = scenes(t).select("asset_id", "scene_id", F.col("s").alias("cs"), F.col("e").alias("ce"))
-    p = points_in(vision(t), sc, "asset_id", "ts", ("cs", "ce")).filter("ts < ce")
-    score = S.round_dec(F.coalesce("ae", F.lit(0.0)) - 0.12 * F.abs(F.col("ts") - (F.col("cs") + F.col("ce")) / 2) / F.greatest(F.lit(1.0), F.col("ce") - F.col("cs")), 9)
-    return p.groupBy("scene_id").agg(F.min_by("sample_id", F.struct((-score).alias("n"), "ts", "sample_id")).alias("sample_id"))
+    return G.representatives(sc, vision(t).select("asset_id", "ts", "sample_id", "ae"), "asset_id", "scene_id", ("cs", "ce"), "ts", "sample_id", "ae").select("scene_id", "sample_id", "inside")
 
 
 @reg.add(

@@ -27,10 +27,9 @@ def test_timecodes(spark):
     assert values(spark, S.timecode(F.lit(None).cast("double"))) == [None]
 
 
-def test_tempo():
-    assert S.tempo_steps(0.25) == [0.5, 0.5] and S.tempo_steps(8) == [2.0, 2.0, 2.0]
-    with pytest.raises(ValueError):
-        S.tempo_steps(0)
+def test_tempo(spark):
+    got = values(spark, *(S.tempo_steps(F.lit(x)) for x in (0.25, 8.0, 3.0, 1.0, 0.0)))
+    assert got == [[0.5, 0.5], [2.0, 2.0, 2.0], [2.0, 1.5], [1.0], None]
 
 
 def test_rationals_and_hashes(spark):
@@ -77,6 +76,69 @@ def test_clusters_keep_opposed_speech_apart(spark):
     assert [(r["timestamp"], r["primary_kind"]) for r in got] == [(4.25, "hard_cut"), (7.0, "speech_start"), (7.25, "speech_end")]
 
 
+def test_times_taken_move_to_the_next_free_one(spark):
+    rnd = random.Random(3)
+    rows = [("a", 1, 5.0), ("a", 2, 5.0), ("a", 3, 5.001), ("a", 4, 5.0015), ("a", 5, 5.0015), ("a", 6, 5.004)]
+    for k in "bc":
+        times = sorted(round(rnd.randrange(60) / 1000 + rnd.choice([0, 0.0005]), 4) for _ in range(80))
+        rows += [(k, i, t) for i, t in enumerate(times)]
+    got = {(r["k"], r["n"]): r["t"] for r in O.moved_apart(spark.createDataFrame(rows, "k string, n long, t double"), ["k"], "t", "n").collect()}
+    used = set()
+    for k, n, t in rows:
+        while (k, t) in used:
+            t = round(t + 0.001, 6)
+        used.add((k, t))
+        assert got[k, n] == t, (k, n)
+
+
+def _greedy(rows, tol, inclusive=True):
+    want, kept = set(), {}
+    for k, t, c, i in sorted(rows, key=lambda r: (-(r[2] if r[2] is not None else float("-inf")), r[1], r[3])):
+        if all(abs(t - x) > tol if inclusive else abs(t - x) >= tol for x in kept.setdefault(k, [])):
+            kept[k].append(t)
+            want.add((k, i))
+    return want
+
+
+def test_suppression_across_buckets(spark):
+    """Chains of equal and of falling scores that reach over many buckets, and noise."""
+    rnd = random.Random(6)
+    rows = [("equal", i * 0.5, 0.5, i) for i in range(600)] + [("falling", i * 0.5, 1 - i / 1000, i) for i in range(600)] + [("rising", i * 0.5, i / 1000, i) for i in range(600)]
+    rows += [("noise", round(rnd.random() * 300, 2), round(rnd.random(), 2), i) for i in range(600)] + [("null", i * 1.0, None, i) for i in range(9)]
+    df = spark.createDataFrame(rows, "k string, t double, c double, id long")
+    for inclusive in (True, False):
+        got = {(r["k"], r["id"]) for r in O.suppress(df, ["k"], "t", "c", "id", 1.0, inclusive=inclusive).collect()}
+        assert got == _greedy(rows, 1.0, inclusive)
+
+
+def test_chains_across_buckets(spark):
+    from framelode.operators.chains import chained, first_beyond
+
+    rnd = random.Random(8)
+    rows = [(k, round(t, 2), i) for k, step in (("dense", 0.3), ("sparse", 9.0), ("gaps", 40.0)) for i, t in enumerate(sorted(rnd.random() * step * 300 for _ in range(300)))]
+    got = {}
+    for r in chained(spark.createDataFrame(rows, "k string, t double, id int"), ["k"], "t", "id", [], 2.0, lambda t: first_beyond(t, 2.0), width=10.0).collect():
+        got.setdefault(r["k"], []).append((r["t"], r["id"], tuple(r["segment"]), r["starts"]))
+    for k in ("dense", "sparse", "gaps"):
+        anchor, segment, seen = None, None, set()
+        assert len(got[k]) == 300
+        for t, _, seg, starts in sorted(got[k]):
+            new = anchor is None or t - anchor > 2.0
+            assert starts == new
+            if new:
+                anchor, segment = t, seg
+                assert seg not in seen
+                seen.add(seg)
+            assert seg == segment
+
+
+def test_groups_end_at_hard_changes_and_spans(spark):
+    rows = [("a", f"S{i}", 5.0 * i, 5.0 * i + 5, h, r) for i, (h, r) in enumerate([("0" * 16, False), ("0" * 16, True), ("f" * 16, False), ("f" * 16, True), ("0" * 16, True), (None, True)])]
+    df = spark.createDataFrame(rows, "k string, id string, s double, e double, h string, hard boolean")
+    assert [r["group"] for r in L.adjacent_groups(df, "k", "id", "s", "e", "h", "hard").orderBy("id").collect()] == ["S0"] * 4 + ["S4"] * 2
+    assert [r["group"] for r in L.adjacent_groups(df, "k", "id", "s", "e", "h", "hard", longest=12.0).orderBy("id").collect()] == ["S0", "S0", "S2", "S2", "S4", "S4"]
+
+
 def test_adaptive_segments_drop_the_short_tail(spark):
     rows = [("a", float(5 * i), c, 27.0) for i, c in enumerate([0.0, 0.05, 0.30, 0.05, 0.05, 0.05])]
     got = O.adaptive_segments(spark.createDataFrame(rows, "k string, t double, c double, d double"), "k", "t", "c", "d", shortest=5.0, longest=15.0, threshold=0.2).orderBy("start").collect()
@@ -104,16 +166,28 @@ def test_duplicates_look_at_the_last_accepted(spark):
     assert got == {1: [], 2: ["duplicate_phrase"], 3: ["empty"], 4: ["duplicate_phrase"], 5: []}
 
 
-def test_windows_never_cut_evidence():
+def test_windows_never_cut_evidence(spark):
     rnd = random.Random(4)
-    for _ in range(200):
+    cases = {}
+    for k in range(60):
         ev = sorted((a := rnd.random() * 40, a + rnd.random() * 6) for _ in range(rnd.randrange(1, 15)))
-        end = max(b for _, b in ev)
-        start = min(a for a, _ in ev)
-        out = L.cut_windows(start, end, 8.0, sorted(b for _, b in ev), ev)
-        assert out[0][0] == start and out[-1][1] == end and all(x[1] == y[0] for x, y in zip(out, out[1:]))
-        cuts = [b for _, b in out[:-1]]
-        assert not any(a + 0.001 < c < b - 0.001 for c in cuts for a, b in ev if b - a <= 8)
+        cases[k] = (min(a for a, _ in ev), max(b for _, b in ev), ev)
+    st = spark.createDataFrame([(k, s, e) for k, (s, e, _) in cases.items()], "k int, s double, e double")
+    pc = spark.createDataFrame([(k, *x) for k, c in cases.items() for x in c[2]], "k int, xs double, xe double")
+    rows = L.speech_windows(st, pc, "k").orderBy("k", "window").collect()
+    for k, (start, end, ev) in cases.items():
+        out = [(r["start"], r["end"]) for r in rows if r["k"] == k]
+        assert out[0][0] == round(start, 3) and out[-1][1] == round(end, 3) and all(x[1] == y[0] for x, y in zip(out, out[1:]))
+        for a, cut in out[:-1]:
+            assert not any(x + 0.002 < cut < y - 0.002 for x, y in ev), (k, cut)
+            assert end - cut >= 0.998
+
+
+def test_windows_take_the_nearest_end_or_the_aim(spark):
+    st = spark.createDataFrame([("a", 0.0, 30.0), ("b", 0.0, 25.0), ("c", 0.0, 8.5)], "k string, s double, e double")
+    pc = spark.createDataFrame([("a", 0.0, 5.0), ("a", 6.0, 9.5), ("a", 9.0, 30.0), ("b", 0.0, 1.0), ("b", 24.0, 25.0), ("c", 0.0, 8.0), ("c", 8.0, 8.5)], "k string, xs double, xe double")
+    got = {(r["k"], r["start"], r["end"]) for r in L.speech_windows(st, pc, "k").collect()}
+    assert got == {("a", 0.0, 5.0), ("a", 5.0, 30.0), ("b", 0.0, 8.0), ("b", 8.0, 16.0), ("b", 16.0, 24.0), ("b", 24.0, 25.0), ("c", 0.0, 8.5)}
 
 
 def test_captions(spark):
