@@ -33,7 +33,7 @@ _TILES = f"(SELECT asset_id, scene_id, {rd('s', 3)} AS s, {rd('e', 3)} AS e FROM
     UNION ALL {_v("partition_cover", "scene_id", "no length")} FROM x WHERE e <= s UNION ALL {_v("partition_cover", "'end'", "doesn't reach the end", "m.asset_id")} FROM m JOIN a ON a.asset_id = m.asset_id WHERE abs(m - duration) > 0.002""",
 )
 def v_partition_cover(t):
-    """Scenes should tile their asset (V1, V2)."""
+    """Scenes should tile their asset (V1)."""
     x = scenes(t).select("asset_id", "scene_id", S.round_dec("s", 3).alias("s"), S.round_dec("e", 3).alias("e"))
     return C.tiling(x, t.assets.select("asset_id", "duration").distinct(), "asset_id", "scene_id", "s", "e", "duration", "partition_cover")
 
@@ -47,27 +47,14 @@ def v_storyboard(t):
 
 @reg.add("v_source_identity", f"""{_v("source_identity", "proxy_path", "one proxy of several fingerprints", "proxy_path")} FROM (SELECT proxy_path FROM assets WHERE proxy_path IS NOT NULL GROUP BY 1 HAVING count(DISTINCT quick_fingerprint) > 1)""")
 def v_source_identity(t):
-    """A path must stand for one content."""
+    """A path must stand for one content (V4)."""
     n = t.assets.filter("proxy_path IS NOT NULL").select("proxy_path", "quick_fingerprint").distinct().groupBy("proxy_path").agg(F.count("quick_fingerprint").alias("n"))
     return C.violations(n, "source_identity", "proxy_path", "proxy_path", F.col("n") > 1, "one proxy of several fingerprints")
 
 
-@reg.add(
-    "v_packet_evidence",
-    f"""WITH u AS (SELECT * FROM {SPEECH}) {_v("packet_evidence", "utterance_id", "record without spans")} FROM u WHERE NOT EXISTS (SELECT 1 FROM {SPANS} p WHERE p.asset_id = u.asset_id AND p.utterance_id = u.utterance_id)
-    UNION ALL {_v("packet_evidence", "u.utterance_id", "span outside its record", "u.asset_id")} FROM u JOIN {SPANS} p ON p.asset_id = u.asset_id AND p.utterance_id = u.utterance_id WHERE p.ss < u.s - 0.05 OR p.se > u.e + 0.05""",
-)
-def v_packet_evidence(t):
-    """Every record has spans, and they lie within it (V6, V8)."""
-    u = speech(t)
-    none = u.join(spans(t), ["asset_id", "utterance_id"], "left_anti")
-    j = u.join(spans(t), ["asset_id", "utterance_id"])
-    return C.all_of(C.violations(none, "packet_evidence", "asset_id", "utterance_id", F.lit(True), "record without spans"), C.violations(j, "packet_evidence", "asset_id", "utterance_id", (F.col("ss") < F.col("s") - 0.05) | (F.col("se") > F.col("e") + 0.05), "span outside its record"))
-
-
 @reg.add("v_orphans", f"""{_v("orphans", "utterance_id", "span of an unknown record")} FROM {SPANS} p WHERE NOT EXISTS (SELECT 1 FROM {SPEECH} u WHERE u.utterance_id = p.utterance_id)""")
 def v_orphans(t):
-    """Spans must refer to a known record (the reference rule of V7, V12, V15)."""
+    """Spans must refer to a known record."""
     return C.missing(spans(t), speech(t), "utterance_id", "orphans", "asset_id", "span of an unknown record")
 
 
@@ -158,16 +145,6 @@ def v_media_drift(t):
     return C.violations(a, "media_drift", "asset_id", "asset_id", F.col("last") - F.col("duration") > F.greatest(F.lit(0.5), F.col("duration") * 0.001), "samples after the end")
 
 
-@reg.add("v_edit_plan", f"""WITH x AS (SELECT *, lead(e - s) OVER (PARTITION BY asset_id ORDER BY s, scene_id) AS n FROM {SCENES}) {_v("edit_plan", "scene_id", "transition longer than a neighbour")} FROM x WHERE n IS NOT NULL AND least(e - s, n) < 1.0 UNION ALL {_v("edit_plan", "scene_id", "confidence outside 0 to 1")} FROM x WHERE confidence < 0 OR confidence > 1""")
-def v_edit_plan(t):
-    """Ranges of clips, and transitions of a second shorter than both neighbours."""
-    from ..operators.ordered import with_bucket
-    from ..operators.sequence import with_next
-
-    x = with_next(with_bucket(scenes(t).withColumn("len", F.col("e") - F.col("s")), "s"), ["asset_id"], "_b", ["s", "scene_id"], ["len"], "n")
-    return C.all_of(C.violations(x.filter("n IS NOT NULL"), "edit_plan", "asset_id", "scene_id", F.least(F.col("len"), F.col("n.len")) < 1.0, "transition longer than a neighbour"), C.violations(x, "edit_plan", "asset_id", "scene_id", (F.col("confidence") < 0) | (F.col("confidence") > 1), "confidence outside 0 to 1"))
-
-
 @reg.add("v_coarseness", f"""{_v("coarseness", "scene_id", "long scene with a short description")} FROM {SCENES} WHERE e - s >= 8 AND length(trim(coalesce(summary, ''))) < 60""")
 def v_coarseness(t):
     """Long scenes that little is said about."""
