@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,22 @@ from ..functions.scalar import srt_time
 
 
 def write_document(df: DataFrame, path: str) -> None:
-    """Replace a small result as one JSON file; Spark's commit makes it whole or absent (SNK1)."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """Replace a small result as one JSON file (SNK1).
+
+    It is written beside the old one, which makes way only when the new one is whole; a crash
+    between the two renames leaves the old one as ``path``.old.
+    """
+    new, old = (f"{path.rstrip('/')}.{x}" for x in (f"new-{uuid.uuid4().hex}", "old"))
+    df.coalesce(1).write.json(new)
+    jvm = df.sparkSession._jvm
+    at = lambda x: jvm.org.apache.hadoop.fs.Path(x)
+    fs = at(path).getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    if fs.exists(at(path)):
+        fs.delete(at(old), True)
+        fs.rename(at(path), at(old))
+    if not fs.rename(at(new), at(path)):
+        raise OSError(f"{new} can't become {path}")
+    fs.delete(at(old), True)
 
 
 def append_log(df: DataFrame, path: str) -> None:

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-
-from ..session import ensure_checkpoint_dir
+from pyspark.sql.streaming import StreamingQuery
 
 
 def event_stream(spark: SparkSession, folder: str, schema, time: str = "ts") -> DataFrame:
@@ -30,15 +26,32 @@ def latest_state(events: DataFrame, keys: list[str], order: list[str], cols: lis
 
 
 def run_available(df: DataFrame, out: str, *, mode: str = "append", checkpoint: str | None = None) -> None:
-    """Process what is there and stop (ST2): parquet at ``out``, each batch written once."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    state = checkpoint or os.path.join(spark.sparkContext.getCheckpointDir().replace("file:", ""), "stream-" + os.path.basename(tempfile.mktemp()))
+    """Process what is there and stop (ST2): parquet at ``out``, each batch written once; the state lies in ``out``_state unless ``checkpoint`` names a folder."""
+    start(df, out, mode=mode, checkpoint=checkpoint, once=True).awaitTermination()
+
+
+def start(df: DataFrame, out: str, *, mode: str = "append", checkpoint: str | None = None, every: str = "30 seconds", once: bool = False) -> StreamingQuery:
+    """A running query that looks for new input ``every`` so often (ST2), or once; see ``run_available``."""
+    w = df.writeStream.option("checkpointLocation", checkpoint or out.rstrip("/") + "_state").outputMode(mode)
+    w = w.trigger(availableNow=True) if once else w.trigger(processingTime=every)
     if mode == "append":
-        q = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
-    else:
-        q = df.writeStream.option("checkpointLocation", state).outputMode(mode).trigger(availableNow=True).foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}")).start()
-    q.awaitTermination()
+        return w.format("parquet").option("path", out).start()
+    return w.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}")).start()
+
+
+def due(jobs: DataFrame, events: DataFrame, key: str, time: str, event: str, now, *, seconds: int) -> DataFrame:
+    """Jobs to run (ST1, ST2, P16): those never completed since their last start, whose latest failure isn't within ``seconds`` before ``now``.
+
+    Of events of one time a completion counts before a start. Null keys are left out.
+    """
+    e = events.filter(F.col(key).isNotNull() & F.col(time).isNotNull())
+    per = e.groupBy(key).agg(
+        F.max_by(event, F.struct(F.col(time), F.col(event))).alias("_last"),
+        F.max(F.when(F.col(event) == "failed", F.col(time))).alias("_failed"),
+    )
+    x = jobs.filter(F.col(key).isNotNull()).join(per, key, "left")
+    rested = F.col("_failed").isNull() | (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("_failed").cast("timestamp")) >= seconds * 1_000_000)
+    return x.filter(~F.col("_last").eqNullSafe("completed") & rested).drop("_last", "_failed")
 
 
 def unchanged(inputs: DataFrame, signatures: DataFrame, key: str, cols: list[str]) -> DataFrame:
@@ -53,3 +66,15 @@ def stage_status(stages: DataFrame, asset: str, status: str) -> DataFrame:
     return stages.groupBy(asset).agg(
         F.when(F.count_if(s == "failed") > 0, "failed").when(F.count_if(s.startswith("awaiting")) > 0, F.min(F.when(s.startswith("awaiting"), s))).when(F.every(s == "reused"), "reused").otherwise("completed").alias("status")
     )
+
+
+def stage_chain(records: DataFrame, asset: str, place: str, status: str) -> DataFrame:
+    """Adds ``effective`` to stages of a fixed chain (ST5): what comes after the first stage that failed or waits is blocked, and after one that ran anew nothing is reused.
+
+    ``place`` counts the stages of an asset, which are few. Assets don't touch each other.
+    """
+    w = Window.partitionBy(asset).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    s = F.col(status)
+    stopped = F.coalesce(F.max((s == "failed") | s.startswith("awaiting")).over(w), F.lit(False))
+    anew = F.coalesce(F.max(s == "completed").over(w), F.lit(False))
+    return records.withColumn("effective", F.when(stopped, "blocked").when(anew & (s == "reused"), "completed").otherwise(s))

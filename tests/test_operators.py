@@ -217,6 +217,92 @@ def test_edits(spark, tmp_path):
     assert E.heads(spark.read.parquet(path)).first()["revision_id"] == "r2" and E.history(spark.read.parquet(path), "e").count() == 2
 
 
+def test_edit_operations(spark, tmp_path):
+    path = str(tmp_path / "edits")
+    scenes = spark.createDataFrame([("s1", "A", 0.0, 12.0, "one"), ("s2", "B", 3.0, 9.0, "two")], "scene_id string, asset_id string, source_in double, source_out double, title string")
+    with pytest.raises(KeyError):
+        E.get_edit(spark, path, "e")
+    first = E.create_edit(spark, path, "e", "Trip", brief="b", target_duration=30)
+    with pytest.raises(E.StaleHead):
+        E.create_edit(spark, path, "e", "Trip")
+    do = lambda head, *ops: E.apply_operations(spark, path, scenes, "e", head, "change", list(ops))
+    two = do(first["revision_id"], {"op": "add_scene", "scene_id": "s1", "source_in": 1}, {"op": "add_scene", "scene_id": "s2"}, {"op": "set_title", "title": " Day "}, {"op": "set_target_duration", "target_duration": 60})
+    assert (two["sequence"], two["title"], two["target_duration"], two["clip_count"], two["timeline_duration"]) == (2, "Day", 60.0, 2, 17.0)
+    ids = [c["id"] for c in two["clips"]]
+    three = do(two["revision_id"], {"op": "move_clip", "clip_id": ids[0], "to_index": 1}, {"op": "trim_clip", "clip_id": ids[1], "source_out": 5.0})
+    assert [c["id"] for c in three["clips"]] == ids[::-1] and three["clips"][0]["source_out"] == 5.0
+    head = three["revision_id"]
+    with pytest.raises(E.StaleHead):
+        do(two["revision_id"], {"op": "remove_clip", "clip_id": ids[0]})
+    bad = [{"op": "trim_clip", "clip_id": ids[1], "source_in": 1.0}, {"op": "set_title", "title": " "}, {"op": "set_target_duration", "target_duration": 4}, {"op": "move_clip", "clip_id": ids[0], "to_index": 2}, {"op": "fly"}]
+    for op in bad:
+        with pytest.raises(ValueError):
+            do(head, {"op": "set_title", "title": "never kept"}, op)
+    for op in ({"op": "remove_clip", "clip_id": "x"}, {"op": "add_scene", "scene_id": "s9"}):
+        with pytest.raises(KeyError):
+            do(head, op)
+    with pytest.raises(ValueError):
+        do(head, *[{"op": "set_title", "title": "x"}] * 101)
+    assert E.get_edit(spark, path, "e")["title"] == "Day"
+    four = do(head, {"op": "remove_clip", "clip_id": ids[0]})
+    assert four["clip_count"] == 1 and E.history(spark.read.parquet(path), "e").count() == 4
+
+
+def test_two_writers_one_wins(spark, tmp_path):
+    path = str(tmp_path / "rev")
+    df = spark.sql("SELECT 'e' AS edit_id, 1 AS sequence, 'r1' AS revision_id")
+    from pathlib import Path as P
+
+    mark = P(path) / "_claims" / f"{E.slug_of('e')}-1"
+    mark.parent.mkdir(parents=True)
+    mark.write_text("")
+    with pytest.raises(E.StaleHead):
+        E.commit(spark, path, "e", None, df)
+    mark.unlink()
+    E.commit(spark, path, "e", None, df)
+    assert mark.exists()
+
+
+def test_documents_are_replaced_whole(spark, tmp_path):
+    path = str(tmp_path / "doc")
+    for n in (3, 5):
+        K.write_document(spark.range(n), path)
+        assert spark.read.json(path).count() == n
+    broken = spark.range(2).select(F.raise_error(F.lit("no")).alias("x"))
+    with pytest.raises(Exception):
+        K.write_document(broken, path)
+    assert spark.read.json(path).count() == 5 and not (tmp_path / "doc.old").exists()
+
+
+def test_due_jobs_and_stage_chains(spark):
+    at = lambda s: dt.datetime(2025, 1, 1, 0, 0, s)
+    ev = spark.createDataFrame([("CLIP", at(1), "started"), ("CLIP", at(2), "completed"), ("WAIT", at(1), "completed"), ("WAIT", at(2), "started"), ("OLD", at(1), "failed"), ("NEW", at(50), "failed")], "k string, t timestamp, e string")
+    jobs = spark.createDataFrame([(x,) for x in ("CLIP", "WAIT", "OLD", "NEW", "FRESH", None)], "k string")
+    assert {r["k"] for r in J.due(jobs, ev, "k", "t", "e", at(59), seconds=30).collect()} == {"WAIT", "OLD", "FRESH"}
+    st = spark.createDataFrame([("a", 1, "reused"), ("a", 2, "completed"), ("a", 3, "reused"), ("b", 1, "failed"), ("b", 2, "completed"), ("c", 1, "reused"), ("c", 2, "reused"), ("d", 1, "completed"), ("d", 2, "awaiting_review"), ("d", 3, "completed")], "a string, n int, s string")
+    x = J.stage_chain(st, "a", "n", "s")
+    assert {(r["a"], r["n"]): r["effective"] for r in x.collect() if r["effective"] != r["s"]} == {("a", 3): "completed", ("b", 2): "blocked", ("d", 3): "blocked"}
+    assert {r["a"]: r["status"] for r in J.stage_status(x, "a", "effective").collect()} == {"a": "completed", "b": "failed", "c": "reused", "d": "awaiting_review"}
+
+
+def test_a_cluster_names_its_checkpoint_folder():
+    from types import SimpleNamespace
+
+    from framelode.session import ensure_checkpoint_dir
+
+    none = SimpleNamespace(get=lambda *a: None)
+    fake = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://m:7077", getCheckpointDir=lambda: None, getConf=lambda: none), conf=none)
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(fake)
+
+
+def test_functions_in_sql(spark):
+    from framelode.functions.similarity import register
+
+    register(spark)
+    assert list(spark.sql("SELECT path_key('/A/./b\\\\C'), sequence_ratio('abcd', 'bcde'), sequence_ratio(NULL, 'x')").first()) == ["/a/b/c", 0.75, None]
+
+
 def test_sources_and_sinks(spark, tmp_path):
     from pyspark.sql import types as T
 
