@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -183,3 +183,69 @@ def valid_day(text) -> Column:
 def sequential_id(prefix: str, digits: int, number) -> Column:
     """Ids such as BP0001."""
     return F.format_string(f"{prefix}%0{digits}d", col(number).cast("long"))
+
+
+def accepted_status(status, accepted: list[str]) -> Column:
+    """Whether a status, however written, is among the accepted ones; null isn't (P5)."""
+    return F.coalesce(F.lower(F.trim(col(status))).isin(accepted), F.lit(False))
+
+
+def band(value, high: float, medium: float) -> Column:
+    """high, medium or low; unknown for null."""
+    c = col(value)
+    return F.when(c.isNull(), "unknown").when(c >= high, "high").when(c >= medium, "medium").otherwise("low")
+
+
+def recommendation(importance, scene_type, poor, key_moment) -> Column:
+    """keep, trim, bridge or review (P12); an unknown importance is a half."""
+    i, no = F.coalesce(col(importance), F.lit(0.5)), F.lit(False)
+    kind = F.coalesce(col(scene_type), F.lit(""))
+    trim = (i <= 0.25) | (kind == "camera_handling") | F.coalesce(poor, no)
+    return F.when(F.coalesce(key_moment, no), "keep").when(trim, "trim").when(i >= 0.72, "keep").when((kind == "transition") | (i < 0.5), "bridge").otherwise("review")
+
+
+def display_signals(claims, dialogue, people, attention) -> Column:
+    """Signals of a candidate in a fixed order, subjects by first occurrence (P18): claims have kind and basis."""
+    suffix = lambda b: F.when(b == "speech", " (said)").when(b == "inferred", " (inferred)").otherwise("")
+    subjects = F.array_distinct(F.transform(claims, lambda c: F.concat(c["kind"], suffix(c["basis"]))))
+    return F.concat(subjects, F.array_compact(F.array(F.when(dialogue, "dialogue"), F.when(people, "people"), F.when(attention, "attention"))))
+
+
+def duration_text(seconds) -> Column:
+    """A length in words, rounded to seconds: 45s, 2m 5s, 1h 10m (S3)."""
+    r = F.round(col(seconds).cast("decimal(24,6)")).cast("long")
+    h, m = F.floor(r / 3600).cast("string"), F.floor(r % 3600 / 60).cast("string")
+    return F.when(r >= 3600, F.concat(h, F.lit("h "), m, F.lit("m"))).when(r >= 60, F.concat(m, F.lit("m "), (r % 60).cast("string"), F.lit("s"))).otherwise(F.concat(r.cast("string"), F.lit("s")))
+
+
+def with_namespace(df: DataFrame, prefix: str, ids: list[str], references: list[str]) -> DataFrame:
+    """Ids, and in arrays all references to them, with the prefix in front, once."""
+    return df.withColumns({c: F.get(namespaced(F.array(c), prefix), F.lit(0)) for c in ids} | {c: namespaced(c, prefix) for c in references})
+
+
+def merged_maps(base, over) -> Column:
+    """The keys of both maps; of common ones the later's value unless it is null."""
+    given = F.map_filter(over, lambda k, v: v.isNotNull())
+    return F.map_concat(F.map_filter(base, lambda k, v: ~F.coalesce(F.map_contains_key(given, k), F.lit(False))), given)
+
+
+def tree_digest(files: DataFrame, keys: list[str], path: str, digest: str) -> DataFrame:
+    """keys, digest: SHA-256 of the lines "path digest" of a folder's files in the order of paths (M10). A folder is one array."""
+    lines = F.sort_array(F.collect_list(F.struct(path, digest)))
+    return files.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(lines, lambda x: F.concat_ws(" ", x[path], x[digest])), "\n"), 256).alias("digest"))
+
+
+def capture_label(text) -> tuple[Column, Column]:
+    """Clock time (with UTC if it is said) and day of a time as written; what isn't one is shown as it is (D3)."""
+    c = col(text)
+    shape = r"^([0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2})?)(\.[0-9]+)?(Z|[+-][0-9]{2}:?[0-9]{2})?$"
+    at = F.regexp_replace(F.regexp_extract(c, shape, 1), "T", " ").try_cast("timestamp_ntz")
+    empty = F.coalesce(c, F.lit("")) == ""
+    utc = F.when(c.rlike("(Z|[+-]00:?00)$"), " UTC").otherwise("")
+    label = F.when(empty, "unknown time").when(at.isNull(), c).otherwise(F.concat(F.date_format(at, "HH:mm"), utc))
+    return label, F.when(empty, "no capture time").when(at.isNull(), "as written").otherwise(F.date_format(at, "yyyy.MM.dd"))
+
+
+def now_utc() -> Column:
+    """The current time as YYYY-MM-DDTHH:MM:SSZ."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")

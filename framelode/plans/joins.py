@@ -163,78 +163,6 @@ def j_consensus(t):
     return I.near_semi(a, b, "asset_id", "e", "other_end", 0.35, other=F.col("requested_locale") != F.col("other_locale")).select("utterance_id")
 
 
-@reg.add("j_lookups", f"""SELECT scene_id, a.source_name, c.title AS trip_title FROM {SCENES} s JOIN (SELECT DISTINCT asset_id, trip_id, source_name FROM assets) a USING (asset_id) LEFT JOIN trip_config c USING (trip_id)""")
-def j_lookups(t):
-    """Lookups by id."""
-    a = t.assets.select("asset_id", "trip_id", "source_name").distinct()
-    return scenes(t).select("scene_id", "asset_id").join(a, "asset_id").join(t.trip_config.select("trip_id", F.col("title").alias("trip_title")), "trip_id", "left").select("scene_id", "source_name", "trip_title")
-
-
-@reg.add(
-    "j_ordered_ids",
-    """WITH g AS (SELECT asset_id, list(scene_id ORDER BY scene_id DESC) AS ids FROM (SELECT DISTINCT asset_id, scene_id FROM scenes) GROUP BY 1), x AS (SELECT asset_id, unnest(ids) AS scene_id, generate_subscripts(ids, 1) AS k FROM g)
-    SELECT asset_id, string_agg(coalesce(label, '?'), '|' ORDER BY k) AS labels FROM x JOIN (SELECT DISTINCT scene_id, label FROM scenes) USING (scene_id) GROUP BY 1""",
-)
-def j_ordered_ids(t):
-    """An array of ids looked up in its own order."""
-    g = t.scenes.select("asset_id", "scene_id").distinct().groupBy("asset_id").agg(F.sort_array(F.collect_list("scene_id"), asc=False).alias("ids"))
-    x = g.select("asset_id", F.posexplode("ids").alias("k", "scene_id")).join(t.scenes.select("scene_id", F.coalesce("label", F.lit("?")).alias("label")).distinct(), "scene_id")
-    return x.groupBy("asset_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "label"))), lambda v: v["label"]), "|").alias("labels"))
-
-
-@reg.add(
-    "j_run_alignment",
-    f"""WITH k AS (SELECT asset_id, count(*) AS n, min(s) AS first FROM {SPEECH} WHERE requested_locale = 'ko-KR' GROUP BY 1), e AS (SELECT asset_id, count(*) AS n, min(s) AS first FROM {SPEECH} WHERE requested_locale = 'en-US' GROUP BY 1)
-    SELECT coalesce(k.asset_id, e.asset_id) AS asset_id, coalesce(k.n, 0) AS ko, coalesce(e.n, 0) AS en, k.n IS NOT NULL AND e.n IS NOT NULL AS in_both FROM k FULL JOIN e ON k.asset_id = e.asset_id""",
-)
-def j_run_alignment(t):
-    """Two runs aligned by id, with what each covers."""
-    side = lambda loc, n: speech(t).filter(F.col("requested_locale") == loc).groupBy("asset_id").agg(F.count("*").alias(n))
-    x = side("ko-KR", "k").join(side("en-US", "n"), "asset_id", "full_outer")
-    return x.select("asset_id", F.coalesce("k", F.lit(0)).alias("ko"), F.coalesce("n", F.lit(0)).alias("en"), (F.col("k").isNotNull() & F.col("n").isNotNull()).alias("in_both"))
-
-
-@reg.add("j_anti_overlap", f"""SELECT utterance_id FROM {SPEECH} a WHERE requested_locale = 'ko-KR' AND NOT EXISTS (SELECT 1 FROM {SPEECH} b WHERE b.asset_id = a.asset_id AND b.requested_locale = 'en-US' AND least(a.e, b.e) - greatest(a.s, b.s) > 0.2)""")
-def j_anti_overlap(t):
-    """Records of one locale that no record of the other overlaps by more than 0.2 s."""
-    a = speech(t).filter("requested_locale = 'ko-KR'").select("asset_id", "utterance_id", "s", "e")
-    b = speech(t).filter("requested_locale = 'en-US'").select("asset_id", F.col("s").alias("bs"), F.col("e").alias("be"))
-    return I.overlap_join(a, b, "asset_id", ("s", "e"), ("bs", "be"), how="left_anti", least=0.2).select("utterance_id")
-
-
-@reg.add("j_lineage", """SELECT DISTINCT a.asset_id FROM assets a WHERE EXISTS (SELECT 1 FROM assets b WHERE b.proxy_path = a.proxy_path AND b.quick_fingerprint = a.quick_fingerprint AND b.duration > 20)""")
-def j_lineage(t):
-    """Assets whose proxy and fingerprint occur among those of known sources."""
-    known = t.assets.filter("duration > 20").select("proxy_path", "quick_fingerprint").distinct()
-    return t.assets.join(known, ["proxy_path", "quick_fingerprint"], "left_semi").select("asset_id").distinct()
-
-
-@reg.add("j_suffix_paths", """WITH a AS (SELECT DISTINCT asset_id, string_split(lower(source_path), '/') AS p, string_split(lower(proxy_path), '/')  AS q FROM assets WHERE proxy_path IS NOT NULL) SELECT x.asset_id, list_aggregate(x.q[len(x.q) - 1:], 'string_agg', '/') AS tail FROM a x""")
-def j_suffix_paths(t):
-    """The last two parts of a path, case-folded, by which clips and timelines are matched."""
-    p = F.split(F.lower("proxy_path"), "/")
-    return t.assets.filter("proxy_path IS NOT NULL").select("asset_id", F.array_join(F.slice(p, F.greatest(F.lit(1), F.size(p) - 1), F.lit(2)), "/").alias("tail")).distinct()
-
-
-@reg.add(
-    "j_unique_mapping",
-    r"""WITH a AS (SELECT DISTINCT asset_id, trip_id, lower(regexp_replace(source_name, '\.[^.]*$', '')) AS stem FROM assets), u AS (SELECT trip_id, stem FROM a GROUP BY ALL HAVING count(*) = 1) SELECT asset_id, stem FROM a JOIN u USING (trip_id, stem)""",
-)
-def j_unique_mapping(t):
-    """Names that lead to exactly one asset of a trip; ambiguous ones are dropped (J20, SRC5)."""
-    a = t.assets.select("asset_id", "trip_id", F.lower(F.regexp_replace("source_name", r"\.[^.]*$", "")).alias("stem")).distinct()
-    one = a.groupBy("trip_id", "stem").agg(F.count("*").alias("n"), F.min("asset_id").alias("asset_id")).filter("n = 1")
-    return one.select("asset_id", "stem")
-
-
-@reg.add("j_overrides", """SELECT DISTINCT a.asset_id, coalesce(CASE WHEN a.scene_count > 4 THEN 'override-' || a.asset_id END, a.timeline_path) AS timeline, CASE WHEN a.scene_count > 4 THEN 'override' ELSE 'default' END AS origin FROM assets a""")
-def j_overrides(t):
-    """An accepted override wins over the default."""
-    extra = t.assets.filter("scene_count > 4").select("asset_id", F.concat(F.lit("override-"), F.col("asset_id")).alias("override")).distinct()
-    a = t.assets.select("asset_id", "timeline_path").distinct().join(extra, "asset_id", "left")
-    return a.select("asset_id", F.coalesce("override", "timeline_path").alias("timeline"), F.when(F.col("override").isNotNull(), "override").otherwise("default").alias("origin"))
-
-
 _EV = f"""(SELECT p.asset_id, p.utterance_id, p.span_index, p.span_text, CASE WHEN p.ss IS NOT NULL AND p.se > p.ss THEN p.ss ELSE u.s END AS xs, CASE WHEN p.ss IS NOT NULL AND p.se > p.ss THEN p.se ELSE u.e END AS xe,
  CASE WHEN p.ss IS NOT NULL AND p.se > p.ss THEN 'span' ELSE 'candidate_interval_fallback' END AS timing FROM {SPANS} p JOIN {SPEECH} u USING (asset_id, utterance_id))"""
 

@@ -46,38 +46,12 @@ def p_inside_media(t):
     return t.vision_samples.join(a, "asset_id").filter("timestamp > 0.001 AND timestamp < duration - 0.001").select("sample_id").distinct()
 
 
-@reg.add("p_lexical_split", """SELECT DISTINCT utterance_id, CASE WHEN trim(coalesce(text, '')) = '' THEN 'ignored_empty' ELSE 'lexical' END AS class FROM stt_candidates""")
-def p_lexical_split(t):
-    """Records with words and those kept only for the audit."""
-    return t.stt_candidates.select("utterance_id", F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "ignored_empty").otherwise("lexical").alias("class")).distinct()
-
-
-@reg.add("p_usable", """SELECT DISTINCT utterance_id FROM stt_candidates WHERE selected_locale IN ('ko-KR', 'en-US') AND is_final IS NOT FALSE""")
-def p_usable(t):
-    """An accepted state and not marked unusable; unknown counts as usable (P5)."""
-    return t.stt_candidates.filter(F.col("selected_locale").isin("ko-KR", "en-US") & ~F.col("is_final").eqNullSafe(False)).select("utterance_id").distinct()
-
-
 @reg.add("p_select_assets", """SELECT DISTINCT asset_id FROM assets WHERE regexp_matches(asset_id, '0[0-4]$') OR regexp_matches(source_path, '(card-A|Day 1)')""")
 def p_select_assets(t):
     """Assets by a pattern on id or path."""
     return t.assets.filter(F.col("asset_id").rlike("0[0-4]$") | F.col("source_path").rlike("(card-A|Day 1)")).select("asset_id").distinct()
 
 
-@reg.add("p_shard", """SELECT asset_id FROM (SELECT asset_id, row_number() OVER (PARTITION BY trip_id ORDER BY asset_id) AS n FROM (SELECT DISTINCT asset_id, trip_id FROM assets)) WHERE (n - 1) % 4 = 2""")
-def p_shard(t):
-    """Shard 3 of 4 of each trip's assets in the order of their ids."""
-    n = F.row_number().over(Window.partitionBy("trip_id").orderBy("asset_id"))
-    return t.assets.select("asset_id", "trip_id").distinct().withColumn("n", n).filter((F.col("n") - 1) % 4 == 2).select("asset_id")
-
-
-@reg.add("p_day_lists", """WITH a AS (SELECT DISTINCT asset_id, CASE WHEN length(creation_time) >= 10 THEN substr(creation_time, 1, 10) ELSE 'unknown' END AS day FROM assets) SELECT asset_id, day FROM a WHERE day NOT IN ('unknown', '2024-03-01')""")
-def p_day_lists(t):
-    """Days on a list left out."""
-    skip = t.spark.createDataFrame([("unknown",), ("2024-03-01",)], "day string")
-    return t.assets.select("asset_id", S.capture_day("creation_time").alias("day")).distinct().join(F.broadcast(skip), "day", "left_anti").select("asset_id", "day")
-
-
 @reg.add(
     "p_clipped_boxes",
     f"""SELECT detection_id, {rd("least(1.0, greatest(0.0, bounding_box[1]))", 6)} AS x0, {rd("least(1.0, greatest(0.0, bounding_box[2]))", 6)} AS y0, {rd("least(1.0, greatest(0.0, bounding_box[1] + bounding_box[3]))", 6)} AS x1, {rd("least(1.0, greatest(0.0, bounding_box[2] + bounding_box[4]))", 6)} AS y1,
@@ -96,16 +70,6 @@ def p_compact_assets(t):
     return t.assets.select("asset_id", "source_name", S.round_dec("duration", 3).alias("duration"), S.shortened("summary", 40).alias("summary"), F.col("proxy_path").isNotNull().alias("proxy_ready")).distinct()
 
 
-@reg.add(
-    "p_recommendations",
-    f"""SELECT scene_id, CASE WHEN confidence IS NULL THEN 'review' WHEN highlighted THEN 'keep' WHEN e - s < 3 THEN 'bridge' WHEN confidence < 0.5 THEN 'trim' ELSE 'review' END AS advice, CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.65 THEN 'medium' ELSE 'low' END AS band FROM {SCENES}""",
-)
-def p_recommendations(t):
-    """A decision tree and confidence bands."""
-    c = F.col("confidence")
-    return scenes(t).select("scene_id", F.when(c.isNull(), "review").when(F.col("highlighted"), "keep").when(F.col("e") - F.col("s") < 3, "bridge").when(c < 0.5, "trim").otherwise("review").alias("advice"), F.when(c >= 0.8, "high").when(c >= 0.65, "medium").otherwise("low").alias("band"))
-
-
 @reg.add("p_source_precedence", """SELECT DISTINCT scene_id, CASE WHEN dialogue_excerpt IS NOT NULL THEN 'captions' WHEN summary IS NOT NULL THEN 'script' ELSE 'none' END AS origin, CASE WHEN dialogue_excerpt IS NOT NULL THEN dialogue_excerpt ELSE summary END AS text FROM scenes""")
 def p_source_precedence(t):
     """The first source whose key is there decides, even if its text is empty."""
@@ -120,14 +84,6 @@ def p_immutable_fields(t):
     return a.exceptAll(t.scenes.select("scene_id", F.round("source_in", 3).alias("s"), F.round("source_out", 3).alias("e")).distinct())
 
 
-@reg.add("p_backoff", """SELECT user_id, event_type FROM (SELECT user_id, event_type, max(ts) AS latest FROM events GROUP BY ALL) WHERE latest < (SELECT max(ts) FROM events) - INTERVAL 2 DAY""")
-def p_backoff(t):
-    """Keys whose latest event is long enough ago."""
-    last = t.events.groupBy("user_id", "event_type").agg(F.max("ts").alias("latest"))
-    end = t.events.agg(F.max("ts").alias("now"))
-    return last.join(F.broadcast(end), F.col("latest") < F.col("now") - F.expr("INTERVAL 2 DAY")).select("user_id", "event_type")
-
-
 @reg.add("p_flatten_windows", f"""SELECT p.utterance_id, CAST(p.span_index AS BIGINT) AS span_index, 'U' || lpad(CAST(row_number() OVER (PARTITION BY p.asset_id ORDER BY u.s, p.utterance_id, p.span_index) AS VARCHAR), 4, '0') AS number FROM {SPANS} p JOIN {SPEECH} u USING (asset_id, utterance_id)""")
 def p_flatten_windows(t):
     """Spans of all records in one numbered list per asset."""
@@ -136,31 +92,12 @@ def p_flatten_windows(t):
     return j.select("utterance_id", F.col("span_index").cast("long").alias("span_index"), S.sequential_id("U", 4, "k").alias("number"))
 
 
-@reg.add("p_display_signals", """SELECT DISTINCT scene_id, list_filter([CASE WHEN dialogue_excerpt IS NOT NULL THEN 'dialogue' END, CASE WHEN notable_count > 0 THEN 'notable' END, CASE WHEN highlighted THEN 'highlight' END], lambda x: x IS NOT NULL) AS signals FROM scenes""")
-def p_display_signals(t):
-    """What a scene offers, in a fixed order."""
-    return t.scenes.select("scene_id", F.array_distinct(F.array_compact(F.array(F.when(F.col("dialogue_excerpt").isNotNull(), "dialogue"), F.when(F.col("notable_count") > 0, "notable"), F.when(F.col("highlighted"), "highlight")))).alias("signals")).distinct()
-
-
 @reg.add("p_first_reason", """SELECT DISTINCT asset_id, CASE WHEN duration IS NULL THEN 'still_recording' WHEN proxy_path IS NULL THEN 'no_proxy' WHEN creation_time IS NULL THEN 'no_time' WHEN scene_count = 0 THEN 'no_scenes' END AS reason FROM assets""")
 def p_first_reason(t):
     """The first rule of a chain that excludes an asset, null if none does."""
     return t.assets.select("asset_id", F.when(F.col("duration").isNull(), "still_recording").when(F.col("proxy_path").isNull(), "no_proxy").when(F.col("creation_time").isNull(), "no_time").when(F.col("scene_count") == 0, "no_scenes").alias("reason")).distinct()
 
 
-@reg.add("p_cited_rows", f"""SELECT utterance_id FROM {SPEECH} u WHERE EXISTS (SELECT 1 FROM scenes x WHERE x.dialogue_excerpt = u.text AND x.asset_id = u.asset_id)""")
-def p_cited_rows(t):
-    """Records that scenes cite (P20)."""
-    cited = t.scenes.select("asset_id", F.col("dialogue_excerpt").alias("text"))
-    return speech(t).join(cited, ["asset_id", "text"], "left_semi").select("utterance_id")
-
-
-@reg.add("p_default_review", f"""SELECT DISTINCT asset_id, 'no_speech' AS status, 1.0::DOUBLE AS confidence FROM assets a WHERE NOT EXISTS (SELECT 1 FROM {SPEECH} u WHERE u.asset_id = a.asset_id)""")
-def p_default_review(t):
-    """Fixed answers for assets without any window."""
-    return t.assets.select("asset_id").distinct().join(speech(t), "asset_id", "left_anti").select("asset_id", F.lit("no_speech").alias("status"), F.lit(1.0).alias("confidence"))
-
-
 @reg.add("a_category_counts", """SELECT l.lang, count(d.doc_id) AS n FROM (VALUES ('en'), ('ko'), ('ja'), ('it')) l(lang) LEFT JOIN documents d ON d.lang = l.lang GROUP BY 1""")
 def a_category_counts(t):
     """Counts by category, absent ones with zero (A1)."""
@@ -270,18 +207,6 @@ def a_ratio(t):
     return t.lineitem.groupBy("l_returnflag").agg(S.round_dec(s("l_discount") / F.nullif(s("l_tax"), F.lit(0.0)), 6).alias("ratio"))
 
 
-@reg.add("a_coverage_ratio", f"""WITH c AS (SELECT u.asset_id, u.utterance_id, EXISTS (SELECT 1 FROM {SCENES} x WHERE x.asset_id = u.asset_id AND u.s < x.e AND u.e > x.s) AS hit FROM {SPEECH} u) SELECT asset_id, {rd("count(*) FILTER (WHERE hit) / count(*)", 6)} AS covered, count(*) FILTER (WHERE NOT hit) AS missing FROM c GROUP BY 1""")
-def a_coverage_ratio(t):
-    """Share of an asset's records that some scene covers."""
-    from ..operators.intervals import overlap_join
-
-    u = speech(t).select("asset_id", "utterance_id", "s", "e")
-    sc = scenes(t).select("asset_id", F.col("s").alias("cs"), F.col("e").alias("ce"))
-    hit = overlap_join(u, sc, "asset_id", ("s", "e"), ("cs", "ce")).select("utterance_id").distinct().withColumn("hit", F.lit(True))
-    c = u.join(hit, "utterance_id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    return c.groupBy("asset_id").agg(S.round_dec(F.count_if("hit") / F.count("*"), 6).alias("covered"), F.count_if(~F.col("hit")).alias("missing"))
-
-
 @reg.add("a_repetition_audit", """SELECT asset_id, summary, count(*) AS n FROM (SELECT DISTINCT asset_id, scene_id, summary FROM scenes WHERE trim(coalesce(summary, '')) <> '') GROUP BY ALL HAVING count(*) > 1""")
 def a_repetition_audit(t):
     """Summaries that an asset's scenes share (A21, first rule)."""
@@ -307,15 +232,6 @@ def a_unassessed(t):
     return t.scenes.select("asset_id", "scene_id", "tags", "dialogue_excerpt").distinct().groupBy("asset_id").agg(F.count_if(F.size("tags") == 0).alias("no_tags"), F.count_if(F.col("dialogue_excerpt").isNull()).alias("no_dialogue"))
 
 
-@reg.add("a_multiset_equality", """WITH a AS (SELECT asset_id, count(*) AS n FROM (SELECT DISTINCT asset_id, scene_id FROM scenes) GROUP BY 1), b AS (SELECT DISTINCT asset_id, scene_count AS m FROM assets) SELECT coalesce(a.asset_id, b.asset_id) AS asset_id, CAST(coalesce(n, 0) AS BIGINT) AS found, CAST(coalesce(m, 0) AS BIGINT) AS stated FROM a FULL JOIN b ON a.asset_id = b.asset_id WHERE coalesce(n, 0) <> coalesce(m, 0)""")
-def a_multiset_equality(t):
-    """Counts by key that two sides state differently."""
-    a = t.scenes.select("asset_id", "scene_id").distinct().groupBy("asset_id").agg(F.count("*").alias("n"))
-    b = t.assets.select("asset_id", F.col("scene_count").cast("long").alias("m")).distinct()
-    x = a.join(b, "asset_id", "full_outer").select("asset_id", F.coalesce("n", F.lit(0)).alias("found"), F.coalesce("m", F.lit(0)).cast("long").alias("stated"))
-    return x.filter("found <> stated")
-
-
 @reg.add(
     "a_language_resolution",
     f"""WITH m AS (SELECT asset_id, requested_locale AS l, count(*) FILTER (WHERE conf >= 0.6) AS n, CAST(coalesce(sum(length(text)) FILTER (WHERE conf >= 0.6), 0) AS BIGINT) AS c, {rd("avg(conf) FILTER (WHERE conf >= 0.6)", 4)} AS mean FROM {SPEECH} GROUP BY ALL),
@@ -335,20 +251,6 @@ def a_language_resolution(t):
 _RANKED = r"""WITH q AS (SELECT list_distinct(list_filter(regexp_extract_all(lower('Muddy stone bridge'), '([\p{L}\p{N}_]+)', 1), lambda w: length(w) > 1)) AS toks), s AS (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(search_text), '([\p{L}\p{N}_]+)', 1), lambda w: length(w) > 1)) AS st FROM """
 
 
-@reg.add(
-    "t_ranked_search",
-    f"""{_RANKED}{SCENES}), r AS (SELECT scene_id, len(list_intersect(st, toks)) AS o, contains(search_text, lower('Muddy stone bridge')) AS sub, highlighted, notable_count, confidence, creation_time, s FROM s, q)
-    SELECT scene_id, {rd("o * 2.0 + CASE WHEN sub THEN 2.5 ELSE 0.0 END + CASE WHEN highlighted THEN 0.8 ELSE 0.0 END + least(1.0, notable_count * 0.4) + coalesce(confidence, 0) * 0.25", 6)} AS score FROM r WHERE o > 0 OR sub ORDER BY score DESC, scene_id LIMIT 12""",
-)
-def t_ranked_search(t):
-    """The twelve scenes that fit a query best."""
-    q = F.array(*(F.lit(w) for w in ("muddy", "stone", "bridge")))
-    o = F.size(F.array_intersect(S.tokens("search_text"), q))
-    sub = F.coalesce(F.col("search_text").contains("muddy stone bridge"), F.lit(False))
-    score = o * 2.0 + F.when(sub, 2.5).otherwise(0.0) + F.when(F.col("highlighted"), 0.8).otherwise(0.0) + F.least(F.lit(1.0), F.col("notable_count") * 0.4) + F.coalesce("confidence", F.lit(0.0)) * 0.25
-    return scenes(t).filter((o > 0) | sub).select("scene_id", S.round_dec(score, 6).alias("score")).orderBy(F.desc("score"), "scene_id").limit(12)
-
-
 @reg.add("t_list_assets", f"""SELECT asset_id, source_name FROM {_DAYS} WHERE starts_with(day, '2025-0') ORDER BY coalesce(creation_time, '9999'), source_name, asset_id LIMIT 100""")
 def t_list_assets(t):
     """Assets of a span of days in capture order, at most a hundred."""
@@ -400,17 +302,6 @@ def u_disjoint(t):
     return t.scenes.join(a, "asset_id").select("scene_id", (~F.arrays_overlap("tags", "at")).alias("disjoint")).distinct()
 
 
-@reg.add("u_shard_merge", f"""SELECT scene_id, k AS place FROM (SELECT scene_id, row_number() OVER (PARTITION BY asset_id ORDER BY s, scene_id) AS k, count(*) OVER (PARTITION BY scene_id) AS n FROM {SCENES}) WHERE n = 1""")
-def u_shard_merge(t):
-    """Shards united, ids that two of them hold refused, order restored."""
-    x = scenes(t).select("asset_id", "scene_id", "s")
-    even = F.pmod(F.crc32(F.col("scene_id")), F.lit(2)) == 0
-    both = x.filter(even).unionByName(x.filter(~even))
-    n = both.groupBy("scene_id").agg(F.count("*").alias("n")).filter("n = 1")
-    placed = with_row_number(O.with_bucket(both, "s"), ["asset_id"], "_b", ["s", "scene_id"], "place")
-    return placed.join(n, "scene_id", "left_semi").select("scene_id", "place")
-
-
 @reg.add("u_packet_slice", f"""SELECT asset_id, count(*) AS scenes, count(*) FILTER (WHERE highlighted) AS highlights FROM {SCENES} WHERE asset_id IN (SELECT asset_id FROM person_detections) GROUP BY 1""")
 def u_packet_slice(t):
     """A part of the rows with summaries counted anew."""
