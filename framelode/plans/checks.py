@@ -12,7 +12,7 @@ from .common import OCR, PEOPLE, SCENES, SPANS, SPEECH, VISION, ocr, people, rd,
 from ..session import cut_lineage
 from .joins import _EV, ACTIVITY, _evidence, activity
 from .registry import Registry
-from .windows import ADAPTIVE, w_adaptive_segments
+from .windows import ADAPTIVE, _nms_sql, w_adaptive_segments
 
 reg = Registry()
 
@@ -209,7 +209,15 @@ def w_hash_groups(t):
     return L.adjacent_groups(x, "asset_id", "segment_id", "start", "end", "h", "hard")
 
 
-@reg.add("w_caption_split")
+@reg.add(
+    "w_caption_split",
+    rf"""WITH w AS (SELECT utterance_id, s, e, list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS ws FROM {SPEECH}),
+    p AS (SELECT utterance_id, s, e, string_split(list_reduce(ws, lambda a, x: a || CASE WHEN length(regexp_extract(a, '[^
+]*$')) + 1 + length(x) <= 42 THEN ' ' ELSE chr(10) END || x), chr(10)) AS ps FROM w WHERE len(ws) > 0),
+    q AS (SELECT utterance_id, s, e, unnest(ps) AS text, generate_subscripts(ps, 1) - 1 AS piece, len(ps) AS n, list_sum(list_transform(ps, lambda x: length(x))) AS total, ps FROM p), r AS (SELECT *, coalesce(list_sum(list_transform(ps[1:piece], lambda x: length(x))), 0) AS upto FROM q),
+    m AS (SELECT *, s + (e - s) * upto / total AS a, CASE WHEN piece = n - 1 THEN e ELSE s + (e - s) * (upto + length(text)) / total END AS b FROM r), k AS (SELECT *, greatest(0, CAST(round(CAST(a AS DECIMAL(24,12)) * 1000, 0) AS BIGINT)) AS x, greatest(0, CAST(round(CAST(b AS DECIMAL(24,12)) * 1000, 0) AS BIGINT)) AS y FROM m)
+    SELECT utterance_id, piece, printf('%02d:%02d:%02d,%03d', x // 3600000, (x // 60000) % 60, (x // 1000) % 60, x % 1000) AS starts, printf('%02d:%02d:%02d,%03d', y // 3600000, (y // 60000) % 60, (y // 1000) % 60, y % 1000) AS ends, text FROM k""",
+)
 def w_caption_split(t):
     """Transcript records as captions of at most 42 characters (W26, SNK4)."""
     x = L.split_captions(speech(t), "utterance_id", "s", "e", "text")
@@ -248,7 +256,10 @@ def w_storyboard(t):
     return L.storyboard(p, ["scene_id"], "ts", "ae", "h", "sample_id")
 
 
-@reg.add("w_spaced_selection")
+_SCENE_SAMPLES = f"""(SELECT scene_id, ts AS "timestamp", ae AS confidence, lpad(CAST(sample_id AS VARCHAR), 18, '0') AS source_id FROM {VISION} v JOIN (SELECT scene_id, asset_id, s, e, max(e) OVER (PARTITION BY asset_id) AS z FROM {SCENES}) c USING (asset_id) WHERE ts >= s AND (ts < e OR (e = z AND ts = e)) AND ae IS NOT NULL AND coalesce(fd, 0.0) >= 0.05)"""
+
+
+@reg.add("w_spaced_selection", f"""SELECT scene_id, CAST(source_id AS BIGINT) AS sample_id, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY confidence DESC, "timestamp", source_id) AS place FROM {_nms_sql(_SCENE_SAMPLES, "scene_id", 1.0, "<")}) WHERE place <= 3""")
 def w_spaced_selection(t):
     """The three best samples of each scene at least a second apart."""
     from ..operators.intervals import points_in

@@ -158,7 +158,7 @@ def j_proximity(t):
 @reg.add("j_consensus", f"""SELECT utterance_id FROM {SPEECH} a WHERE EXISTS (SELECT 1 FROM {SPEECH} b WHERE b.asset_id = a.asset_id AND b.requested_locale <> a.requested_locale AND abs(b.e - a.e) <= 0.35)""")
 def j_consensus(t):
     """Segment ends that another locale places at nearly the same time."""
-    a = speech(t)
+    a = t.once("speech", speech)
     b = a.select("asset_id", F.col("requested_locale").alias("other_locale"), F.col("e").alias("other_end"))
     return I.near_semi(a, b, "asset_id", "e", "other_end", 0.35, other=F.col("requested_locale") != F.col("other_locale")).select("utterance_id")
 

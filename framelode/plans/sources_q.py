@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import catalog as Q
 from ..operators import edits as E
+from ..operators.ordered import with_bucket
+from ..operators.sequence import with_row_number
 from ..sources import readers as R
 from ..sources import sinks as K
 from ..streaming import jobs as J
-from .common import SCENES, SPEECH, rd, scenes, speech
+from ..session import cut_lineage
+from .common import SCENES, SPEECH, VISION, rd, scenes, speech, vision
 from .registry import Registry
 
 reg = Registry()
@@ -51,11 +53,15 @@ def snk_manifest(t):
     return K.manifest(t.assets, t.scenes)
 
 
-@reg.add("snk_subtitles")
+@reg.add(
+    "snk_subtitles",
+    f"""WITH x AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY s, utterance_id) AS number FROM {SPEECH}), m AS (SELECT *, greatest(0, CAST(round(CAST(s AS DECIMAL(24,12)) * 1000, 0) AS BIGINT)) AS a, greatest(0, CAST(round(CAST(e AS DECIMAL(24,12)) * 1000, 0) AS BIGINT)) AS b FROM x)
+    SELECT asset_id, number, number || chr(10) || printf('%02d:%02d:%02d,%03d', a // 3600000, (a // 60000) % 60, (a // 1000) % 60, a % 1000) || ' --> ' || printf('%02d:%02d:%02d,%03d', b // 3600000, (b // 60000) % 60, (b // 1000) % 60, b % 1000) || chr(10) || text AS block FROM m""",
+)
 def snk_subtitles(t):
     """Blocks of subtitle files per asset (SNK4)."""
-    n = F.row_number().over(Window.partitionBy("asset_id").orderBy("s", "utterance_id"))
-    return K.subtitle_blocks(speech(t).withColumn("number", n), "asset_id", "number", "s", "e", "text")
+    x = with_row_number(with_bucket(speech(t), "s"), ["asset_id"], "_b", ["s", "utterance_id"], "number")
+    return K.subtitle_blocks(x, "asset_id", "number", "s", "e", "text")
 
 
 def _revisions(t):
@@ -119,11 +125,46 @@ def ext_nation_revenue(t):
     return j.groupBy("n_name").agg(S.round_dec(F.sum("v"), 2).alias("revenue"))
 
 
-@reg.add("q_scene_evidence", f"""SELECT scene_id, count(utterance_id) AS records, coalesce(string_agg(utterance_id, ',' ORDER BY u.s, utterance_id), '') AS ids FROM {SCENES} c LEFT JOIN {SPEECH} u ON u.asset_id = c.asset_id AND u.s < c.e AND u.e > c.s WHERE highlighted GROUP BY 1""")
+@reg.add(
+    "q_scene_evidence",
+    f"""WITH c AS (SELECT asset_id, scene_id, s AS cs, e AS ce FROM {SCENES} WHERE highlighted), x AS (SELECT scene_id, utterance_id, requested_locale AS l, u.s, u.e, text FROM c JOIN {SPEECH} u ON u.asset_id = c.asset_id AND u.s < ce AND u.e > cs),
+    k AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY s, utterance_id) AS k, row_number() OVER (PARTITION BY scene_id, l ORDER BY s, utterance_id) AS kl FROM x),
+    v AS (SELECT scene_id, sample_id, ts, row_number() OVER (PARTITION BY scene_id ORDER BY ae DESC NULLS LAST, ts, sample_id) AS r FROM c JOIN {VISION} USING (asset_id) WHERE ts >= cs AND ts < ce), f AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY ts, sample_id) AS k FROM v WHERE r <= 8)
+    SELECT scene_id, 'caption' AS part, k AS place, utterance_id AS item, s AS "start", text AS note FROM k WHERE k <= 30 UNION ALL SELECT scene_id, 'candidate ' || l, kl, NULL, s, text FROM k WHERE kl <= 8 AND l IS NOT NULL
+    UNION ALL SELECT scene_id, 'frame', k, CAST(sample_id AS VARCHAR), ts, CASE WHEN r = 1 THEN 'representative' ELSE 'key_moment' END FROM f UNION ALL SELECT scene_id, 'records', coalesce(n, 0), NULL, NULL, NULL FROM c LEFT JOIN (SELECT scene_id, count(*) AS n FROM x GROUP BY 1) USING (scene_id)""",
+)
 def q_scene_evidence(t):
-    """What a scene rests on (get_scene_evidence)."""
-    c = scenes(t).filter("highlighted").select("asset_id", "scene_id", F.col("s").alias("cs"), F.col("e").alias("ce"))
-    return Q.scene_evidence(c, speech(t))
+    """What highlights rest on, the nested evidence laid out in rows (get_scene_evidence)."""
+    c = scenes(t).filter("highlighted").select("asset_id", "scene_id", "title", F.col("s").alias("cs"), F.col("e").alias("ce"))
+    x = cut_lineage(Q.scene_evidence(c, speech(t), vision(t).select("asset_id", "sample_id", "ts", "ae")))
+    row = lambda part, item, start, note: ["scene_id", part.alias("part"), (F.col("p") + 1).cast("long").alias("place"), item.alias("item"), start.alias("start"), note.alias("note")]
+    none = F.lit(None).cast("string")
+    caps = x.select("scene_id", F.posexplode("captions").alias("p", "v")).select(*row(F.lit("caption"), F.col("v.id"), F.col("v.start"), F.col("v.text")))
+    cand = x.select("scene_id", F.explode("candidates").alias("l", "vs")).select("scene_id", "l", F.posexplode("vs").alias("p", "v")).select(*row(F.concat(F.lit("candidate "), F.col("l")), none, F.col("v.start"), F.col("v.text")))
+    frames = x.select("scene_id", F.posexplode("frames").alias("p", "v")).select(*row(F.lit("frame"), F.col("v.sample_id").cast("string"), F.col("v.time"), F.col("v.role")))
+    counts = x.select("scene_id", (F.col("records") - 1).alias("p")).select(*row(F.lit("records"), none, F.lit(None).cast("double"), none))
+    return caps.unionByName(cand).unionByName(frames).unionByName(counts)
+
+
+@reg.add(
+    "q_ui_context",
+    f"""WITH a AS (SELECT DISTINCT asset_id, source_name, coalesce(creation_time, '9999') AS c, CASE WHEN length(creation_time) >= 10 THEN substr(creation_time, 1, 10) ELSE 'unknown' END AS day, duration, scene_count FROM assets),
+    f AS (SELECT DISTINCT scene_id, asset_id, source_in, title FROM scenes WHERE scene_id IN (SELECT DISTINCT scene_id FROM scenes ORDER BY scene_id LIMIT 5)), m AS (SELECT asset_id FROM scenes WHERE scene_id = (SELECT min(scene_id) FROM scenes) LIMIT 1),
+    o AS (SELECT asset_id, row_number() OVER (ORDER BY c, source_name, asset_id) - 1 AS i, count(*) OVER () AS n FROM a), p AS (SELECT greatest(0, least(n, greatest(0, i - 4) + 8) - 8) AS lo, least(n, greatest(0, i - 4) + 8) AS hi FROM o WHERE asset_id = (SELECT asset_id FROM m)),
+    d AS (SELECT day, count(*) AS k FROM a GROUP BY 1 ORDER BY 1 LIMIT 31)
+    SELECT 'selected' AS part, scene_id AS item, row_number() OVER (ORDER BY c, source_name, asset_id, {rd("source_in", 3)}, scene_id) - 1 AS place FROM f JOIN a USING (asset_id) UNION ALL SELECT 'nearby', asset_id, i FROM o, p WHERE i >= lo AND i < hi
+    UNION ALL SELECT 'day', day, k FROM d UNION ALL SELECT 'asset', asset_id, i FROM o WHERE i < 100 UNION ALL SELECT 'days_truncated', CAST(count(DISTINCT day) > 31 AS VARCHAR), 0 FROM a UNION ALL SELECT 'assets_truncated', CAST(count(*) > 100 AS VARCHAR), 0 FROM a""",
+)
+def q_ui_context(t):
+    """What a user with five scenes selected, the first one focused, sees (resolve_ui_context)."""
+    ids = [r[0] for r in t.scenes.select("scene_id").distinct().orderBy("scene_id").limit(5).collect()]
+    x = Q.resolve_ui_context(t.assets, t.scenes, {"focused_scene_id": ids[0] if ids else None, "selected_scene_ids": ids})
+    placed = lambda df, c: [(r[c], i) for i, r in enumerate(df.select(c).collect())]
+    rows = [("selected", *r) for r in placed(x["selected"], "scene_id")] + [("asset", *r) for r in placed(x["assets"], "asset_id")]
+    rows += [("days_truncated", str(x["days_truncated"]).lower(), 0), ("assets_truncated", str(x["assets_truncated"]).lower(), 0)]
+    days = x["days"].select(F.lit("day").alias("part"), F.col("capture_date").alias("item"), F.col("asset_count").alias("place"))
+    near = x["nearby"].select(F.lit("nearby").alias("part"), F.col("asset_id").alias("item"), "place")
+    return t.spark.createDataFrame(rows, "part string, item string, place long").unionByName(days).unionByName(near)
 
 
 @reg.add(

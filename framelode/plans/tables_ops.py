@@ -167,7 +167,10 @@ def a_day_rollup(t):
     c = c.withColumn("r", F.row_number().over(Window.partitionBy("day").orderBy(F.desc("n"), "tag"))).filter("r <= 6")
     top = c.groupBy("day").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "tag"))), lambda x: x["tag"]), "|").alias("top_tags"))
     w = Window.partitionBy("day").orderBy(F.coalesce("creation_time", F.lit("9999")), "source_name", "asset_id")
-    first = d.withColumn("r", F.row_number().over(w)).filter("r <= 5").groupBy("day").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "title"))), lambda x: x["title"]), "|").alias("titles"))
+    # A day's assets are dealt to 64 parts first, so that a full day is no single task.
+    part = Window.partitionBy("day", F.pmod(F.xxhash64("asset_id"), F.lit(64))).orderBy(F.coalesce("creation_time", F.lit("9999")), "source_name", "asset_id")
+    few = d.withColumn("r", F.row_number().over(part)).filter("r <= 5")
+    first = few.withColumn("r", F.row_number().over(w)).filter("r <= 5").groupBy("day").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "title"))), lambda x: x["title"]), "|").alias("titles"))
     return sums.join(top, "day", "left").join(first, "day", "left").select("day", "assets", "scenes", "duration", F.coalesce("top_tags", F.lit("")).alias("top_tags"), "titles")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -59,7 +58,7 @@ def _presence_sql(col: str) -> str:
 
 
 def _presence(t, col: str):
-    return G.stable_presence(vision(t), "asset_id", "ts", "sample_id", col, least=3)
+    return G.stable_presence(t.once("vision", vision), "asset_id", "ts", "sample_id", col, least=3)
 
 
 @reg.add("w_presence_runs", f"SELECT * FROM {_presence_sql('face_count')}")
@@ -107,7 +106,8 @@ _VISUAL = f"""(SELECT v.asset_id, {rd("ts", 6)} AS "timestamp", 'visual_change'
 
 
 def visual_events(t):
-    v = vision(t).join(G.quantiles(vision(t), "asset_id", "fd", 0.88, floor=0.08), "asset_id").filter("fd >= threshold AND ts > 0.001")
+    v = t.once("vision", vision)
+    v = v.join(G.quantiles(v, "asset_id", "fd", 0.88, floor=0.08), "asset_id").filter("fd >= threshold AND ts > 0.001")
     return v.select("asset_id", *G.event("visual_change", F.col("ts"), F.least(F.lit(0.96), 0.52 + 0.35 * F.col("fd") / F.greatest(F.col("threshold"), F.lit(0.01))), F.concat(F.lit("VISION-FEATURE-"), F.col("sample_id").cast("string"))))
 
 
@@ -126,9 +126,10 @@ _RANKS = "(SELECT asset_id, sample_id, CASE WHEN max({c}) OVER (PARTITION BY ass
 )
 def m_role_scores(t):
     """Roles and seed score of the samples that stand out (M8). No table holds motion, so its rank is 0 and no sample has the role action."""
-    v = vision(t).join(t.assets.select("asset_id", "duration").distinct(), "asset_id")
-    v = v.join(G.quantiles(vision(t), "asset_id", "ae", 0.82, floor=0.12, name="at"), "asset_id").join(G.quantiles(vision(t), "asset_id", "fd", 0.88, floor=0.08), "asset_id")
-    v = v.join(G.percentile_ranks(vision(t), "asset_id", "ae", "ar"), ["asset_id", "ae"], "left").join(G.percentile_ranks(vision(t), "asset_id", "fd", "fr"), ["asset_id", "fd"], "left")
+    all_ = t.once("vision", vision)
+    v = all_.join(t.assets.select("asset_id", "duration").distinct(), "asset_id")
+    v = v.join(G.quantiles(all_, "asset_id", "ae", 0.82, floor=0.12, name="at"), "asset_id").join(G.quantiles(all_, "asset_id", "fd", 0.88, floor=0.08), "asset_id")
+    v = v.join(G.percentile_ranks(all_, "asset_id", "ae", "ar"), ["asset_id", "ae"], "left").join(G.percentile_ranks(all_, "asset_id", "fd", "fr"), ["asset_id", "fd"], "left")
     v = v.filter((F.col("ts") > 0.001) & (F.col("ts") < F.col("duration") - 0.001))
     yes = lambda c: F.coalesce(c, F.lit(False))
     v = v.withColumns({"a": F.coalesce("ar", F.lit(0.0)), "f": F.coalesce("fr", F.lit(0.0)), "utility": yes(F.col("is_utility"))})
@@ -171,13 +172,13 @@ def speech_events(t):
     """Starts and ends of speech, pauses, and segment ends that two locales agree on."""
     from .joins import j_consensus
 
-    a = cut_lineage(activity(t))
+    a = t.once("activity", activity)
     name = F.round(F.col("s") * 1000).cast("long").cast("string")
     starts = a.filter("s > 0.001").select("asset_id", *G.event("speech_start", F.col("s"), F.lit(0.74), F.concat(F.lit("A"), name, F.lit("-START"))))
     ends = a.select("asset_id", *G.event("speech_end", F.col("e"), F.lit(0.74), F.concat(F.lit("A"), name, F.lit("-END"))))
     g = G.gaps(a, "asset_id", "s", "e")
     pauses = g.select("asset_id", *G.event("silence_gap", F.col("timestamp"), F.col("confidence"), F.concat(F.lit("SILENCE-"), F.round(F.col("gap_start") * 1000).cast("long").cast("string"))))
-    both = speech(t).join(j_consensus(t).distinct(), "utterance_id", "left_semi")
+    both = t.once("speech", speech).join(j_consensus(t).distinct(), "utterance_id", "left_semi")
     marks = both.select("asset_id", *G.event("speech_segment_boundary", F.col("e"), 0.35 + 0.25 * F.coalesce("conf", F.lit(0.5)), F.concat("utterance_id", F.lit("-END"))))
     return starts.unionByName(ends).unionByName(pauses).unionByName(marks)
 
@@ -352,24 +353,10 @@ def w_chronology(t):
 )
 def w_neighbour_page(t):
     """Eight assets around one in capture order, clamped at the ends."""
+    from ..operators.catalog import nearby
+
     a = t.assets.select("asset_id", F.coalesce("creation_time", F.lit("9999")).alias("c"), "source_name").distinct()
-    me = a.filter("asset_id = 'A00000010'").select(F.struct("c", "source_name", "asset_id").alias("me"))
-    key = F.struct("c", "source_name", "asset_id")
-    flagged = a.withColumn("k", key)
-    m = me.first()
-    if m is None:
-        return flagged.limit(0).select("asset_id", F.lit(0).cast("long").alias("place"))
-    mine = F.struct(*(F.lit(m["me"][c]).alias(c) for c in ("c", "source_name", "asset_id")))
-    # Only counts and at most eight neighbours on each side are ordered, never the whole table in one task.
-    before = flagged.filter(F.col("k") < mine).orderBy(F.desc("k")).limit(8)
-    after = flagged.filter(F.col("k") >= mine).orderBy("k").limit(8)
-    i = flagged.filter(F.col("k") < mine).count()
-    n = flagged.count()
-    end = min(n, max(0, i - 4) + 8)
-    start = max(0, end - 8)
-    b = before.withColumn("place", F.lit(i) - F.row_number().over(Window.orderBy(F.desc("k"))))
-    f = after.withColumn("place", F.lit(i) + F.row_number().over(Window.orderBy("k")) - 1)
-    return b.unionByName(f).filter((F.col("place") >= start) & (F.col("place") < end)).select("asset_id", F.col("place").cast("long").alias("place"))
+    return nearby(a, ["c", "source_name", "asset_id"], "asset_id", "A00000010", 8)
 
 
 @reg.add(
@@ -378,6 +365,8 @@ def w_neighbour_page(t):
 )
 def w_even_allocation(t):
     """A target of 30 seconds shared out over an asset's first six scenes."""
-    w = Window.partitionBy("asset_id")
-    x = scenes(t).withColumns({"k": F.row_number().over(w.orderBy("s", "scene_id")), "n": F.count("*").over(w)}).filter("k <= 6")
+    from ..operators.sequence import with_row_number
+
+    n = scenes(t).groupBy("asset_id").agg(F.count("*").alias("n"))
+    x = with_row_number(O.with_bucket(scenes(t), "s"), ["asset_id"], "_b", ["s", "scene_id"], "k").filter("k <= 6").join(n, "asset_id")
     return x.select("scene_id", S.round_dec("s", 6).alias("source_in"), S.round_dec(F.least(F.col("e"), F.col("s") + F.greatest(F.lit(3.0), F.least(F.lit(9.0), 30.0 / F.least(F.col("n"), F.lit(6))))), 6).alias("source_out"))

@@ -366,6 +366,21 @@ def test_search_and_lists_check_their_limits(spark, sf):
     assert Q.search_scenes(scenes, "xyzzy plugh").count() == 0
 
 
+def test_ui_context(spark, sf):
+    from framelode.operators import catalog as Q
+
+    a, s = spark.read.parquet(f"{sf}/assets.parquet"), spark.read.parquet(f"{sf}/scenes.parquet")
+    one, two = [r for r in s.filter("source_out > source_in").select("scene_id", "asset_id", "source_in", "source_out").distinct().orderBy("scene_id").limit(40).collect()][:: 39]
+    x = Q.resolve_ui_context(a, s, {"focused_scene_id": one["scene_id"], "selected_scene_ids": [two["scene_id"], one["scene_id"], one["scene_id"]], "selected_range": {"source_in": one["source_in"] + 0.01, "source_out": one["source_out"] - 0.01}})
+    assert x["current_asset_id"] == one["asset_id"] and x["selected_range"] and {r["scene_id"] for r in x["selected"].collect()} == {one["scene_id"], two["scene_id"]} and x["nearby"].count() == 8
+    assert Q.resolve_ui_context(a, s, {"selected_range": {"source_in": "x"}})["selected_range"] is None
+    bad = [({"schema_version": "v0"}, ValueError), ({"selected_scene_ids": ["x"] * 13}, ValueError), ({"selected_scene_ids": ["nothing"]}, KeyError), ({"visible_asset_ids": ["nothing"]}, KeyError), ({"focused_scene_id": one["scene_id"], "current_asset_id": two["asset_id"]}, ValueError)]
+    bad.append(({"focused_scene_id": one["scene_id"], "selected_range": {"source_in": 0, "source_out": one["source_out"] + 5}}, ValueError))
+    for state, error in bad:
+        with pytest.raises(error):
+            Q.resolve_ui_context(a, s, state)
+
+
 def test_running_sums_and_numbers_against_windows(spark):
     from pyspark.sql import Window
 
