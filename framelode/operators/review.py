@@ -1,4 +1,4 @@
-"""Checks of reviewed tables against the evidence they cite, as tables of violations.
+"""Checks of reviewed tables against the evidence they cite, as tables of violations.
 
 Each takes plain tables with the column names given in its docstring and reports every row that
 breaks a rule; what one rule can't judge (a null, an unknown id) is left to the rule meant for it.
@@ -7,11 +7,13 @@ Tables may hold ids of many assets; ``asset`` names the column of them all.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .constraints import all_of, duplicates, violations
-from .intervals import near_semi, uncovered
+from .intervals import near_semi, shared_seconds, uncovered
 from .ordered import with_bucket
 from .sequence import with_next, with_previous
 
@@ -185,3 +187,163 @@ def edit_plan(clips: DataFrame, media: DataFrame, plan: str, check: str = "edit_
         at(F.col("transition") <= 0, "transition without length"),
         at(F.col("transition") >= F.least("_len", "_n._len"), "transition longer than a neighbour"),
     )
+
+
+#: Roles of visual moments. Fixed values.
+ROLES = ["visual", "action", "candid"]
+
+
+def moments(rows: DataFrame, speech: DataFrame, whole: DataFrame, asset: str, check: str = "moments") -> DataFrame:
+    """Visual moments.
+
+    ``rows``: asset, moment_id, s, e, at (time of the representative), roles, primary_role, score, confidence, speech_seconds, speech_free. ``speech``:
+    asset, s, e, periods that don't overlap. ``whole``: asset, duration. Ids are unique; a moment lies in the media and has a length, its
+    representative lies in it, its roles are of the list and hold the primary one, score and confidence are 0 to 1, and its
+    seconds of speech are those of the periods (a millisecond of slack) and decide whether it is free of speech.
+    """
+    x = rows.join(whole, asset, "left")
+    p = speech.select(asset, F.col("s").alias("_ps"), F.col("e").alias("_pe"))
+    said = shared_seconds(rows.select(asset, "moment_id", "s", "e"), p, asset, "moment_id", ("s", "e"), ("_ps", "_pe")).select(asset, "moment_id", "shared")
+    y = rows.join(said, [asset, "moment_id"], "left")
+    at = lambda d, broken, message: violations(d, check, asset, "moment_id", broken, message)
+    return all_of(
+        duplicates(rows, asset, "moment_id", check),
+        at(x, (F.col("s") < 0) | (F.col("e") <= F.col("s")) | (F.col("e") > F.col("duration") + EPS), "outside the media"),
+        at(rows, (F.col("at") < F.col("s") - EPS) | (F.col("at") > F.col("e") + EPS), "representative outside it"),
+        at(rows, (F.size("roles") == 0) | (F.size(F.array_except("roles", F.array(*map(F.lit, ROLES)))) > 0), "role isn't of the list"),
+        at(rows, ~F.array_contains("roles", F.col("primary_role")), "primary role isn't among its roles"),
+        at(rows, _no(F.col("score").between(0, 1)) | _no(F.col("confidence").between(0, 1)), "score or confidence outside 0 to 1"),
+        at(y, F.abs(F.col("speech_seconds") - F.col("shared")) > EPS, "seconds of speech differ"),
+        at(y, F.col("speech_free") != (F.col("shared") <= EPS), "freedom of speech differs"),
+    )
+
+
+def summaries(rows: DataFrame, events: DataFrame, groups: DataFrame, asset: str, check: str = "summary") -> DataFrame:
+    """Video summaries.
+
+    ``rows``: asset, title, highlights (array of group ids), tags (array). ``events``: asset, place, group_id, headline. ``groups``: asset, place, group_id.
+    A summary has a title, at most three different known highlights and one to eight tags that aren't blank; its events are
+    the groups in their order, each with a headline.
+    """
+    pair = events.select(asset, "place", F.col("group_id").alias("_e")).join(groups.select(asset, "place", F.col("group_id").alias("_g")), [asset, "place"], "full_outer")
+    named = rows.select(asset, F.explode("highlights").alias("group_id")).join(groups, [asset, "group_id"], "left_anti").distinct()
+    at = lambda d, broken, message: violations(d, check, asset, asset, broken, message)
+    return all_of(
+        at(rows, F.trim(F.coalesce("title", F.lit(""))) == "", "no title"),
+        at(rows, (F.size("highlights") > 3) | (F.size(F.array_distinct("highlights")) < F.size("highlights")), "more than three highlights or one named twice"),
+        violations(named, check, asset, "group_id", F.lit(True), "unknown highlight"),
+        at(rows, ~F.size("tags").between(1, 8) | F.exists("tags", lambda x: F.trim(F.coalesce(x, F.lit(""))) == ""), "tags are one to eight, none blank"),
+        at(pair.filter(~F.col("_e").eqNullSafe(F.col("_g"))).select(asset).distinct(), F.lit(True), "events aren't the groups in order"),
+        violations(events, check, asset, "group_id", F.trim(F.coalesce("headline", F.lit(""))) == "", "event without headline"),
+    )
+
+
+def proxies(sources: DataFrame, copies: DataFrame, key: str, *, largest: int = 1280) -> DataFrame:
+    """key, reasons: what is wrong with proxies (V19). Both tables: key, codec, width, height, duration, fps, audio (null for none).
+
+    H.264, no side over ``largest``, duration within half a second or a thousandth, frame rate within 0.02, sound as in the source.
+    Sources without a proxy aren't listed.
+    """
+    a = sources.select(key, *(F.col(c).alias(f"_{c}") for c in ("duration", "fps", "audio")))
+    x = copies.join(a, key)
+    bad_size = _no((F.col("width") > 0) & (F.col("height") > 0) & (F.greatest("width", "height") <= largest))
+    why = F.array(
+        F.when(_no(F.col("codec") == "h264"), "codec"), F.when(bad_size, "dimensions"), F.when(F.abs(F.col("duration") - F.col("_duration")) > F.greatest(F.lit(0.5), F.col("_duration") * 0.001), "duration"),
+        F.when(F.abs(F.col("fps") - F.col("_fps")) > 0.02, "frame_rate"), F.when(F.col("audio").isNull() != F.col("_audio").isNull(), "audio"),
+    )
+    return x.select(key, F.array_compact(why).alias("reasons")).filter(F.size("reasons") > 0)
+
+
+def coarseness(groups: DataFrame, rows: DataFrame, ratio, asset: str) -> DataFrame:
+    """asset, group_id, beats, flags: groups to look at again.
+
+    ``groups``: asset, group_id, seconds, description. ``rows``: asset, group_id, beat_id, s, summary. ``ratio`` compares two texts. Flags: a group of half a
+    minute in one beat, or with under 60 characters of description; a summary that two beats share; neighbours whose
+    summaries of 60 characters or more are alike by 0.85 and not the same.
+    """
+    b = with_previous(with_bucket(rows, "s").withColumn("_t", F.trim(F.coalesce("summary", F.lit("")))), [asset, "group_id"], "_b", ["s", "beat_id"], ["_t"], "_p")
+    long = (F.length("_t") >= 60) & (F.length("_p._t") >= 60) & (F.col("_t") != F.col("_p._t"))
+    near = b.filter(long).select(asset, "group_id", ratio(F.col("_p._t"), F.col("_t")).alias("_r")).filter("_r >= 0.85").select(asset, "group_id").distinct().withColumn("_near", F.lit(True))
+    n = b.groupBy(asset, "group_id").agg(F.count("*").alias("beats"))
+    twice = b.filter("_t <> ''").groupBy(asset, "group_id", "_t").agg(F.count("*").alias("_n")).filter("_n > 1").select(asset, "group_id").distinct().withColumn("_twice", F.lit(True))
+    x = groups
+    for side in (n, twice, near):
+        x = x.join(side, [asset, "group_id"], "left")
+    half = F.col("seconds") >= 30
+    flags = F.array(
+        F.when((F.coalesce("beats", F.lit(0)) <= 1) & half, "long_group_without_subdivision"), F.when(F.col("_twice"), "repeated_beat_summary"), F.when(F.col("_near"), "near_duplicate_beat_summary"),
+        F.when((F.length(F.trim(F.coalesce("description", F.lit("")))) < 60) & half, "short_scene_description"),
+    )
+    return x.select(asset, "group_id", F.coalesce("beats", F.lit(0)).alias("beats"), F.array_compact(flags).alias("flags"))
+
+
+def review_reasons(cores: DataFrame, said: DataFrame, key: list[str]) -> DataFrame:
+    """key, reasons: why a clip should be looked at.
+
+    ``cores``: key, a, b (its range), evidence (whether it has any), closure, adjustment, dialogue. ``said``: key, s, e, text, its captions and utterances.
+    """
+    cut = (F.greatest("a", "s") < F.least("b", "e")) & ((F.col("s") < F.col("a") - EPS) | (F.col("e") > F.col("b") + EPS))
+    unsure = F.col("text").contains("…") | F.col("text").contains("...")
+    of = cores.select(*key, "a", "b").join(said, key).groupBy(*key).agg(F.max(F.coalesce(unsure, F.lit(False))).alias("_unsure"), F.max(cut).alias("_cut"))
+    why = F.array(
+        F.when(_no(F.col("evidence")), "editorial_evidence_missing").when(_no(F.col("closure") == "closed"), "event_closure_unconfirmed"), F.when(_no(F.col("adjustment") == "none"), "neighbor_boundary_review"),
+        F.when(F.col("dialogue") == "open", "dialogue_open"), F.when(F.col("_unsure"), "caption_uncertainty"), F.when(F.col("_cut"), "speech_boundary_cut"),
+    )
+    return cores.join(of, key, "left").select(*key, F.array_compact(why).alias("reasons"))
+
+
+#: Settings of boundary detection with their bounds: greater than, at most (null for none), whether the lower bound itself is allowed. Fixed values.
+SETTINGS = {
+    "vision_interval": (0, None, False), "ocr_interval": (0, None, False), "motion_interval": (0, None, False), "cluster_tolerance": (0, None, False), "visual_moment_window": (0, None, False), "visual_moment_nms": (0, None, False), "visual_moments_per_minute": (0, None, False),
+    "ffmpeg_scene_threshold": (0, 1, False), "neighbor_context": (0, None, True), "feature_distance_floor": (0, None, True), "visual_moment_thumbnail_width": (160, None, True), "feature_distance_quantile": (0, 0.999999, False), "motion_delta_quantile": (0, 0.999999, False),
+}
+
+
+def settings(values: dict[str, float]) -> list[str]:
+    """Names of the settings that are missing, no number, or outside their bounds."""
+    bad = []
+    for name, (low, high, closed) in SETTINGS.items():
+        v = values.get(name)
+        ok = isinstance(v, (int, float)) and math.isfinite(v) and (v >= low if closed else v > low) and (high is None or v <= high)
+        if not ok:
+            bad.append(name)
+    return bad
+
+
+def hand_over(states: DataFrame, files: DataFrame, current: DataFrame, asset: str, *, schema: str, policy: dict[str, str], check: str = "hand_over") -> DataFrame:
+    """Prepared assets before they are handed over.
+
+    ``states``: asset, schema_version, stated_id, policy (map). ``files``: asset, path, digest, as recorded. ``current``: path, digest, as they are now. The schema
+    and every value of the policy are as given, the state is that of its asset, and each recorded file is there unchanged.
+    """
+    f = files.join(current.select("path", F.col("digest").alias("_now")), "path", "left")
+    wrong = F.lit(False)
+    for k, v in policy.items():
+        wrong = wrong | _no(F.try_element_at("policy", F.lit(k)) == v)
+    at = lambda broken, message: violations(states, check, asset, asset, broken, message)
+    return all_of(
+        at(_no(F.col("schema_version") == schema), "schema differs"),
+        at(_no(F.col("stated_id") == F.col(asset)), "state of another asset"),
+        at(wrong, "policy differs"),
+        violations(f, check, asset, "path", F.col("_now").isNull(), "file is gone"),
+        violations(f, check, asset, "path", F.col("_now") != F.col("digest"), "file has changed"),
+        violations(states.join(files, asset, "left_anti"), check, asset, asset, F.lit(True), "no file recorded"),
+    )
+
+
+def in_order(machine: DataFrame, reviewed: DataFrame, asset: str, check: str = "review_order") -> DataFrame:
+    """A review keeps the machine's order, and its groups hold each segment once, without a gap (V2).
+
+    ``machine``: asset, place, segment_id. ``reviewed``: asset, place, segment_id, group_id, one row for each group that names the segment.
+    """
+    r = reviewed.groupBy(asset, "segment_id").agg(F.min("place").alias("_at"), F.count("group_id").alias("_n"))
+    x = machine.join(r, [asset, "segment_id"], "left")
+    g = reviewed.filter("group_id IS NOT NULL").join(machine.select(asset, "segment_id", F.col("place").alias("_m")), [asset, "segment_id"]).groupBy(asset, "group_id").agg((F.max("_m") - F.min("_m") + 1).alias("_wide"), F.countDistinct("segment_id").alias("_n"))
+    at = lambda broken, message: violations(x, check, asset, "segment_id", broken, message)
+    return all_of(
+        at(F.col("_at").isNull(), "not reviewed"),
+        at(F.col("_at") != F.col("place"), "in another place"),
+        at(F.col("_n") == 0, "in no group"),
+        at(F.col("_n") > 1, "in several groups"),
+        violations(g, check, asset, "group_id", F.col("_wide") > F.col("_n"), "group with a gap"),
+    )

@@ -84,13 +84,6 @@ def v_fused_proposals(t):
     return C.proposals(p, made_of, t.assets, "asset_id", "proposal_id", "number", "cluster", "duration", "fused_proposals", tolerance=2.0)
 
 
-@reg.add("v_moments", f"""{_v("moments", "sample_id", "negative count")} FROM {VISION} WHERE face_count < 0 OR person_count < 0 UNION ALL {_v("moments", "sample_id", "more faces than persons")} FROM {VISION} WHERE face_count > person_count AND person_count > 0""")
-def v_moments(t):
-    """Counts must make sense (a part of V10)."""
-    x = vision(t)
-    return C.all_of(C.violations(x, "moments", "asset_id", "sample_id", (F.col("face_count") < 0) | (F.col("person_count") < 0), "negative count"), C.violations(x, "moments", "asset_id", "sample_id", (F.col("face_count") > F.col("person_count")) & (F.col("person_count") > 0), "more faces than persons"))
-
-
 @reg.add("v_unchanged", """SELECT 'unchanged' AS "check", asset_id, scene_id AS entity_id, 'time of capture differs from its asset' AS message FROM (SELECT DISTINCT s.asset_id, s.scene_id FROM scenes s JOIN assets a USING (asset_id) WHERE s.creation_time IS DISTINCT FROM a.creation_time)""")
 def v_unchanged(t):
     """Copied fields must equal their source."""
@@ -127,37 +120,6 @@ def v_person_boxes(t):
     return C.violations(people(t), "person_boxes", "asset_id", "detection_id", (b(0) < 0) | (b(1) < 0) | (b(0) + b(2) > 1.000001) | (b(1) + b(3) > 1.000001), "box leaves the unit square")
 
 
-@reg.add("v_total_assignment", f"""{_v("total_assignment", "utterance_id", "overlaps no scene")} FROM {SPEECH} u WHERE NOT EXISTS (SELECT 1 FROM {SCENES} c WHERE c.asset_id = u.asset_id AND u.s < c.e AND u.e > c.s)""")
-def v_total_assignment(t):
-    """Every record must meet a scene."""
-    from ..operators.intervals import overlap_join
-
-    c = scenes(t).select("asset_id", F.col("s").alias("cs"), F.col("e").alias("ce"))
-    u = speech(t).select("asset_id", "utterance_id", "s", "e")
-    return C.violations(overlap_join(u, c, "asset_id", ("s", "e"), ("cs", "ce"), how="left_anti"), "total_assignment", "asset_id", "utterance_id", F.lit(True), "overlaps no scene")
-
-
-@reg.add("v_media_drift", f"""WITH m AS (SELECT asset_id, max("timestamp") AS last FROM vision_samples GROUP BY 1) {_v("media_drift", "a.asset_id", "samples after the end", "a.asset_id")} FROM (SELECT DISTINCT asset_id, duration FROM assets) a JOIN m ON m.asset_id = a.asset_id WHERE last - duration > greatest(0.5, duration * 0.001)""")
-def v_media_drift(t):
-    """Durations may differ by half a second or a thousandth."""
-    m = t.vision_samples.groupBy("asset_id").agg(F.max("timestamp").alias("last"))
-    a = t.assets.select("asset_id", "duration").distinct().join(m, "asset_id")
-    return C.violations(a, "media_drift", "asset_id", "asset_id", F.col("last") - F.col("duration") > F.greatest(F.lit(0.5), F.col("duration") * 0.001), "samples after the end")
-
-
-@reg.add("v_coarseness", f"""{_v("coarseness", "scene_id", "long scene with a short description")} FROM {SCENES} WHERE e - s >= 8 AND length(trim(coalesce(summary, ''))) < 60""")
-def v_coarseness(t):
-    """Long scenes that little is said about."""
-    return C.violations(scenes(t), "coarseness", "asset_id", "scene_id", (F.col("e") - F.col("s") >= 8) & (F.length(F.trim(F.coalesce("summary", F.lit("")))) < 60), "long scene with a short description")
-
-
-@reg.add("v_review_reasons", f"""SELECT scene_id, array_to_string(list_filter([CASE WHEN s.confidence IS NULL THEN 'unrated' END, CASE WHEN len(tags) = 0 THEN 'missing_evidence' END, CASE WHEN contains(coalesce(summary, ''), '…') THEN 'ellipsis' END, CASE WHEN e - s < 1 THEN 'too_short' END], lambda x: x IS NOT NULL), ',') AS reasons FROM {SCENES} s""")
-def v_review_reasons(t):
-    """All reasons to look at a scene again."""
-    r = F.array(F.when(F.col("confidence").isNull(), "unrated"), F.when(F.size("tags") == 0, "missing_evidence"), F.when(F.coalesce("summary", F.lit("")).contains("…"), "ellipsis"), F.when(F.col("e") - F.col("s") < 1, "too_short"))
-    return scenes(t).select("scene_id", F.array_join(F.array_compact(r), ",").alias("reasons"))
-
-
 @reg.add("v_config_ranges", """SELECT 'config_ranges' AS "check", trip_id AS asset_id, trip_id AS entity_id, 'threshold outside 0 to 1' AS message FROM trip_config WHERE min_language_probability NOT BETWEEN 0 AND 1 OR min_language_margin NOT BETWEEN 0 AND 1 UNION ALL SELECT 'config_ranges', trip_id, trip_id, 'few expected languages' FROM trip_config WHERE len(expected_languages) < 3""")
 def v_config_ranges(t):
     """Settings within their ranges."""

@@ -1,4 +1,4 @@
-"""Checks of reviewed tables (V6, V7, V13-V15, V21) over tables made from records, scenes and samples.
+"""Checks of reviewed tables (V2, V6, V7, V10, V13-V15, V17-V19, V21, V24, V26, V28) over tables made from records, scenes and samples.
 
 The library's tables hold no reviews, so scenes stand for windows, groups' parts and clips, and
 records for utterances; times, languages and settings are bent by fixed rules on text lengths and
@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from ..operators import intervals as I
 from ..operators import review as R
+from ..functions import scalar as S
+from ..functions.similarity import sequence_ratio
 from ..session import cut_lineage
-from .common import SCENES, SPEECH, VISION, scenes, speech, vision
-from .joins import _EV, _evidence
+from .common import SCENES, SPEECH, VISION, rd, scenes, speech, vision
+from .joins import _EV, ACTIVITY, _evidence, activity
 from .registry import Registry
 
 reg = Registry()
@@ -203,3 +205,146 @@ def v_edit_plan(t):
     rotation = F.floor(F.coalesce("confidence", F.lit(0.0)) * 100).cast("long") % 5 * 90
     c = c.select("asset_id", "number", F.col("scene_id").alias("clip_id"), F.col("asset_id").alias("source"), "source_in", "source_out", F.when(n % 5 == 4, 0.2).when(F.col("highlighted"), 0.5).otherwise(2.0).alias("speed"), (24.0 - n * 30.0).alias("volume_db"), rotation.alias("rotation"), F.when(n > 1, n - 2.0).alias("transition"))
     return R.edit_plan(cut_lineage(c), t.assets.select(F.col("asset_id").alias("source"), "duration").distinct(), "asset_id")
+
+
+@reg.add(
+    "v_moments",
+    f"""WITH v AS (SELECT v.*, duration FROM {VISION} v JOIN (SELECT DISTINCT asset_id, duration FROM assets) a USING (asset_id) WHERE sample_id % 20 = 0 OR ae > 0.5),
+    r AS MATERIALIZED (SELECT asset_id, CAST(sample_id AS VARCHAR) AS id, greatest(0.0, ts - 1.0) AS s, ts + 1.0 AS e, ts + CASE WHEN face_count > 2 THEN 2.0 ELSE 0.0 END AS at_, CASE WHEN person_count > 0 THEN ['visual', 'candid'] WHEN is_utility THEN ['utility'] ELSE ['visual'] END AS roles, CASE WHEN face_count > 0 THEN 'candid' ELSE 'visual' END AS prim, ae + 0.2 AS score, duration, sample_id FROM v),
+    h AS MATERIALIZED (SELECT r.asset_id, id, r.s, r.e, least(r.e - r.s, coalesce(sum(CAST(least(r.e, p.e) - greatest(r.s, p.s) AS DECIMAL(24,9))), 0)::DOUBLE) AS shared FROM r LEFT JOIN {ACTIVITY} p ON p.asset_id = r.asset_id AND r.s < p.e AND r.e > p.s GROUP BY r.asset_id, id, r.s, r.e),
+    y AS (SELECT h.asset_id, id, shared, {rd("shared", 3)} + CASE WHEN sample_id % 7 = 0 THEN 0.5 ELSE 0.0 END AS secs, sample_id % 3 = 0 AS free FROM h JOIN r USING (asset_id, id))
+    {_v("moments", "id", "outside the media")} FROM r WHERE s < 0 OR e <= s OR e > duration + 0.001 UNION ALL {_v("moments", "id", "representative outside it")} FROM r WHERE at_ < s - 0.001 OR at_ > e + 0.001 UNION ALL {_v("moments", "id", "role isn't of the list")} FROM r WHERE list_contains(roles, 'utility')
+    UNION ALL {_v("moments", "id", "primary role isn't among its roles")} FROM r WHERE NOT list_contains(roles, prim) UNION ALL {_v("moments", "id", "score or confidence outside 0 to 1")} FROM r WHERE coalesce(score NOT BETWEEN 0 AND 1, TRUE)
+    UNION ALL {_v("moments", "id", "seconds of speech differ")} FROM y WHERE abs(secs - shared) > 0.001 UNION ALL {_v("moments", "id", "freedom of speech differs")} FROM y WHERE free <> (shared <= 0.001)""",
+)
+def v_moments(t):
+    """Moments of two seconds around some samples, with some wrong numbers."""
+    a = cut_lineage(activity(t))
+    v = vision(t).join(t.assets.select("asset_id", "duration").distinct(), "asset_id").filter("sample_id % 20 = 0 OR ae > 0.5")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    roles = F.when(yes(F.col("person_count") > 0), F.array(F.lit("visual"), F.lit("candid"))).when(yes(F.col("is_utility")), F.array(F.lit("utility"))).otherwise(F.array(F.lit("visual")))
+    r = v.select("asset_id", F.col("sample_id").cast("string").alias("moment_id"), F.greatest(F.lit(0.0), F.col("ts") - 1.0).alias("s"), (F.col("ts") + 1.0).alias("e"), (F.col("ts") + F.when(yes(F.col("face_count") > 2), 2.0).otherwise(0.0)).alias("at"), roles.alias("roles"), F.when(yes(F.col("face_count") > 0), "candid").otherwise("visual").alias("primary_role"), (F.col("ae") + 0.2).alias("score"), F.lit(1.0).alias("confidence"), "sample_id")
+    p = a.select("asset_id", F.col("s").alias("ps"), F.col("e").alias("pe"))
+    said = I.shared_seconds(r, p, "asset_id", "moment_id", ("s", "e"), ("ps", "pe")).select("asset_id", "moment_id", "shared")
+    wrong = F.when(F.col("sample_id") % 7 == 0, 0.5).otherwise(0.0)
+    r = r.join(said, ["asset_id", "moment_id"]).withColumns({"speech_seconds": S.round_dec("shared", 3) + wrong, "speech_free": F.col("sample_id") % 3 == 0}).drop("shared", "sample_id")
+    return R.moments(cut_lineage(r), a, t.assets.select("asset_id", "duration").distinct(), "asset_id")
+
+
+_GROUPS = f"(SELECT asset_id, group_id, min(s) AS gs, max(e) AS ge, count(*) AS n, bool_or(highlighted) AS hi, max(label) AS label FROM {SCENES} WHERE group_id IS NOT NULL GROUP BY ALL)"
+
+
+def _groups(t):
+    return scenes(t).filter("group_id IS NOT NULL").groupBy("asset_id", "group_id").agg(F.min("s").alias("gs"), F.max("e").alias("ge"), F.count("*").alias("n"), F.bool_or("highlighted").alias("hi"), F.max("label").alias("label"))
+
+
+@reg.add(
+    "v_summary",
+    f"""WITH g AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY gs, group_id) AS place, row_number() OVER (PARTITION BY asset_id ORDER BY ge, group_id) AS told FROM {_GROUPS}),
+    r AS (SELECT a.asset_id, title, tags, coalesce(h, []) AS h FROM (SELECT DISTINCT asset_id, title, tags FROM assets) a LEFT JOIN (SELECT asset_id, list(group_id) AS h FROM (SELECT asset_id, group_id FROM g WHERE hi UNION ALL SELECT asset_id, group_id || '?' FROM g WHERE n > 4) GROUP BY 1) x USING (asset_id)),
+    p AS (SELECT coalesce(e.asset_id, g.asset_id) AS asset_id, e.group_id AS eg, g.group_id AS gg FROM g FULL JOIN (SELECT asset_id, told, group_id FROM g WHERE n < 6) e ON e.asset_id = g.asset_id AND e.told = g.place)
+    {_v("summary", "asset_id", "no title")} FROM r WHERE trim(coalesce(title, '')) = '' UNION ALL {_v("summary", "asset_id", "more than three highlights or one named twice")} FROM r WHERE len(h) > 3 UNION ALL {_v("summary", "group_id || '?'", "unknown highlight")} FROM g WHERE n > 4
+    UNION ALL {_v("summary", "asset_id", "tags are one to eight, none blank")} FROM r WHERE len(tags) NOT BETWEEN 1 AND 8 UNION ALL SELECT DISTINCT * FROM ({_v("summary", "asset_id", "events aren't the groups in order")} FROM p WHERE eg IS DISTINCT FROM gg)
+    UNION ALL {_v("summary", "group_id", "event without headline")} FROM g WHERE n < 6 AND trim(coalesce(label, '')) = ''""",
+)
+def v_summary(t):
+    """Assets as video summaries, their groups in the order of the ends as events."""
+    from ..operators.ordered import with_bucket
+    from ..operators.sequence import with_row_number
+
+    g = with_row_number(with_bucket(_groups(t), "gs"), ["asset_id"], "_b", ["gs", "group_id"], "place").drop("_b")
+    g = cut_lineage(with_row_number(with_bucket(g, "ge"), ["asset_id"], "_b", ["ge", "group_id"], "told"))
+    h = g.filter("hi").select("asset_id", "group_id").unionByName(g.filter("n > 4").select("asset_id", F.concat("group_id", F.lit("?")).alias("group_id"))).groupBy("asset_id").agg(F.collect_list("group_id").alias("highlights"))
+    r = t.assets.select("asset_id", "title", "tags").distinct().join(h, "asset_id", "left").withColumn("highlights", F.coalesce("highlights", F.array().cast("array<string>")))
+    return R.summaries(r, g.filter("n < 6").select("asset_id", F.col("told").alias("place"), "group_id", F.col("label").alias("headline")), g.select("asset_id", "place", "group_id"), "asset_id")
+
+
+@reg.add(
+    "v_assignment",
+    f"""WITH u AS (SELECT asset_id, utterance_id, s, e FROM {SPEECH}) {_v("assignment", "utterance_id", "overlaps no scene")} FROM u WHERE NOT EXISTS (SELECT 1 FROM {SCENES} c WHERE c.asset_id = u.asset_id AND u.s < c.e AND u.e > c.s)
+    UNION ALL {_v("assignment", "utterance_id", "overlaps no group")} FROM u WHERE NOT EXISTS (SELECT 1 FROM {_GROUPS} g WHERE g.asset_id = u.asset_id AND u.s < g.ge AND u.e > g.gs)""",
+)
+def v_assignment(t):
+    """Every record must meet a scene and a group."""
+    from ..operators import constraints as C
+
+    u = cut_lineage(speech(t).select("asset_id", "utterance_id", "s", "e"))
+    out = []
+    for spans, a, b, name in ((_spans(t), "cs", "ce", "scene"), (_groups(t).select("asset_id", "gs", "ge"), "gs", "ge", "group")):
+        met = I.overlap_join(u, spans.select("asset_id", a, b), "asset_id", ("s", "e"), (a, b)).select("asset_id", "utterance_id").distinct()
+        out.append(C.violations(u.join(met, ["asset_id", "utterance_id"], "left_anti"), "assignment", "asset_id", "utterance_id", F.lit(True), f"overlaps no {name}"))
+    return C.all_of(*out)
+
+
+@reg.add(
+    "v_media_drift",
+    """WITH a AS (SELECT DISTINCT asset_id, duration AS d, length(source_name) AS k, proxy_path FROM assets WHERE duration IS NOT NULL), x AS (SELECT asset_id, CASE WHEN k % 7 = 0 THEN 'hevc' ELSE 'h264' END AS codec, CASE WHEN k % 5 = 0 THEN 1920 ELSE 1280 END AS w, d + (k % 4) * 0.3 AS pd, d, 30000.0 / 1001 AS sf, CASE WHEN k % 6 = 0 THEN 30.0 ELSE 29.97 END AS pf, k % 9 = 0 AS mute FROM a WHERE proxy_path IS NOT NULL)
+    SELECT asset_id, r AS reasons FROM (SELECT asset_id, list_filter([CASE WHEN codec <> 'h264' THEN 'codec' END, CASE WHEN w > 1280 THEN 'dimensions' END, CASE WHEN abs(pd - d) > greatest(0.5, d * 0.001) THEN 'duration' END, CASE WHEN abs(pf - sf) > 0.02 THEN 'frame_rate' END, CASE WHEN mute THEN 'audio' END], lambda v: v IS NOT NULL) AS r FROM x) WHERE len(r) > 0""",
+)
+def v_media_drift(t):
+    """Proxies against their sources (V19); lengths of names stand for what a probe reads."""
+    a = t.assets.filter("duration IS NOT NULL").select("asset_id", "duration", F.length("source_name").alias("k"), "proxy_path").distinct()
+    src = a.select("asset_id", "duration", S.rational(F.lit("30000/1001")).alias("fps"), F.lit("aac").alias("audio"))
+    k = F.col("k")
+    cp = a.filter("proxy_path IS NOT NULL").select("asset_id", F.when(k % 7 == 0, "hevc").otherwise("h264").alias("codec"), F.when(k % 5 == 0, 1920).otherwise(1280).alias("width"), F.lit(720).alias("height"), (F.col("duration") + (k % 4) * 0.3).alias("duration"), F.when(k % 6 == 0, 30.0).otherwise(29.97).alias("fps"), F.when(k % 9 != 0, "aac").alias("audio"))
+    return R.proxies(src, cp, "asset_id")
+
+
+@reg.add("v_coarseness")
+def v_coarseness(t):
+    """Groups that are coarse or repeat themselves."""
+    sc = scenes(t).filter("group_id IS NOT NULL")
+    g = sc.groupBy("asset_id", "group_id").agg((F.max("e") - F.min("s")).alias("seconds"), F.min_by("summary", F.struct("s", "scene_id")).alias("description"))
+    return R.coarseness(g, sc.select("asset_id", "group_id", F.col("scene_id").alias("beat_id"), "s", "summary"), sequence_ratio, "asset_id").filter(F.size("flags") > 0)
+
+
+@reg.add(
+    "v_review_reasons",
+    f"""WITH c AS (SELECT asset_id, scene_id, s AS a, e AS b, len(tags) > 0 AS ev, notable_count % 3 AS k, confidence FROM {SCENES}), o AS (SELECT c.asset_id, scene_id, bool_or(contains(text, '…') OR contains(text, '...')) AS unsure, bool_or(u.s < a - 0.001 OR u.e > b + 0.001) AS cut FROM c JOIN {SPEECH} u ON u.asset_id = c.asset_id AND u.s < b AND u.e > a GROUP BY ALL)
+    SELECT asset_id, scene_id, list_filter([CASE WHEN NOT ev THEN 'editorial_evidence_missing' WHEN coalesce(k <> 1, TRUE) THEN 'event_closure_unconfirmed' END, CASE WHEN coalesce(confidence < 0.5, FALSE) THEN 'neighbor_boundary_review' END, CASE WHEN k = 0 THEN 'dialogue_open' END, CASE WHEN unsure THEN 'caption_uncertainty' END, CASE WHEN cut THEN 'speech_boundary_cut' END], lambda v: v IS NOT NULL) AS reasons FROM c LEFT JOIN o USING (asset_id, scene_id)""",
+)
+def v_review_reasons(t):
+    """All reasons to look at a scene again."""
+    key = ["asset_id", "scene_id"]
+    n = F.col("notable_count") % 3
+    closed = F.when(n == 1, "closed").otherwise("open")
+    c = scenes(t).select(*key, F.col("s").alias("a"), F.col("e").alias("b"), (F.size("tags") > 0).alias("evidence"), closed.alias("closure"), F.when(F.col("confidence") < 0.5, "extend_after").otherwise("none").alias("adjustment"), F.when(n == 0, "open").otherwise("closed").alias("dialogue"))
+    said = I.overlap_join(speech(t).select("asset_id", "s", "e", "text"), c.select(*key, "a", "b"), "asset_id", ("s", "e"), ("a", "b")).select(*key, "s", "e", "text")
+    return R.review_reasons(c, said, key)
+
+
+@reg.add(
+    "v_hand_over",
+    """WITH a AS (SELECT DISTINCT asset_id, length(source_name) AS k, scene_count FROM assets), f AS (SELECT DISTINCT asset_id, scene_id AS path, CASE WHEN notable_count = 2 THEN 'old' ELSE md5(coalesce(title, '')) END AS digest, md5(coalesce(title, '')) AS now, coalesce(confidence, 1.0) > 0.35 AS there FROM scenes)
+    SELECT 'hand_over' AS "check", asset_id, asset_id AS entity_id, 'schema differs' AS message FROM a WHERE k % 8 = 0 UNION ALL SELECT 'hand_over', asset_id, asset_id, 'state of another asset' FROM a WHERE k % 11 = 0 UNION ALL SELECT 'hand_over', asset_id, asset_id, 'policy differs' FROM a WHERE k % 5 = 0 OR k % 3 = 0
+    UNION ALL SELECT 'hand_over', asset_id, path, 'file is gone' FROM f WHERE NOT there UNION ALL SELECT 'hand_over', asset_id, path, 'file has changed' FROM f WHERE there AND digest <> now UNION ALL SELECT 'hand_over', asset_id, asset_id, 'no file recorded' FROM a WHERE asset_id NOT IN (SELECT asset_id FROM f)""",
+)
+def v_hand_over(t):
+    """Assets as prepared states with their scenes as files."""
+    a = t.assets.select("asset_id", F.length("source_name").alias("k")).distinct()
+    k = F.col("k")
+    policy = F.create_map(F.lit("beats"), F.when(k % 5 == 0, "optional").otherwise("required"), F.lit("cover"), F.when(k % 3 != 0, "all"))
+    st = a.select("asset_id", F.when(k % 8 == 0, "state/v0").otherwise("state/v1").alias("schema_version"), F.when(k % 11 == 0, "other").otherwise(F.col("asset_id")).alias("stated_id"), policy.alias("policy"))
+    sc = t.scenes.select("asset_id", F.col("scene_id").alias("path"), F.md5(F.coalesce("title", F.lit(""))).alias("now"), "notable_count", "confidence").distinct()
+    f = sc.select("asset_id", "path", F.when(F.col("notable_count") == 2, "old").otherwise(F.col("now")).alias("digest"))
+    now = sc.filter(F.coalesce("confidence", F.lit(1.0)) > 0.35).select("path", F.col("now").alias("digest"))
+    return R.hand_over(st, f, now, "asset_id", schema="state/v1", policy={"beats": "required", "cover": "all"})
+
+
+@reg.add(
+    "v_review_order",
+    f"""WITH m AS (SELECT asset_id, scene_id, group_id, row_number() OVER (PARTITION BY asset_id ORDER BY s, scene_id) AS place, row_number() OVER (PARTITION BY asset_id ORDER BY e, scene_id) AS told, notable_count FROM {SCENES}),
+    r AS (SELECT asset_id, told, scene_id, group_id FROM m WHERE notable_count < 5 OR notable_count IS NULL UNION ALL SELECT asset_id, told, scene_id, 'again' FROM m WHERE notable_count = 2), q AS (SELECT asset_id, scene_id, min(told) AS at_, count(group_id) AS n FROM r GROUP BY ALL),
+    x AS (SELECT m.asset_id, m.scene_id, place, at_, n FROM m LEFT JOIN q USING (asset_id, scene_id)), g AS (SELECT r.asset_id, r.group_id, max(place) - min(place) + 1 AS wide, count(DISTINCT scene_id) AS n FROM r JOIN m USING (asset_id, scene_id) WHERE r.group_id IS NOT NULL GROUP BY ALL)
+    {_v("review_order", "scene_id", "not reviewed")} FROM x WHERE at_ IS NULL UNION ALL {_v("review_order", "scene_id", "in another place")} FROM x WHERE at_ <> place UNION ALL {_v("review_order", "scene_id", "in no group")} FROM x WHERE n = 0 UNION ALL {_v("review_order", "scene_id", "in several groups")} FROM x WHERE n > 1
+    UNION ALL {_v("review_order", "group_id", "group with a gap")} FROM g WHERE wide > n""",
+)
+def v_review_order(t):
+    """Scenes in the order of their starts as the machine's, in that of their ends as the reviewed segments (V2)."""
+    from ..operators.ordered import with_bucket
+    from ..operators.sequence import with_row_number
+
+    m = with_row_number(with_bucket(scenes(t), "s"), ["asset_id"], "_b", ["s", "scene_id"], "place").drop("_b")
+    m = cut_lineage(with_row_number(with_bucket(m, "e"), ["asset_id"], "_b", ["e", "scene_id"], "told").select("asset_id", F.col("scene_id").alias("segment_id"), "group_id", "place", "told", "notable_count"))
+    r = m.filter("notable_count < 5 OR notable_count IS NULL").select("asset_id", F.col("told").alias("place"), "segment_id", "group_id").unionByName(m.filter("notable_count = 2").select("asset_id", F.col("told").alias("place"), "segment_id", F.lit("again").alias("group_id")))
+    return R.in_order(m.select("asset_id", "place", "segment_id"), r, "asset_id")
