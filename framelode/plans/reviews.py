@@ -211,7 +211,7 @@ def v_edit_plan(t):
     "v_moments",
     f"""WITH v AS (SELECT v.*, duration FROM {VISION} v JOIN (SELECT DISTINCT asset_id, duration FROM assets) a USING (asset_id) WHERE sample_id % 20 = 0 OR ae > 0.5),
     r AS MATERIALIZED (SELECT asset_id, CAST(sample_id AS VARCHAR) AS id, greatest(0.0, ts - 1.0) AS s, ts + 1.0 AS e, ts + CASE WHEN face_count > 2 THEN 2.0 ELSE 0.0 END AS at_, CASE WHEN person_count > 0 THEN ['visual', 'candid'] WHEN is_utility THEN ['utility'] ELSE ['visual'] END AS roles, CASE WHEN face_count > 0 THEN 'candid' ELSE 'visual' END AS prim, ae + 0.2 AS score, duration, sample_id FROM v),
-    h AS MATERIALIZED (SELECT r.asset_id, id, r.s, r.e, least(r.e - r.s, coalesce(sum(CAST(least(r.e, p.e) - greatest(r.s, p.s) AS DECIMAL(24,9))), 0)::DOUBLE) AS shared FROM r LEFT JOIN {ACTIVITY} p ON p.asset_id = r.asset_id AND r.s < p.e AND r.e > p.s GROUP BY r.asset_id, id, r.s, r.e),
+    h AS MATERIALIZED (SELECT r.asset_id, id, r.s, r.e, least(r.e - r.s, coalesce(sum(CASE WHEN p.s IS NOT NULL THEN CAST(least(r.e, p.e) - greatest(r.s, p.s) AS DECIMAL(24,9)) END), 0)::DOUBLE) AS shared FROM r LEFT JOIN {ACTIVITY} p ON p.asset_id = r.asset_id AND r.s < p.e AND r.e > p.s GROUP BY r.asset_id, id, r.s, r.e),
     y AS (SELECT h.asset_id, id, shared, {rd("shared", 3)} + CASE WHEN sample_id % 7 = 0 THEN 0.5 ELSE 0.0 END AS secs, sample_id % 3 = 0 AS free FROM h JOIN r USING (asset_id, id))
     {_v("moments", "id", "outside the media")} FROM r WHERE s < 0 OR e <= s OR e > duration + 0.001 UNION ALL {_v("moments", "id", "representative outside it")} FROM r WHERE at_ < s - 0.001 OR at_ > e + 0.001 UNION ALL {_v("moments", "id", "role isn't of the list")} FROM r WHERE list_contains(roles, 'utility')
     UNION ALL {_v("moments", "id", "primary role isn't among its roles")} FROM r WHERE NOT list_contains(roles, prim) UNION ALL {_v("moments", "id", "score or confidence outside 0 to 1")} FROM r WHERE coalesce(score NOT BETWEEN 0 AND 1, TRUE)
