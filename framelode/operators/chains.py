@@ -165,7 +165,7 @@ def _decide(t: np.ndarray, known: np.ndarray, own: np.ndarray, near: Callable[[n
     return status, edge
 
 
-def suppressed(rows: DataFrame, keys: list[str], tolerance: float, *, inclusive: bool = True, width: float = 60.0) -> DataFrame:
+def suppressed(rows: DataFrame, keys: list[str], tolerance: float, *, inclusive: bool = True, width: float = 600.0) -> DataFrame:
     """Rows (_t double, _s double, _id) that greedy suppression keeps: taken by falling _s (nulls last), then _t, then _id, a row
     is kept if no kept one of its key lies within ``tolerance`` (not ``inclusive``: nearer).
 

@@ -103,12 +103,12 @@ def _greedy(rows, tol, inclusive=True):
 def test_suppression_across_buckets(spark):
     """Chains of equal and of falling scores that reach over many buckets, and noise."""
     rnd = random.Random(6)
-    rows = [("equal", i * 0.5, 0.5, i) for i in range(600)] + [("falling", i * 0.5, 1 - i / 1000, i) for i in range(600)] + [("rising", i * 0.5, i / 1000, i) for i in range(600)]
-    rows += [("noise", round(rnd.random() * 300, 2), round(rnd.random(), 2), i) for i in range(600)] + [("null", i * 1.0, None, i) for i in range(9)]
+    rows = [("equal", i * 5.0, 0.5, i) for i in range(600)] + [("falling", i * 5.0, 1 - i / 1000, i) for i in range(600)] + [("rising", i * 5.0, i / 1000, i) for i in range(600)]
+    rows += [("noise", round(rnd.random() * 3000, 1), round(rnd.random(), 2), i) for i in range(600)] + [("null", i * 10.0, None, i) for i in range(9)]
     df = spark.createDataFrame(rows, "k string, t double, c double, id long")
     for inclusive in (True, False):
-        got = {(r["k"], r["id"]) for r in O.suppress(df, ["k"], "t", "c", "id", 1.0, inclusive=inclusive).collect()}
-        assert got == _greedy(rows, 1.0, inclusive)
+        got = {(r["k"], r["id"]) for r in O.suppress(df, ["k"], "t", "c", "id", 10.0, inclusive=inclusive).collect()}
+        assert got == _greedy(rows, 10.0, inclusive)
 
 
 def test_chains_across_buckets(spark):
